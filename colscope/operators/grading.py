@@ -13,7 +13,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.functions.values import VALUE, normalized_value
+from colscope.functions.values import normalized_value
 
 # The widest result, and the longest, a gold may have.
 MAX_COLUMNS = 5
@@ -253,6 +253,3 @@ def canonical_order(df: DataFrame) -> DataFrame:
         *df.columns
     )
 
-
-def value_type() -> str:
-    return VALUE

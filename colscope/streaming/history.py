@@ -1,0 +1,44 @@
+"""Redaction of a growing history directory as a stream, and weekly usage of texts.
+
+Redaction looks at one row at a time, so it streams as it is. Late duplicates of a query
+id inside the watermark are dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colscope.functions.sqltext import normalize
+from colscope.sources.history import accepted, parsed
+
+
+def history_stream(spark: SparkSession, directory: str) -> DataFrame:
+    """New export files of a directory as contract-checked history rows."""
+    lines = spark.readStream.format("text").schema("value string").load(directory)
+    return accepted(parsed(lines))
+
+
+def redacted_stream(history: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Each query once, redacted and fingerprinted; texts that can't be are marked."""
+    once = history.withWatermark("start_time", lateness).dropDuplicatesWithinWatermark(
+        ["query_id"]
+    )
+    return (
+        once.withColumn("_n", normalize(F.col("query_text")))
+        .drop("query_text")
+        .withColumn("normalized_sql", F.col("_n.text"))
+        .withColumn("reason", F.col("_n.problem"))
+        .withColumn("fingerprint", F.sha2("normalized_sql", 256))
+        .drop("_n")
+    )
+
+
+def weekly_fingerprints(redacted: DataFrame) -> DataFrame:
+    """Executions per text and tumbling week."""
+    return (
+        redacted.where(F.col("reason").isNull())
+        .groupBy(F.window("start_time", "7 days").alias("week"), "fingerprint")
+        .agg(F.count(F.lit(1)).alias("executions"))
+    )
+
