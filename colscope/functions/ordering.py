@@ -41,7 +41,11 @@ def global_row_number(
         return verdict
 
     # A scalar subquery: one row, read once, no join.
-    ranged = df.withColumn("_range", F.size(F.filter(bounds.scalar(), before)))
+    ranged = (
+        df.withColumn("_bounds", bounds.scalar())
+        .withColumn("_range", F.size(F.filter("_bounds", before)))
+        .drop("_bounds")
+    )
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # At most RANGES + 1 rows reach this window.
     running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,7 +34,7 @@ def run_counts(planned: DataFrame, made: DataFrame) -> DataFrame:
     )
     counts = joined.groupBy("configuration").agg(
         F.count("_made").alias("runs"),
-        F.count_if("passed").alias("passed"),
+        F.count_if(F.col("passed")).alias("passed"),
         F.coalesce(F.sum("failed_calls"), F.lit(0)).cast("bigint").alias("failed_calls"),
         F.count("harness_error").alias("harness_errors"),
         F.count_if(F.col("_made").isNull()).alias("not_made"),
@@ -56,7 +56,7 @@ def regrade_counts(runs: DataFrame, questions: DataFrame, regraded: DataFrame) -
     )
     same_text = F.coalesce(F.col("asked") == F.col("text"), F.lit(False))
     passed = F.when(F.col("harness_error"), False).otherwise(
-        F.when("has_rows", F.col("_again")).otherwise(F.col("recorded_passed"))
+        F.when(F.col("has_rows"), F.col("_again")).otherwise(F.col("recorded_passed"))
     )
     return current.groupBy("configuration").agg(
         F.count_if(same_text & F.coalesce(passed, F.lit(False))).alias("passed"),

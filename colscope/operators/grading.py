@@ -107,7 +107,7 @@ def checks(
     left = pairs.where(F.col("early").isNull()).select(
         "run_key", "qid", "variant", "ordered", "width", "rows"
     )
-    position = lambda: F.when("ordered", F.col("row_no"))
+    position = lambda: F.when(F.col("ordered"), F.col("row_no"))
     permuted = (
         left.join(run_rows.select("run_key", "row_no", "vals"), "run_key")
         .withColumn("order_no", F.explode(F.sequence(F.lit(0), F.size(column_orders(F.col("width"))) - 1)))

@@ -278,7 +278,11 @@ def _with_catalog(df: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     full = F.col("s.full")
     qualified = full["db"].isNotNull() & full["schema"].isNotNull()
-    exploded = df.select("text_id", F.explode("sources").alias("s")).withColumn(
+    # An outer explode: Spark turns a plain one into a filter on the array, which it would
+    # push below the steps that compute it and so compute them twice.
+    exploded = df.select("text_id", F.explode_outer("sources").alias("s")).where(
+        F.col("s").isNotNull()
+    ).withColumn(
         "table_fqn", F.when(qualified, F.concat_ws(".", full["db"], full["schema"], full["table"]))
     )
     kind = (
@@ -832,19 +836,21 @@ def analysed(texts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def text_references(texts_analysed: DataFrame) -> DataFrame:
     """(text_id, kind, name, clause), distinct per text."""
-    return texts_analysed.select("text_id", F.inline("refs"))
+    return texts_analysed.select("text_id", F.inline_outer("refs")).where(
+        F.col("kind").isNotNull()
+    )
 
 
 def with_text_id(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("text_id", context_id())
 
 
-def query_references(snapshot: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, kind, name, clause) of every query, analysed once per distinct text.
+def query_references(snapshot: DataFrame, texts_analysed: DataFrame) -> DataFrame:
+    """(query_id, kind, name, clause) of every query, from its text's references.
 
     A hot text's queries are split by AQE's skew join; its references are few rows.
     """
-    per_text = text_references(analysed(distinct_texts(snapshot), catalog))
+    per_text = text_references(texts_analysed)
     return (
         with_text_id(snapshot)
         .select("query_id", "text_id")
@@ -860,15 +866,14 @@ def column_refs(references: DataFrame) -> DataFrame:
     )
 
 
-def reference_counts(snapshot: DataFrame, catalog: DataFrame) -> DataFrame:
+def reference_counts(snapshot: DataFrame, texts_analysed: DataFrame) -> DataFrame:
     """References per kind, every kind listed, queries read, unattributable and starred.
 
     Counted per text and weighted by the text's queries, so no (query, reference) row is
     made for a count.
     """
     weights = with_text_id(snapshot).groupBy("text_id").agg(F.count(F.lit(1)).alias("queries"))
-    texts = analysed(distinct_texts(snapshot), catalog)
-    weighted = weights.join(texts, "text_id", "left")
+    weighted = weights.join(texts_analysed, "text_id", "left")
     per_kind = [
         F.sum(
             F.col("queries")
@@ -881,6 +886,6 @@ def reference_counts(snapshot: DataFrame, catalog: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("refs").isNull(), F.col("queries")).otherwise(0)).alias(
             "queries_qualify_failed"
         ),
-        F.sum(F.when("top_star", F.col("queries")).otherwise(0)).alias("queries_top_level_star"),
+        F.sum(F.when(F.col("top_star"), F.col("queries")).otherwise(0)).alias("queries_top_level_star"),
         *per_kind,
     )

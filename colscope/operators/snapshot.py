@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,13 @@ from colscope.operators.quality import not_unique
 
 
 def in_window(time: Column, as_of: datetime, days: int) -> Column:
-    """The half-open window ``[as_of - days, as_of)``."""
-    end = F.lit(as_of)
-    return (time >= end - F.expr(f"INTERVAL {int(days)} DAYS")) & (time < end)
+    """The half-open window ``[as_of - days, as_of)``. Instants are UTC, and so is the session."""
+    end = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    start = F.lit((as_of - timedelta(days=days)).strftime("%Y-%m-%d %H:%M:%S.%f")).cast(
+        "timestamp_ntz"
+    )
+    at = time.cast("timestamp_ntz")
+    return (at >= start) & (at < end)
 
 
 def with_actor(history: DataFrame, actors: DataFrame) -> DataFrame:

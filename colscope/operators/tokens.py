@@ -112,9 +112,10 @@ def token_rows(texts: DataFrame) -> DataFrame:
             ),
         )
 
+    # Outer, so no filter on the token array is inferred and computed beside it.
     return texts.select(
-        "text_id", "database_name", "schema_name", F.inline(let(tokens, with_neighbours))
-    )
+        "text_id", "database_name", "schema_name", F.inline_outer(let(tokens, with_neighbours))
+    ).where(F.col("tok").isNotNull())
 
 
 def scoped(tokens: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ def catalog_executions(catalog: DataFrame, usage: DataFrame) -> DataFrame:
 def coverage(executions: DataFrame) -> DataFrame:
     """One row: documented and total columns and executions."""
     return executions.agg(
-        F.count_if("documented").alias("columns_documented"),
+        F.count_if(F.col("documented")).alias("columns_documented"),
         F.count(F.lit(1)).alias("columns_total"),
-        F.coalesce(F.sum(F.when("documented", F.col("executions"))), F.lit(0))
+        F.coalesce(F.sum(F.when(F.col("documented"), F.col("executions"))), F.lit(0))
         .cast("bigint")
         .alias("executions_documented"),
         F.coalesce(F.sum("executions"), F.lit(0)).cast("bigint").alias("executions_total"),

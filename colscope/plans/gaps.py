@@ -7,12 +7,16 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from colscope.functions.guards import require_empty
 from colscope.operators import lineage, ranking, snapshot, usage
+from colscope.operators.tokens import distinct_texts
+from colscope.plans.stages import staged
 
 
 @dataclass(frozen=True)
 class GapAnalysis:
-    """The tables of one analysis. Nothing runs until one of them is read."""
+    """The tables of one analysis. The snapshot and the references are written stages; the
+    rest is lazy over them."""
 
     classified: DataFrame
     records: DataFrame
@@ -36,14 +40,15 @@ def analyse(
     run_id: str,
     weight: float,
 ) -> GapAnalysis:
-    """One lazy plan from the history to the ranking.
+    """From the history to the ranking, over two written stages.
 
     Raise on the guards with ``check`` before trusting the ranking; they are actions, so
     they are left to the caller.
     """
-    rows = snapshot.classified(history, actors, as_of, window_days)
+    rows = staged(snapshot.classified(history, actors, as_of, window_days), "snapshot")
     records = snapshot.kept_records(rows)
-    references = lineage.query_references(records, catalog)
+    texts = staged(lineage.analysed(distinct_texts(records), catalog), "texts")
+    references = staged(lineage.query_references(records, texts), "references")
     refs = lineage.column_refs(references)
     scoped = usage.with_scope(records, run_id, qids)
     counted = scoped.where("scope_reason = 'in_scope'")
@@ -66,8 +71,6 @@ def check(
     history: DataFrame, analysis: GapAnalysis, catalog: DataFrame, min_parse_rate: float, min_rows: int
 ) -> None:
     """Fail when the history repeats an id, a gate is crossed or the scope matches nothing."""
-    from colscope.functions.guards import require_empty
-
     snapshot.require_unique_ids(history)
     gates = snapshot.gates(snapshot.counters(analysis.classified), min_parse_rate, min_rows)
     require_empty(gates.where("NOT passed"), "a snapshot gate is crossed")

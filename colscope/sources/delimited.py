@@ -31,6 +31,13 @@ def read_fact(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:
     )
 
 
+def parse_lines(lines: DataFrame, column: str, ddl: str) -> DataFrame:
+    """Delimited lines of a text column in their declared types; the same rules as the
+    file reader, for lines that arrive without a file."""
+    options = {"sep": ";", "mode": "FAILFAST"}
+    return lines.select(F.from_csv(F.col(column), F.lit(ddl), options).alias("r")).select("r.*")
+
+
 def missing_values(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """NOT NULL columns holding empties, with their counts."""
     return null_counts(df, required)

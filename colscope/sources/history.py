@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.contracts import HISTORY
@@ -16,11 +16,30 @@ UTC_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|\+00:00)$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The export's lines with their place: the file, and where their block starts in it."""
-    return spark.read.text(path).select(
+    """The export's lines: (file, line, value), ``line`` counting from 1 within a file.
+
+    A task reads a block of a file in order, so a row's place in its block is its distance
+    from the block's first row id; the lines of the blocks before it come from one count
+    per block. No file's lines are gathered to number them.
+    """
+    rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("value"),
+        "value",
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    before = (
+        Window.partitionBy("file")
+        .orderBy("block_start")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    blocks = (
+        rows.groupBy("file", "block_start")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    )
+    return rows.join(blocks, ["file", "block_start"]).select(
+        "file", (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias("line"), "value"
     )
 
 
