@@ -48,10 +48,10 @@ def aggregate_mismatches(
 ) -> DataFrame:
     """Keys an aggregate drops, repeats or sums differently from its fact."""
     again = fact.groupBy(*keys).agg(*[F.sum(m).alias(f"fact_{m}") for m in measures])
-    stored = aggregate.groupBy(*keys).agg(
+    stored = aggregate.groupBy(*[F.col(k).alias(f"agg_{k}") for k in keys]).agg(
         *[F.sum(m).alias(f"agg_{m}") for m in measures], F.count(F.lit(1)).alias("agg_rows")
     )
-    on = [again[k].eqNullSafe(stored[k]) for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"agg_{k}")) for k in keys]
     joined = again.withColumn("_in_fact", F.lit(True)).join(
         stored.withColumn("_in_agg", F.lit(True)), on, "full_outer"
     )
@@ -66,7 +66,7 @@ def aggregate_mismatches(
         .when(unequal, "unequal")
     )
     return joined.select(
-        *[F.coalesce(again[k], stored[k]).alias(k) for k in keys], problem.alias("problem")
+        *[F.coalesce(k, f"agg_{k}").alias(k) for k in keys], problem.alias("problem")
     ).where(F.col("problem").isNotNull())
 
 

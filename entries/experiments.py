@@ -115,7 +115,8 @@ def planned(spark, d):
         q.withColumn("_arms", arms)
         .withColumn("_reps", reps)
         .select("qid", "_reps", F.explode("_arms").alias("configuration"))
-        .select("qid", "configuration", F.explode("_reps").cast("bigint").alias("repetition"))
+        .select("qid", "configuration", F.explode("_reps").alias("repetition"))
+        .withColumn("repetition", F.col("repetition").cast("bigint"))
         .withColumn("run_key", F.concat_ws("/", "configuration", "qid", F.col("repetition").cast("string")))
     )
 
