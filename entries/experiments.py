@@ -264,21 +264,21 @@ def boot_means(spark, d):
     return sampling.bootstrap_means(diffs, "qid", "d", 4, 200)
 
 
-@query("h7_bootstrap_means", with_sql(_BOOT, "SELECT j AS resample, round(mean, 9) AS mean FROM means"))
+@query("h7_bootstrap_means", with_sql(_BOOT, "SELECT j AS resample, round(mean, 9) + 0.0 AS mean FROM means"))
 def h7(spark, d):
-    return boot_means(spark, d).select("resample", F.round("mean", 9).alias("mean"))
+    return boot_means(spark, d).select("resample", (F.round("mean", 9) + 0.0).alias("mean"))
 
 
 @query(
     "w11_percentile_interval",
     with_sql(
         _BOOT,
-        ", r AS (SELECT round(mean, 9) AS mean, row_number() OVER (ORDER BY round(mean, 9), j) AS p FROM means), b AS (SELECT max(mean) FILTER (p = 5) AS lower, max(mean) FILTER (p = 196) AS upper FROM r)"
+        ", r AS (SELECT round(mean, 9) + 0.0 AS mean, row_number() OVER (ORDER BY round(mean, 9) + 0.0, j) AS p FROM means), b AS (SELECT max(mean) FILTER (p = 5) AS lower, max(mean) FILTER (p = 196) AS upper FROM r)"
         " SELECT lower, upper, CASE WHEN lower > 0 THEN 'improves' WHEN upper < 0 THEN 'worse' ELSE 'no difference' END AS verdict FROM b",
     ).replace(" , r AS", ", r AS"),
 )
 def w11(spark, d):
-    means = boot_means(spark, d).withColumn("mean", F.round("mean", 9))
+    means = boot_means(spark, d).withColumn("mean", F.round("mean", 9) + 0.0)
     return sampling.percentile_interval(means, 5, 196)
 
 

@@ -600,6 +600,26 @@ def j12(spark, d):
     return experiment.confusion_pairs(*_run_and_gold_columns(spark, d))
 
 
+@query(
+    "j12_attribution_agreement",
+    with_sql(
+        t.REFS_SQL,
+        ", run_cols AS (SELECT DISTINCT s.query_id AS run_key, s.qid, r.fqn FROM refs r JOIN snap s ON s.query_id = r.query_id WHERE s.qid IS NOT NULL AND NOT s.succeeded),"
+        " gold AS (SELECT DISTINCT s.qid, r.fqn FROM refs r JOIN snap s ON s.query_id = r.query_id WHERE s.qid IS NOT NULL AND s.event_type = 'click' AND s.k < 30),"
+        " att AS (SELECT run_key, qid, min(fqn) AS fqn FROM run_cols GROUP BY 1, 2)"
+        " SELECT count(*) AS attributed, count(*) FILTER ((qid, fqn) NOT IN (SELECT (qid, fqn) FROM gold)) AS agreed,"
+        " round(count(*) FILTER ((qid, fqn) NOT IN (SELECT (qid, fqn) FROM gold)) / nullif(count(*), 0)::DOUBLE, 10) AS rate FROM att",
+    ).replace(" , run_cols", ", run_cols"),
+)
+def j12b(spark, d):
+    run, gold = _run_and_gold_columns(spark, d)
+    attributed = run.groupBy("run_key").agg(F.min("fqn").alias("fqn"))
+    pairs = experiment.confusion_pairs(run, gold)
+    return experiment.attribution_agreement(attributed, pairs).withColumn(
+        "rate", F.round("rate", 10)
+    )
+
+
 def _run_and_gold_columns(spark, d):
     r = records(spark, d).where("qid IS NOT NULL")
     read = refs(spark, d).select("query_id", "fqn").distinct()

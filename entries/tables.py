@@ -31,6 +31,11 @@ def memo(fn):
     return built
 
 
+def forget() -> None:
+    """Drop the remembered plans, so their written stages are made again."""
+    _memo.clear()
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
