@@ -66,12 +66,15 @@ def normalized_texts(texts: DataFrame, column: str = "query_text") -> DataFrame:
     """(raw_id, normalized_sql, problem), each distinct text analysed once.
 
     Logs repeat: the grouping combines on the map side, so a text a third of the log
-    holds reaches the shuffle once per task.
+    holds reaches the shuffle once per task. The distinct texts are then spread over all
+    cores by number: they are few bytes and much work, which AQE would put in one task.
     """
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         texts.select(text_id(F.col(column)).alias("raw_id"), F.col(column).alias("_text"))
         .groupBy("raw_id")
         .agg(F.first("_text").alias("_text"))
+        .repartition(width, "raw_id")
         .select("raw_id", normalize(F.col("_text")).alias("_n"))
         .select(
             "raw_id", F.col("_n.text").alias("normalized_sql"), F.col("_n.problem").alias("problem")

@@ -67,8 +67,11 @@ def distinct_texts(snapshot: DataFrame) -> DataFrame:
     """(text_id, sql, database_name, schema_name): what attribution depends on.
 
     Attribution reads the text and the session context only, so it runs once per
-    distinct pair and is joined back to the queries.
+    distinct pair and is joined back to the queries. The texts are spread by number, which
+    AQE leaves alone: few bytes, much work. Every later window and grouping is by text,
+    so this is the only shuffle of the token table.
     """
+    width = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         snapshot.select(
             context_id().alias("text_id"), "normalized_sql", "database_name", "schema_name"
@@ -79,6 +82,7 @@ def distinct_texts(snapshot: DataFrame) -> DataFrame:
             F.first("database_name").alias("database_name"),
             F.first("schema_name").alias("schema_name"),
         )
+        .repartition(width, "text_id")
     )
 
 
