@@ -49,11 +49,16 @@ def digest_modulo(hex_digest: Column, n: Column) -> Column:
     The 64 digits are read 8 at a time, so ``remainder * 16**8 + block`` stays in a
     bigint for every n below 2**31.
     """
-    remainder = F.lit(0).cast("bigint")
-    for block in range(8):
-        piece = F.conv(F.substring(hex_digest, 1 + 8 * block, 8), 16, 10).cast("bigint")
-        remainder = F.pmod(remainder * F.lit(1 << 32) + piece, n.cast("bigint"))
-    return remainder
+    def folded(digest: Column) -> Column:
+        def step(remainder: Column, block: Column) -> Column:
+            piece = F.conv(F.substr(digest, 8 * block + 1, F.lit(8)), 16, 10).cast("bigint")
+            return F.pmod(remainder * F.lit(1 << 32) + piece, n.cast("bigint"))
+
+        blocks = F.array(*[F.lit(i) for i in range(8)])
+        return F.aggregate(blocks, F.lit(0).cast("bigint"), step)
+
+    # Bound once, so the digest isn't hashed again for each of its blocks.
+    return F.transform(F.array(hex_digest), folded)[0]
 
 
 def canonical_json(columns: Sequence[str]) -> Column:

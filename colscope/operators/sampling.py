@@ -78,15 +78,23 @@ def bootstrap_means(
     indexed = global_row_number(differences.select(key, value), [(key, False)], "_no").select(
         (F.col("_no") - 1).alias("index"), F.col(value).cast("double").alias("d")
     )
+    # Scalars by way of columns: a higher-order function takes no subquery.
     n = differences.agg(F.count(F.lit(1))).scalar()
-    positions = differences.agg(
-        F.sequence(F.lit(0).cast("bigint"), F.count(F.lit(1)) - 1)
-    ).scalar()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     draws = (
-        spark.range(resamples)
-        .select(F.col("id").alias("resample"), F.explode(positions).alias("i"))
-        .withColumn(
-            "index", digest_modulo(seeded_digest(seed, F.col("resample"), F.col("i")), n)
+        spark.range(0, resamples, 1, width)
+        .withColumn("_n", n)
+        # Outer, so no filter on the positions is inferred and computed beside them.
+        .select(
+            F.col("id").alias("resample"),
+            "_n",
+            F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("i"),
+        )
+        .select(
+            "resample",
+            digest_modulo(seeded_digest(seed, F.col("resample"), F.col("i")), F.col("_n")).alias(
+                "index"
+            ),
         )
         .groupBy("resample", "index")
         .agg(F.count(F.lit(1)).alias("times"))
