@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from colscope.llm import exact_dedup, sharding
+from colscope.llm import exact_dedup, line_dedup, mixing, sharding, token_counts
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 SQL = {
+    "op6_token_counts": token_counts.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
