@@ -7,7 +7,7 @@ import re
 import struct
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -28,12 +28,10 @@ NAME, ADD_DUMMY_PREFIX, REMOVE_EXTRA_WHITESPACES, ESCAPE_WHITESPACES = 1, 3, 4,
 
 #: Between pre-tokens in a call of the model.
 SEPARATOR = "\n"
-#: Pre-tokens whose ids a worker remembers; it forgets all when they are so many (some 60 MB).
-REMEMBERED = 250_000
-#: Pre-tokens handled at once of a long text.
-AT_ONCE = 1 << 18
-#: Longer pre-tokens aren't remembered.
-LONGEST_REMEMBERED = 64
+#: Pre-tokens encoded at once (some 5 MB of text), and the characters from which a text is read in parts.
+AT_ONCE, LONG_TEXT = 1 << 20, 1 << 22
+#: Distinct pre-tokens in one text that the model gets: its queue of merges stays short.
+AT_A_CALL = 32
 
 
 def byte_characters() -> list[str]:
@@ -147,53 +145,66 @@ class Codec:
         back = {c: b for b, c in enumerate(chars)}
         self.unknown = self.pieces.get_piece_size() - 1
         self.token = [bytes(back[c] for c in self.pieces.id_to_piece(i)) for i in range(self.unknown)]
-        # a pre-token that is a piece is that one id, also where merges don't lead to it
-        pieces = [self.pieces.id_to_piece(i) for i in range(self.unknown)]
-        self.whole = {t: i for i, (t, got) in enumerate(zip(self.token, self.pieces.encode(pieces, num_threads=1), strict=True)) if got != [i]}
         # UTF-8 has no byte 0xFF: it parts pre-tokens, as a character that no piece holds
         self.to_char = "".join(chars[:255]) + SEPARATOR
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _new(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        ids = self.pieces.encode(b"\xff".join(raw).decode("latin-1").translate(self.to_char), num_threads=1)
-        ids.append(self.unknown)
-        out, at = {}, 0
-        for w in words:
-            end = ids.index(self.unknown, at)
-            out[w] = tuple(ids[at:end])
-            at = end + 1
-        if self.whole:
-            out |= {w: (self.whole[r],) for w, r in zip(words, raw, strict=True) if r in self.whole}
-        return out
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        missing = {w for w in set(words) if w not in known}
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = set(words)
-            new = self._new(list(missing))
-            if max(map(len, missing)) <= LONGEST_REMEMBERED:
-                known.update(new)
-            else:
-                known.update((w, i) for w, i in new.items() if len(w) <= LONGEST_REMEMBERED)
-                known = {w: known[w] for w in set(words) - missing} | new
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text; a null text has none."""
-        text = text or ""
+    def _distinct(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pre-tokens, one after another, and where each one's ids start (and end)."""
+        joined = [b"\xff".join([*raw[i : i + AT_A_CALL], b""]) for i in range(0, len(raw), AT_A_CALL)]
+        coded = self.pieces.encode([j.decode("latin-1").translate(self.to_char) for j in joined], num_threads=1)
+        ids = np.fromiter(chain.from_iterable(coded), np.int32)
+        parted = np.flatnonzero(ids == self.unknown)
+        starts = np.concatenate([[0], parted - np.arange(len(parted))])
+        ids = ids[ids != self.unknown]
+        return ids, starts
+
+    def _block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has; each distinct one is encoded once."""
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        ids, starts = self._distinct(coded.dictionary.cast(pa.binary()).to_pylist())
+        index = coded.indices.to_numpy()
+        sizes = np.diff(starts)[index]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(starts[index] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
+
+    def encode_all(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has; a null text has none."""
+        parts, sizes = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        owners: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            if words:
+                ids, counts = self._block(words)
+                parts.append(ids)
+                upto = np.concatenate([[0], np.cumsum(counts)])
+                ends = np.cumsum([n for _, n in owners])
+                np.add.at(sizes, [i for i, _ in owners], np.diff(upto[np.concatenate([[0], ends])]))
+            words.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            for found in self._pre_tokens(text or ""):
+                words.extend(found)
+                owners.append((i, len(found)))
+                if len(words) >= AT_ONCE:
+                    flush()
+        flush()
+        return np.concatenate(parts), sizes
+
+    def _pre_tokens(self, text: str) -> Iterator[list[str]]:
         wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
         pattern = compiled(self.pattern, sys.maxunicode if wide else 0xFFFF)
-        if len(text) <= AT_ONCE:
-            return self._ids(pattern.findall(text))
-        found = (m.group() for m in pattern.finditer(text))
-        parts = []
-        while words := list(islice(found, AT_ONCE)):
-            parts.append(self._ids(words))
-        return np.concatenate(parts)
+        if len(text) <= LONG_TEXT:
+            yield pattern.findall(text)
+        else:
+            found = (m.group() for m in pattern.finditer(text))
+            while words := list(islice(found, AT_ONCE)):
+                yield words
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         """The bytes of ids, by the inverse mapping of their pieces."""
@@ -211,7 +222,12 @@ def _model(path: str | None, pattern: str | None) -> tuple[bytes, str]:
 
         path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
-    return serialised_model(read_ranks(path)), pattern
+    model = serialised_model(read_ranks(path))
+    pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+    n = pieces.get_piece_size() - 1
+    if any(ids != [i] for i, ids in enumerate(pieces.encode([pieces.id_to_piece(i) for i in range(n)], num_threads=1))):
+        raise ValueError("a piece that its own merges don't lead to would be encoded otherwise")
+    return model, pattern
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -236,10 +252,9 @@ def encode(
         own = codec(*shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            ids = [own.encode(t.as_py()) for t in texts]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-            yield _with(batch, into, pa.ListArray.from_arrays(pa.array(ends), values))
+            ids, sizes = own.encode_all(texts.to_pylist())
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield _with(batch, into, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
 
     rest = docs.drop(into)
     return rest.mapInArrow(encoded, rest.withColumn(into, F.lit(None).cast("array<int>")).schema)
