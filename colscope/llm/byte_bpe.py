@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents
+from colscope.llm.common import documents, ship
 
 #: Field numbers and codes of the sentencepiece model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -246,6 +246,7 @@ def encode(
     named like ``into`` is replaced. An empty table gives none.
     """
     model, pattern = _model(path, pattern)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model, pattern))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +269,7 @@ def decode(
     A column named like ``into`` is replaced. Ids outside the vocabulary are an error.
     """
     model, pattern = _model(path, None)
+    ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast((model, pattern))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from colscope.llm import byte_bpe, exact_dedup, line_dedup, mixing, sharding, simhash, token_counts
+from colscope.llm import byte_bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import cut, documents, join_hot
+from colscope.llm.common import cut, documents, join_hot, ship
 from colscope.llm.components import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -75,6 +75,7 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id`` and ``_print``, the fingerprint as a signed long, of every row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInPandas(_fingerprints, "_id long, _print long")
 
