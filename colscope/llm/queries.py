@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from colscope.llm import byte_bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
+from colscope.llm import ann, byte_bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_nearest": ann.op1_nearest,
     "op2_simhash": simhash.op2_simhash,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
