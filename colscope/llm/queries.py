@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from colscope.llm import ann, byte_bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
@@ -23,3 +25,6 @@ SQL = {
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -70,14 +70,19 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch["_text"]], np.uint64)
-        yield pd.DataFrame({"_id": batch["_id"], "_print": prints.view(np.int64)})
+        yield pd.DataFrame({"_id": batch["_id"], "_sha": batch["_sha"], "_print": prints.view(np.int64)})
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id`` and ``_print``, the fingerprint as a signed long, of every row."""
+    """``_id``, ``_sha`` (sha256 of the text) and ``_print``, the fingerprint as a signed long, of every row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(_fingerprints, "_id long, _print long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(text_col).alias("_sha"), F.col(text_col).alias("_text"))
+    return rows.mapInPandas(_fingerprints, "_id long, _sha string, _print long")
+
+
+def text_digest(text_col: str) -> Column:
+    """Tells texts apart; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
 def _half(which: int) -> Column:
@@ -119,29 +124,48 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``_id``, fingerprint (16 hex digits) and component_id.
+    """One row per row of ``docs``: ``_id``, ``_sha``, fingerprint (16 hex digits), component_id and kept.
 
     Documents link when their fingerprints differ in 4 bits or fewer; component_id is the smallest id
-    reachable by links. Null and empty texts have fingerprint 0 and link as others do; a null id counts
-    for no component's smallest, a component of null ids alone has a null one; repeated rows each get
-    their row; other columns take no part. An empty table gives none.
+    reachable by links. Of a component the document with that id stays (``kept``); of several with it,
+    the one whose text has the smallest sha256, ``_sha``. Null and empty texts have fingerprint 0 and
+    link as others do; a null id comes last, a component of null ids alone has a null one; rows alike in
+    id and text each get their row and stay or go together; other columns take no part. An empty table
+    gives none.
 
     Copies share a fingerprint, so only distinct fingerprints are indexed, linked and contracted.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
     n = rows.count()
-    nodes = cut(rows.groupBy("_print").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_sha").alias("sha"))
+    nodes = cut(rows.groupBy("_print").agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("_rows")))
     stars = components(links(nodes.select("_print")))
     rooted = nodes.join(stars, F.col("_print") == F.col("node"), "left").withColumn(
         "_root", F.coalesce("root", "_print")
     )
-    roots = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    roots = rooted.groupBy("_root").agg(F.min("_least").alias("_first"))
     hexed = F.lpad(F.lower(F.hex("_print")), 16, "0")
-    groups = rooted.join(roots, "_root").select(hexed.alias("fingerprint"), "_rows", "component_id")
-    return join_hot(
-        rows.select("_id", hexed.alias("fingerprint")), groups, "fingerprint", "_rows", max(1000, n // HOT_SHARE)
-    ).select("_id", "fingerprint", "component_id")
+    groups = rooted.join(roots, "_root").select(hexed.alias("fingerprint"), "_rows", "_first")
+    joined = join_hot(
+        rows.select("_id", "_sha", hexed.alias("fingerprint")), groups, "fingerprint", "_rows", max(1000, n // HOT_SHARE)
+    )
+    return joined.select(
+        "_id", "_sha", "fingerprint", F.col("_first.id").alias("component_id"), place.eqNullSafe(F.col("_first")).alias("kept")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one a component if rows differ in id or text; all columns as they were.
+
+    Those that go are taken out by a join on their id and digest, so only few rows' keys travel.
+    """
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept"))
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha")).distinct()
+    alike = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (text_digest(text_col) == F.col("_gone_sha"))
+    return docs.join(gone, alike, "left_anti")
 
 
 def op2_simhash(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("_id", "doc_id")
+    return near_duplicates(documents(spark, sf_dir)).select(
+        F.col("_id").alias("doc_id"), "fingerprint", "component_id"
+    )
