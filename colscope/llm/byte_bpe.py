@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, ship
+from colscope.llm.common import documents, ship, with_arrays
 
 #: Field numbers and codes of the sentencepiece model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -230,11 +230,6 @@ def _model(path: str | None, pattern: str | None) -> tuple[bytes, str]:
     return model, pattern
 
 
-def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != name]
-    return pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], column], [*names, name])
-
-
 def encode(
     docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, into: str = "ids"
 ) -> DataFrame:
@@ -255,7 +250,7 @@ def encode(
             texts = batch.column(batch.schema.get_field_index(text_col))
             ids, sizes = own.encode_all(texts.to_pylist())
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield _with(batch, into, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
+            yield with_arrays(batch, **{into: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))})
 
     rest = docs.drop(into)
     return rest.mapInArrow(encoded, rest.withColumn(into, F.lit(None).cast("array<int>")).schema)
@@ -276,7 +271,8 @@ def decode(
         own = codec(*shared.value)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            yield _with(batch, into, pa.array([own.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in ids], pa.binary()))
+            found = [own.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in ids]
+            yield with_arrays(batch, **{into: pa.array(found, pa.binary())})
 
     rest = rows.drop(into)
     return rest.mapInArrow(decoded, rest.withColumn(into, F.lit(None).cast("binary")).schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def carried(docs: DataFrame, added: Iterable[str]) -> tuple[list[Column], list[str], list[Column]]:
+    """How an operator takes a frame's columns along: under names of its own, which clash with none.
+
+    Gives the columns to select first, their inner names, and the columns to select last. Columns
+    named like one of ``added``, the operator's results, are left out.
+    """
+    kept = [c for c in docs.columns if c not in set(added)]
+    inner = [f"__{i}" for i in range(len(kept))]
+    first = [F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)]
+    return first, inner, [F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)]
+
+
+def with_arrays(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
+    """The batch with columns put behind its own."""
+    columns = [*batch.columns, *arrays.values()]
+    return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *arrays])
+
+
 _shipped: set[str] = set()
 
 

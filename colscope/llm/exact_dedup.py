@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colscope.llm.common import SPACES, cut, join_hot
+from colscope.llm.common import SPACES, carried, cut, documents, join_hot
 
 #: Filter bits a document and hash function: one row in 16 falls on a bit that another has set.
 BITS_A_ROW = 16
@@ -77,8 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical without spaces; null counts as empty, so all empty texts are one
     group. Of a group the row with the most code points in its original text stays, then the smallest
-    id (a null id last); of rows that repeat that row altogether, one. A column of the input named
-    like one of the four results, or from ``_`` on like a helper's, is replaced. An empty table gives none.
+    id (a null id last); of rows that repeat that row, id and text alike, one. A column of the input
+    named like one of the four results is replaced. An empty table gives none.
 
     Pass one counts the rows on each of two hashed positions and keeps the positions with two or
     more as a filter. Pass two looks each row up: rows with a free position have no equal and pass
@@ -86,25 +86,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     map side first, and hot groups are served by broadcast.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
-    columns = [c for c in docs.columns if c not in added]
+    first, columns, last = carried(docs, added)
     n = docs.count()
     bits = min(max_bits, max(1 << 16, 1 << math.ceil(math.log2(max(1, n * BITS_A_ROW)))))
     keyed = docs.select(
-        *columns,
+        *first,
+        F.col(id_col).alias("_id"),
         F.sha2(without_spaces(F.col(text_col)), 256).alias("_sha"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"),
     )
     words = cut(repeated_bits(keyed, bits))
     flagged = _flagged(keyed, words, bits)
     alone = flagged.where(~F.col("_maybe")).select(
-        *columns,
-        F.col(id_col).alias("keep_id"),
+        *last,
+        F.col("_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
     maybe = flagged.where("_maybe")
-    best = F.struct((-F.col("_len")).alias("l"), F.col(id_col).isNull().alias("u"), F.col(id_col).alias("d"))
+    best = F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("u"), F.col("_id").alias("d"))
     groups = cut(
         maybe.groupBy("_sha", best.alias("b"))
         .agg(F.count(F.lit(1)).alias("c"))
@@ -114,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("_sha", "_size", F.col("w.b").alias("_best"), F.col("w.c").alias("_equal"))
     )
     rows = join_hot(
-        maybe.select(*columns, "_sha", "_len"), groups, "_sha", "_size", max(1000, n // HOT_SHARE)
+        maybe.select(*columns, "_id", "_sha", "_len"), groups, "_sha", "_size", max(1000, n // HOT_SHARE)
     ).withColumn("kept", F.col("_best").isNull() | best.eqNullSafe(F.col("_best")))
     if groups.where("_equal > 1").take(1):
         spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int")
@@ -123,8 +124,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _one_of_equals(rows.where("_equal > 1").withColumn("_spread", spread)).select(*plain.columns)
         )
     together = rows.select(
-        *columns,
-        F.expr("if(_best is null, `%s`, _best.d)" % id_col).alias("keep_id"),
+        *last,
+        F.when(F.col("_best").isNull(), F.col("_id")).otherwise(F.col("_best.d")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         "kept",
         F.col("_sha").alias("text_sha256"),
@@ -133,8 +134,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_exact_dedup(spark, sf_dir):
-    from colscope.llm.common import documents
-
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import join_hot, table
+from colscope.llm.common import carried, join_hot, table
 
 #: A line on more than this share of its host's pages, and on so many pages at least, is boilerplate.
 RATIO, MIN_PAGES = 0.1, 3
@@ -64,18 +64,17 @@ def drop_boilerplate(
 
     A line is boilerplate for a host if more than ``ratio`` of the host's pages, and ``min_pages`` at
     least, hold it. Repeated rows count as pages of their own; a page without lines (null or empty
-    included) counts as a page and keeps an empty text. Input columns named like a result or a helper
-    (from ``_`` on) are replaced. An empty table gives none.
+    included) counts as a page and keeps an empty text. Input columns named like a result are
+    replaced. An empty table gives none.
     """
-    added = ["host", "n_lines", "n_kept", "kept_text", "_host", "_lines", "_boilerplate", "_pages"]
-    columns = [c for c in pages.columns if c not in added]
-    split = pages.select(*columns, host.alias("_host"), lines.alias("_lines"))
+    first, _, last = carried(pages, ["host", "n_lines", "n_kept", "kept_text"])
+    split = pages.select(*first, host.alias("_host"), lines.alias("_lines"))
     hot = max(1000, pages.count() // HOT_SHARE)
     lists = boilerplate(split.select("_host", "_lines"), ratio, min_pages, hot)
     joined = join_hot(split, lists, "_host", "_pages", hot)
     kept = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce("_boilerplate", F.array().cast("array<string>")), x))
     return joined.withColumn("_kept", kept).select(
-        *columns,
+        *last,
         F.col("_host").alias("host"),
         F.size("_lines").alias("n_lines"),
         F.size("_kept").alias("n_kept"),

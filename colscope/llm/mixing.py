@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.functions.ordering import global_row_number
-from colscope.llm.common import cut, documents, word_count
+from colscope.llm.common import carried, cut, documents, word_count
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -121,13 +121,12 @@ def mix(
     lies under the source's threshold, so a source's words end within half a document of the target
     and no row exceeds ``most`` times its size. A null text has no words; null sources are one
     source, the last; a source without words has target 0. Rows alike in id and text share a draw and
-    go together. Columns of the input named like a result or a helper (from ``_`` on) are replaced.
-    An empty table gives none.
+    go together. Columns of the input named like a result are replaced. An empty table gives none.
     """
     added = ["size", "source_size", "target", "taken"]
-    columns = [c for c in docs.columns if c not in added]
+    first, _, last = carried(docs, added)
     rows = docs.select(
-        *columns,
+        *first,
         F.col(source_col).alias("_source"),
         word_count(F.col(text_col)).alias("_size"),
         draw(id_col, text_col).alias("_draw"),
@@ -149,7 +148,7 @@ def mix(
     return rows.join(
         _small(plan, n_sources), F.col("_source").eqNullSafe(F.col("_p_source")), "left"
     ).select(
-        *columns,
+        *last,
         F.col("_size").alias("size"),
         F.col("source_size").cast("long").alias("source_size"),
         "target",

@@ -7,10 +7,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, ship, table
+from colscope.llm.common import documents, ship, table, with_arrays
 from colscope.llm.fitting import fit_sample, remainder
 
 #: Labelled rows to fit on at most; latent dimensions; neighbours that vote; power of their similarity.
@@ -123,18 +124,18 @@ def classify(docs: DataFrame, space: Space, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(space)
     rest = docs.drop("score", "predicted")
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            out = np.zeros(len(batch))
-            texts = batch[text_col].to_numpy()
-            for at in range(0, len(batch), BLOCK):
-                part = texts[at : at + BLOCK]
+            out = np.zeros(batch.num_rows)
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for at in range(0, batch.num_rows, BLOCK):
+                part = texts.slice(at, BLOCK).to_pylist()
                 out[at : at + BLOCK] = own.scores(np.stack([terms(t) for t in part]))
-            yield batch.assign(score=out)
+            yield with_arrays(batch, score=pa.array(out))
 
     schema = rest.withColumn("score", F.lit(0.0)).schema
-    out = rest.mapInPandas(scored, schema)
+    out = rest.mapInArrow(scored, schema)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.common import cut, documents
+from colscope.llm.common import carried, cut, documents
 
 #: Rows that one second-permutation group holds, about.
 GROUP_ROWS = 16_384
@@ -80,14 +80,12 @@ def uniform_shards(rows: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     permuted again by a second hash, in groups of some 16,000 so that no shard meets in one task.
 
     The same seed and input partitions give the same result. Any value may be null and rows may
-    repeat: only places count. Columns shard and slot of the input, and helpers (``_part``, ``_place``,
-    ``_hash``, ``_cum``, ``_group``, ``_before``), are replaced. An empty table gives none.
+    repeat: only places count. Columns shard and slot of the input are replaced. An empty table gives none.
     """
     spark = rows.sparkSession
-    helpers = {"shard", "slot", "_part", "_place", "_hash", "_cum", "_group", "_before"}
-    columns = [c for c in rows.columns if c not in helpers]
+    first, columns, last = carried(rows, ["shard", "slot"])
     placed = cut(
-        rows.select(*columns, F.monotonically_increasing_id().alias("_row"))
+        rows.select(*first, F.monotonically_increasing_id().alias("_row"))
         .sortWithinPartitions(F.xxhash64(F.lit(seed), "_row"))
         .select(*columns, F.monotonically_increasing_id().alias("_at"))
         .select(
@@ -126,7 +124,7 @@ def uniform_shards(rows: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     )
     inside = Window.partitionBy("shard", "_group").orderBy("_hash", "_part", "_place")
     return sent.join(before, ["shard", "_group"]).select(
-        *columns, "shard", (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias("slot")
+        *last, "shard", (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias("slot")
     )
 
 

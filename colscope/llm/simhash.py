@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import cut, documents, join_hot, ship
+from colscope.llm.common import carried, cut, documents, join_hot, ship, with_arrays
 from colscope.llm.components import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -67,17 +67,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch["_text"]], np.uint64)
-        yield pd.DataFrame({"_id": batch["_id"], "_sha": batch["_sha"], "_print": prints.view(np.int64)})
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
+        yield with_arrays(batch.select([0, 1]), _print=pa.array(prints.view(np.int64)))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id``, ``_sha`` (sha256 of the text) and ``_print``, the fingerprint as a signed long, of every row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(text_col).alias("_sha"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(_fingerprints, "_id long, _sha string, _print long")
+    return rows.mapInArrow(_fingerprints, "_id long, _sha string, _print long")
 
 
 def text_digest(text_col: str) -> Column:
@@ -161,8 +161,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept"))
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha")).distinct()
-    alike = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (text_digest(text_col) == F.col("_gone_sha"))
-    return docs.join(gone, alike, "left_anti")
+    first, _, last = carried(docs, [])
+    rows = docs.select(*first, F.col(id_col).cast("long").alias("_id"), text_digest(text_col).alias("_sha"))
+    alike = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha"))
+    return rows.join(gone, alike, "left_anti").select(*last)
 
 
 def op2_simhash(spark, sf_dir):

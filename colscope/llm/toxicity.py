@@ -11,10 +11,11 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import cut, documents, ship, table
+from colscope.llm.common import cut, documents, ship, table, with_arrays
 from colscope.llm.fitting import fit_sample, remainder
 
 #: Labelled rows to fit on at most, and lexicon entries learned at most.
@@ -261,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
 
 
 SPANS = "array<struct<start:int,end:int,score:double>>"
+ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
@@ -274,19 +276,19 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     rest = docs.drop("score", "predicted", "clauses")
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             scores, spans = [], []
-            for text in batch[text_col]:
-                found = own.matches(text)
+            for text in batch.column(batch.schema.get_field_index(text_col)):
+                found = own.matches(text.as_py())
                 total = np.sum([f[2] for f in found], axis=0) if found else np.zeros(2 * MARKS)
                 scores.append(own.probability(np.minimum(total, MOST_WEIGHT)))
                 spans.append([{"start": a, "end": b, "score": own.probability(np.minimum(x, MOST_WEIGHT))} for a, b, x in found])
-            yield batch.assign(score=scores, clauses=spans)
+            yield with_arrays(batch, score=pa.array(scores, pa.float64()), clauses=pa.array(spans, ARROW_SPANS))
 
     schema = rest.withColumn("score", F.lit(0.0)).withColumn("clauses", F.lit(None).cast(SPANS)).schema
-    return rest.mapInPandas(scored, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rest.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op3_toxicity(spark, sf_dir):
