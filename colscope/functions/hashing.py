@@ -43,22 +43,20 @@ def in_sample(key: Column, one_in: int) -> Column:
     return F.substring(F.sha2(key, 256), 1, 16) < F.lit(sample_threshold(one_in))
 
 
-def digest_modulo(hex_digest: Column, n: Column) -> Column:
+def digest_modulo(hex_digest: Column, n: int) -> Column:
     """The hex digest read as one big integer, modulo ``n``, without leaving 64 bits.
 
-    The 64 digits are read 8 at a time, so ``remainder * 16**8 + block`` stays in a
-    bigint for every n below 2**31.
+    The 64 digits are read 8 at a time, so ``remainder * 16**8 + block`` stays in a bigint
+    for every n below 2**31; a larger n is refused. Give a column that holds the digest,
+    so it isn't hashed again for each of its blocks.
     """
-    def folded(digest: Column) -> Column:
-        def step(remainder: Column, block: Column) -> Column:
-            piece = F.conv(F.substr(digest, 8 * block + 1, F.lit(8)), 16, 10).cast("bigint")
-            return F.pmod(remainder * F.lit(1 << 32) + piece, n.cast("bigint"))
-
-        blocks = F.array(*[F.lit(i) for i in range(8)])
-        return F.aggregate(blocks, F.lit(0).cast("bigint"), step)
-
-    # Bound once, so the digest isn't hashed again for each of its blocks.
-    return F.transform(F.array(hex_digest), folded)[0]
+    if not 0 < n < 1 << 31:
+        raise ValueError("the modulus must be from 1 to 2**31 - 1")
+    remainder = F.lit(0).cast("bigint")
+    for block in range(8):
+        piece = F.conv(F.substring(hex_digest, 8 * block + 1, 8), 16, 10).cast("bigint")
+        remainder = (remainder * F.lit(1 << 32) + piece) % F.lit(n)
+    return remainder
 
 
 def canonical_json(columns: Sequence[str]) -> Column:

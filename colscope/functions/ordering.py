@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# About how many ranges a global order is cut into. The boundary list travels with
-# every row's comparison, so it is kept to this size whatever the input is.
-RANGES = 64
+from colscope.plans.stages import staged
 
 
 def global_row_number(
@@ -19,43 +17,26 @@ def global_row_number(
 ) -> DataFrame:
     """Number the rows 1..n in the order of ``keys``, pairs of (column, descending).
 
-    ``keys`` must be a total order. A window with no partition would pull every row
-    into one task, so the order is cut into ranges: about ``RANGES`` boundary rows are
-    picked by hash, each row finds its range by counting the boundaries before it, the
-    ranges' sizes give each range's offset, and rows are numbered inside their range.
-    The numbers are exact whatever boundaries were picked; only balance depends on them.
+    ``keys`` must be a total order; nulls come first in it, last in a descending key. A
+    window with no partition would pull every row into one task, so the rows are sorted
+    by range, as many ranges as the session shuffles into, and written once with their
+    place in the range. The ranges' sizes then give each range's offset: the input is
+    computed once and no range grows with the rest.
     """
-    columns = [c for c, _ in keys]
-    hashed = F.xxhash64(*columns)
-    # The smallest hashes are a uniform pick of rows; the top-k keeps it bounded.
-    picked = df.select(*columns, hashed.alias("_pick")).orderBy("_pick").limit(RANGES)
-    bounds = picked.agg(F.collect_list(F.struct(*columns)).alias("_bounds"))
-
-    def before(bound: Column) -> Column:
-        # Whether the boundary sorts strictly before the row.
-        verdict: Column = F.lit(False)
-        for column, descending in reversed(keys):
-            a, b = bound[column], F.col(column)
-            ahead = (a > b) if descending else (a < b)
-            verdict = F.when(a == b, verdict).otherwise(ahead)
-        return verdict
-
-    # A scalar subquery: one row, read once, no join.
-    ranged = (
-        df.withColumn("_bounds", bounds.scalar())
-        .withColumn("_range", F.size(F.filter("_bounds", before)))
-        .drop("_bounds")
+    order = [F.desc_nulls_last(c) if d else F.asc_nulls_first(c) for c, d in keys]
+    # The partition in the upper bits, the place in it in the lower 33.
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = staged(placed, "ordered").select(
+        *df.columns,
+        F.shiftright("_at", 33).alias("_range"),
+        F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
     )
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # At most RANGES + 1 rows reach this window.
+    # One row a range.
     running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_range").orderBy(
-        *[F.col(c).desc() if d else F.col(c).asc() for c, d in keys]
+    offsets = sizes.select(
+        F.col("_range").alias("_offset_range"), F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset")
     )
-    numbered = ranged.withColumn("_in_range", F.row_number().over(within))
-    return (
-        numbered.join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_offset") + F.col("_in_range"))
-        .drop("_range", "_in_range", "_offset")
+    return ranged.join(F.broadcast(offsets), F.col("_range") == F.col("_offset_range"), "left").select(
+        *df.columns, (F.col("_offset") + F.col("_place") + 1).alias(name)
     )

@@ -244,12 +244,3 @@ def limit_cuts_tie(result: DataFrame, keys: list[tuple[str, bool]], n: int) -> D
             F.bool_or((F.col("ahead") > F.col("inside")) & (F.col("inside") > 0)), F.lit(False)
         ).alias("cuts_tie")
     )
-
-
-def canonical_order(df: DataFrame) -> DataFrame:
-    """An unordered result sorted by every column by position, null first, names kept."""
-    positional = df.toDF(*[str(i) for i in range(len(df.columns))])
-    return positional.orderBy(*[F.col(f"`{i}`") for i in range(len(df.columns))]).toDF(
-        *df.columns
-    )
-

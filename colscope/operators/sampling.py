@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.functions.hashing import digest_modulo, in_sample, joined_text, seeded_digest
 from colscope.functions.ordering import global_row_number
-from colscope.operators.quality import not_unique
+
+#: Up to so many questions, 24 MB, a bootstrap broadcasts.
+BROADCAST_QUESTIONS = 1_000_000
 
 
 def hash_sample(df: DataFrame, grain: Sequence[str], one_in: int, separator: str = ";") -> DataFrame:
@@ -26,29 +28,45 @@ def outside_sample(small: DataFrame, large: DataFrame, keys: Sequence[str]) -> D
     return small.select(*keys).distinct().join(large.select(*keys), list(keys), "left_anti")
 
 
-def hash_order(ids: DataFrame, key: str, seed: int) -> DataFrame:
-    """The ids numbered in the order of their seeded digest."""
-    digests = ids.select(key).withColumn("digest", seeded_digest(seed, F.col(key)))
-    return global_row_number(digests, [("digest", False), (key, False)], "position")
+def _digests(ids: DataFrame, key: str, seed: int) -> DataFrame:
+    return ids.select(key).withColumn("_digest", seeded_digest(seed, F.col(key)))
 
 
 def split(ids: DataFrame, key: str, seed: int, first: int) -> DataFrame:
-    """The ``first`` ids by digest are discovery, the rest holdout."""
-    return hash_order(ids, key, seed).select(
-        key,
-        F.when(F.col("position") <= first, "discovery").otherwise("holdout").alias("part"),
+    """The ``first`` ids by digest are discovery, the rest holdout.
+
+    Only the last discovery id must be known: a bounded top-k, then a comparison.
+    """
+    digests = _digests(ids, key, seed)
+    place = F.struct("_digest", key)
+    last = digests.orderBy("_digest", key).limit(first).agg(F.max(place)).scalar()
+    return digests.select(
+        key, F.when(place <= last, "discovery").otherwise("holdout").alias("part")
     )
 
 
 def half_draw(ids: DataFrame, key: str, seed: int) -> DataFrame:
-    """The first half by digest, ``floor(n / 2)`` of n."""
-    half = ids.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
-    return hash_order(ids, key, seed).where(F.col("position") <= half).select(key)
+    """The first half by digest, ``floor(n / 2)`` of n.
 
-
-def listed_twice(ids: DataFrame, key: str) -> DataFrame:
-    """Ids a draw must refuse: those listed more than once."""
-    return not_unique(ids, [key])
+    Ids are counted by the first three digits of their digest, at most 4,096 counts. Whole
+    digits below the half go in; only the ids of the digits that hold the middle, one in
+    4,096, are put in order.
+    """
+    digests = _digests(ids, key, seed).withColumn("_digits", F.substring("_digest", 1, 3))
+    counts = digests.groupBy("_digits").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
+    half = F.floor(F.sum("_n").over(Window.partitionBy()) / 2)
+    cuts = counts.select(
+        F.col("_digits").alias("_of"),
+        (half - (F.sum("_n").over(upto) - F.col("_n"))).alias("_room"),
+        "_n",
+    )
+    marked = digests.join(F.broadcast(cuts), F.col("_digits") == F.col("_of"), "left")
+    whole = marked.where("_room >= _n").select(key)
+    middle = marked.where("_room > 0 AND _room < _n")
+    order = Window.partitionBy("_digits").orderBy("_digest", key)
+    part = middle.withColumn("_place", F.row_number().over(order)).where("_place <= _room").select(key)
+    return whole.unionAll(part)
 
 
 def lowest_digests(pool: DataFrame, key: str, seed: int, n: int) -> DataFrame:
@@ -70,37 +88,26 @@ def bootstrap_means(
     """The mean of each resample of the questions, drawn by hash with replacement.
 
     Resample j takes at position i the question at ``sha256("seed:j:i") mod n``, the
-    questions being sorted by id. Draws that hit one question are counted before the
-    join, so the differences join once per (resample, question) and no resample is
-    gathered in one place.
+    questions being sorted by id. The draws are one long range cut into even parts; each
+    looks its question up and is folded into its resample's sum where it is made, so only
+    sums are shuffled. The questions are broadcast up to BROADCAST_QUESTIONS of them.
     """
     spark = differences.sparkSession
     indexed = global_row_number(differences.select(key, value), [(key, False)], "_no").select(
         (F.col("_no") - 1).alias("index"), F.col(value).cast("double").alias("d")
     )
-    # Scalars by way of columns: a higher-order function takes no subquery.
-    n = differences.agg(F.count(F.lit(1))).scalar()
+    n = indexed.count()
+    looked_up = F.broadcast(indexed) if n <= BROADCAST_QUESTIONS else indexed.hint("shuffle_hash")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    draws = (
-        spark.range(0, resamples, 1, width)
-        .withColumn("_n", n)
-        # Outer, so no filter on the positions is inferred and computed beside them.
-        .select(
-            F.col("id").alias("resample"),
-            "_n",
-            F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("i"),
-        )
-        .select(
-            "resample",
-            digest_modulo(seeded_digest(seed, F.col("resample"), F.col("i")), F.col("_n")).alias(
-                "index"
-            ),
-        )
-        .groupBy("resample", "index")
-        .agg(F.count(F.lit(1)).alias("times"))
+    row = F.expr(f"id div {max(1, n)}"), F.expr(f"id % {max(1, n)}")
+    draws = spark.range(0, resamples * n, 1, width).select(
+        row[0].alias("resample"), seeded_digest(seed, *row).alias("_digest")
     )
-    return draws.join(indexed, "index").groupBy("resample").agg(
-        (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean")
+    return (
+        draws.select("resample", digest_modulo(F.col("_digest"), max(1, n)).alias("index"))
+        .join(looked_up, "index")
+        .groupBy("resample")
+        .agg(F.avg("d").alias("mean"))
     )
 
 

@@ -7,20 +7,31 @@ re-reads a file instead of recomputing, and every plan starts short.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    folder = tempfile.mkdtemp(prefix="spark-colscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder that all executors share, which ``spark.checkpoint.dir`` names.
+
+    A session on one machine that names none gets a temporary folder for its life. On a
+    cluster a folder of the driver's machine would lose rows, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _own.append(tempfile.mkdtemp(prefix="spark-colscope-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -252,7 +252,7 @@ def a24(spark, d):
 _BOOT = (
     f"{t.GRADES_SQL}, {_SCORES}, dd AS (SELECT qid, max(score) FILTER (arm = 'R') - max(score) FILTER (arm = 'A') AS d FROM scores GROUP BY 1 HAVING d IS NOT NULL),"
     " idx AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, d FROM dd), n AS (SELECT count(*) AS n FROM idx),"
-    " h AS (SELECT j, i, n, sha256('4:' || CAST(j AS VARCHAR) || ':' || CAST(i AS VARCHAR)) AS s FROM range(200) a(j), idx, n),"
+    " h AS (SELECT j, i, n, sha256('4:' || CAST(j AS VARCHAR) || ':' || CAST(i AS VARCHAR)) AS s FROM range(10000) a(j), idx, n),"
     " fold AS (SELECT j, list_reduce([CAST(0 AS HUGEINT)] || list_transform(range(1, 9), lambda b: CAST(('0x' || substr(s, (8 * (b - 1) + 1)::BIGINT, 8)) AS HUGEINT)), lambda acc, x: (acc * 4294967296 + x) % n) AS pick FROM h),"
     " means AS (SELECT j, avg(d) AS mean FROM fold JOIN idx ON idx.i = pick GROUP BY 1)"
 )
@@ -261,7 +261,7 @@ _BOOT = (
 def boot_means(spark, d):
     scores = experiment.question_scores(t.grades(spark, d))
     diffs = experiment.score_differences(scores, "R", "A")
-    return sampling.bootstrap_means(diffs, "qid", "d", 4, 200)
+    return sampling.bootstrap_means(diffs, "qid", "d", 4, 10_000)
 
 
 @query("h7_bootstrap_means", with_sql(_BOOT, "SELECT j AS resample, round(mean, 9) + 0.0 AS mean FROM means"))
@@ -273,13 +273,13 @@ def h7(spark, d):
     "w11_percentile_interval",
     with_sql(
         _BOOT,
-        ", r AS (SELECT round(mean, 9) + 0.0 AS mean, row_number() OVER (ORDER BY round(mean, 9) + 0.0, j) AS p FROM means), b AS (SELECT max(mean) FILTER (p = 5) AS lower, max(mean) FILTER (p = 196) AS upper FROM r)"
+        ", r AS (SELECT round(mean, 9) + 0.0 AS mean, row_number() OVER (ORDER BY round(mean, 9) + 0.0, j) AS p FROM means), b AS (SELECT max(mean) FILTER (p = 250) AS lower, max(mean) FILTER (p = 9751) AS upper FROM r)"
         " SELECT lower, upper, CASE WHEN lower > 0 THEN 'improves' WHEN upper < 0 THEN 'worse' ELSE 'no difference' END AS verdict FROM b",
     ).replace(" , r AS", ", r AS"),
 )
 def w11(spark, d):
     means = boot_means(spark, d).withColumn("mean", F.round("mean", 9) + 0.0)
-    return sampling.percentile_interval(means, 5, 196)
+    return sampling.percentile_interval(means, 250, 9751)
 
 
 # Arms
