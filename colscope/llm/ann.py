@@ -21,6 +21,8 @@ BITS, SUBSTRING = 128, 16
 REACH = 0.97
 #: Index rows and query rows that meet in one task, about; index blocks at least.
 INDEX_ROWS, QUERY_ROWS, LEAST_BLOCKS = 8192, 2048, 48
+#: Balls of larger radius aren't listed.
+MOST_LISTED = 6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -77,66 +79,65 @@ def _ball(radius: int) -> np.ndarray:
 
 
 class Tables:
-    """One hash table a substring: its values in order, and each value's rows."""
+    """One hash table a substring: its distinct values in order, and each row's place among them."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.keys, self.starts, self.rows = [], [], []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            keys, first = np.unique(codes[order, s], return_index=True)
-            self.keys.append(keys)
-            self.starts.append(np.append(first, len(order)))
-            self.rows.append(order)
-
-    def _buckets(self, s: int, value: np.uint16, share: int) -> np.ndarray:
-        """Places of the table's values within ``share`` bits: by listing the ball and looking each
+        tables = [np.unique(codes[:, s], return_inverse=True) for s in range(codes.shape[1])]
+        self.keys, self.places = [k for k, _ in tables], [p for _, p in tables]
+
+    def near(self, s: int, value: np.uint16, share: int) -> np.ndarray:
+        """Which of a table's values lie within ``share`` bits: by listing the ball and looking each
         member up, or, where the table holds fewer values than the ball, by trying them all."""
         keys = self.keys[s]
-        ball = _ball(min(share, 6)) if share <= 6 else None
-        if ball is None or len(keys) <= 4 * len(ball):
-            return np.flatnonzero(np.bitwise_count(keys ^ value) <= share)
-        probes = ball ^ value
+        if share > MOST_LISTED or len(keys) <= 4 * len(_ball(share)):
+            return np.bitwise_count(keys ^ value) <= share
+        probes = _ball(share) ^ value
         at = np.searchsorted(keys, probes)
         at[at == len(keys)] = 0
-        return at[keys[at] == probes]
+        out = np.zeros(len(keys), bool)
+        out[at[keys[at] == probes]] = True
+        return out
 
     def within(self, code: np.ndarray, radius: int, shares: list[int]) -> np.ndarray:
         """Every row whose code lies within ``radius`` bits of ``code``."""
         hit = np.zeros(len(self.codes), bool)
         for s, share in enumerate(shares):
-            if share < 0:
-                continue
-            for b in self._buckets(s, code[s], share):
-                hit[self.rows[s][self.starts[s][b] : self.starts[s][b + 1]]] = True
+            if share >= 0:
+                hit |= self.near(s, code[s], share)[self.places[s]]
         rows = np.flatnonzero(hit)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
 
-def search_block(coder: Coder, tables: Tables, x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's ``k`` best candidates for a query: retrieved by code, ranked by exact cosine.
+class Block:
+    """An index block: its tables, and its vectors for exact cosines.
 
-    The radius grows where it holds fewer than ``k``, up to all of the block.
+    Vectors are scaled by their largest component first, so that no square overflows or vanishes.
     """
-    code, radius, shares = coder.codes(query[None])[0], coder.radius, coder.shares
-    most = coder.substrings * SUBSTRING
-    while True:
-        rows = tables.within(code, radius, shares)
-        rows = rows[ids[rows] != own]
-        if len(rows) >= k or radius >= most:
-            break
-        radius = min(most, radius + coder.substrings)
-        shares = [s + 1 for s in shares] if radius < most else [SUBSTRING] * coder.substrings
-    cosines = cosine(x[rows], query)
-    best = np.lexsort((ids[rows], -cosines))[:k]
-    return ids[rows][best], cosines[best]
-
-
-def cosine(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """The cosines in double precision; scaled first, so that no square overflows or vanishes."""
-    x = x / np.abs(x).max(1, keepdims=True, initial=0)
-    query = query / np.abs(query).max()
-    return (x @ query) / (np.sqrt((x * x).sum(1)) * np.sqrt((query * query).sum()))
+
+    def __init__(self, coder: Coder, x: np.ndarray, ids: np.ndarray):
+        self.coder, self.ids, self.tables = coder, ids, Tables(coder.codes(x))
+        self.x = x / np.abs(x).max(1, keepdims=True)
+        self.length = np.sqrt((self.x * self.x).sum(1))
+
+    def search(self, code: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best candidates for a query: retrieved by code, ranked by exact cosine.
+
+        The radius grows where it holds fewer than ``k``, up to all of the block.
+        """
+        radius, shares = self.coder.radius, self.coder.shares
+        most = self.coder.substrings * SUBSTRING
+        while True:
+            rows = self.tables.within(code, radius, shares)
+            rows = rows[self.ids[rows] != own]
+            if len(rows) >= k or radius >= most:
+                break
+            radius = min(most, radius + self.coder.substrings)
+            shares = [s + 1 for s in shares] if radius < most else [SUBSTRING] * self.coder.substrings
+        q = query / np.abs(query).max()
+        cosines = (self.x[rows] @ q) / (self.length[rows] * np.sqrt((q * q).sum()))
+        best = np.lexsort((self.ids[rows], -cosines))[:k]
+        return self.ids[rows][best], cosines[best]
 
 
 def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -183,12 +184,17 @@ def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            coder, x = shared.value, np.stack(left["_vector"].to_numpy())
-            ids, tables = left["_id"].to_numpy(), Tables(coder.codes(x))
-            for own, query in zip(right["_id"].to_numpy(), right["_vector"], strict=True):
-                found, scores = search_block(coder, tables, x, ids, np.asarray(query), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            block = Block(shared.value, np.stack(left["_vector"].to_numpy()), left["_id"].to_numpy())
+            queries, own = np.stack(right["_vector"].to_numpy()), right["_id"].to_numpy()
+            for code, query, i in zip(shared.value.codes(queries), queries, own, strict=True):
+                out.append((i, *block.search(code, query, i, k)))
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat([i for i, _, _ in out], [len(f) for _, f, _ in out]).astype(np.int64),
+                "vec_id": np.concatenate([np.empty(0, np.int64), *[f for _, f, _ in out]]),
+                "score": np.concatenate([np.empty(0), *[s for _, _, s in out]]),
+            }
+        )
 
     block = F.pmod(F.xxhash64("_id", "_vector", F.lit(1)), F.lit(parts))
     ask = F.pmod(F.xxhash64("_id", "_vector", F.lit(2)), F.lit(asked))
