@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The limit leaves the sample in one task; it is dealt out again to so many.
+FIT_TASKS = 24
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -27,4 +31,4 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held_out:
         .limit(rows)
     )
     joined = docs.join(F.broadcast(picked), docs["doc_id"] == F.col("_id"))
-    return joined.select(F.col("text").alias("_text"), "_label", "_order", "_id").orderBy("_order", "_id").limit(rows)
+    return joined.select(F.col("text").alias("_text"), "_label", "_order", "_id").orderBy("_order", "_id").limit(rows).repartition(FIT_TASKS)
