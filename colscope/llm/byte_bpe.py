@@ -9,10 +9,11 @@ import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ NAME, ADD_DUMMY_PREFIX, REMOVE_EXTRA_WHITESPACES, ESCAPE_WHITESPACES = 1, 3, 4,
 
 #: Between pre-tokens in a call of the model.
 SEPARATOR = "\n"
-#: Pre-tokens encoded at once (some 5 MB of text), and the characters from which a text is read in parts.
-AT_ONCE, LONG_TEXT = 1 << 20, 1 << 22
+#: Pre-tokens encoded at once, the characters from which a text is read in parts, and the characters
+#: of the rows that are read, encoded and sent back together.
+AT_ONCE, LONG_TEXT, SLICE_CHARS = 1 << 19, 1 << 21, 1 << 19
 #: Distinct pre-tokens in one text that the model gets: its queue of merges stays short.
 AT_A_CALL = 32
 
@@ -230,30 +232,63 @@ def _model(path: str | None, pattern: str | None) -> tuple[bytes, str]:
     return model, pattern
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with SLICE_CHARS characters of text or little more."""
+    start, chars = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        chars += n
+        if chars >= SLICE_CHARS:
+            yield start, i + 1
+            start, chars = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def encode(
-    docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, into: str = "ids"
+    docs: DataFrame,
+    text_col: str = "text",
+    path: str | None = None,
+    pattern: str | None = None,
+    into: str = "ids",
+    decoded: str | None = None,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Every row of ``docs`` with ``into``: the text's token ids as array<int>, no special tokens.
 
     Texts are cut into pre-tokens by ``pattern`` and each is encoded by itself with the sentencepiece
     model built from the vocabulary at ``path`` (which the driver reads; tasks get the model, about
-    1 MB). A null or empty text has no ids. Repeated rows and other columns pass through; a column
-    named like ``into`` is replaced. An empty table gives none.
+    1 MB). With ``decoded``, the ids are decoded in the same task and that column holds the bytes, to
+    check the round trip. Without ``keep_text`` the text isn't sent back. Workers take some megabytes
+    of text at a time, however large the batch.
+
+    A null or empty text has no ids. Repeated rows and other columns pass through; a column named
+    like a result is replaced. An empty table gives none.
     """
     model, pattern = _model(path, pattern)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model, pattern))
+    carry = docs.drop(into, *([decoded] if decoded else []))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            ids, sizes = own.encode_all(texts.to_pylist())
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield with_arrays(batch, **{into: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))})
-
-    rest = docs.drop(into)
-    return rest.mapInArrow(encoded, rest.withColumn(into, F.lit(None).cast("array<int>")).schema)
+            at = batch.schema.get_field_index(text_col)
+            rest = batch if keep_text else batch.select([i for i in range(batch.num_columns) if i != at])
+            for start, end in _slices(batch.column(at)):
+                ids, sizes = own.encode_all(batch.column(at).slice(start, end - start).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                added = {into: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
+                if decoded:
+                    texts = [own.decode(ids[a:b].tolist()) for a, b in pairwise(ends.tolist())]
+                    added[decoded] = pa.array(texts, pa.binary())
+                yield with_arrays(rest.slice(start, end - start), **added)
+            pa.default_memory_pool().release_unused()
+
+    rest = carry if keep_text else carry.drop(text_col)
+    schema = rest.withColumn(into, F.lit(None).cast("array<int>"))
+    if decoded:
+        schema = schema.withColumn(decoded, F.lit(None).cast("binary"))
+    return carry.mapInArrow(encoded, schema.schema)
 
 
 def decode(
@@ -289,5 +324,4 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op5_byte_bpe(spark, sf_dir):
-    encoded = encode(documents(spark, sf_dir)).drop("text")
-    return digests(decode(encoded))
+    return digests(encode(documents(spark, sf_dir), decoded="decoded", keep_text=False))

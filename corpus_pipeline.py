@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm.byte_bpe import decode, encode
+from colscope.llm.byte_bpe import encode
 from colscope.llm.common import fresh_dir
 from colscope.llm.exact_dedup import exact_dedup
 from colscope.llm.mixing import mix
@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of the text that they decode to."""
-    ids = encode(docs.select("doc_id", "source", "text")).drop("text")
-    return decode(ids).select(
+    ids = encode(docs.select("doc_id", "source", "text"), decoded="decoded", keep_text=False)
+    return ids.select(
         "doc_id",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),
