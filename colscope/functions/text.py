@@ -21,7 +21,7 @@ def null_if_blank(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Leading and trailing whitespace of any kind removed."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def is_documented(description: Column) -> Column:

@@ -24,6 +24,30 @@ def _cents(exact: Column) -> Column:
     )
 
 
+def _double_cents(column: Column) -> Column:
+    """A double's cents by its shortest text. From 1e19 on that text has an exponent and the
+    number is whole: its digits, zeros up to the exponent, and no cents."""
+    text = column.cast("string")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.", "")
+    length = F.regexp_extract(text, r"E([0-9]+)$", 1).try_cast("int") + 1
+    whole = F.concat(
+        F.regexp_extract(text, "^(-?)", 1),
+        F.substring(digits, F.lit(1), length),
+        F.repeat(F.lit("0"), length - F.length(digits)),
+        F.lit(".00"),
+    )
+    wide = F.abs(column.cast("double")) >= F.lit(1e19)
+    return F.when(wide, whole).otherwise(_cents(text.try_cast("decimal(38,18)")))
+
+
+def _decimal_cents(column: Column, scale: int) -> Column:
+    """A decimal's cents. One of two places or fewer is padded, so no width overflows; one of
+    more has at most 35 digits before the point."""
+    if scale > 2:
+        return _cents(column)
+    return F.concat(column.cast("string"), F.lit((".00", "0", "")[scale]))
+
+
 def normalized_value(column: Column, data_type: T.DataType) -> Column:
     """A value as what the comparison sees, by its declared type.
 
@@ -35,22 +59,18 @@ def normalized_value(column: Column, data_type: T.DataType) -> Column:
         pair = _pair("bool", column.cast("string"))
     elif isinstance(data_type, (T.FloatType, T.DoubleType)):
         as_double = column.cast("double")
-        # From 1e19 on a double is a whole number: its shortest text tells it apart.
-        text = column.cast("string")
-        wide = F.abs(as_double) >= F.lit(1e19)
         pair = (
             F.when(F.isnan(as_double), _pair("nonfinite", F.lit("NaN")))
             .when(as_double == float("inf"), _pair("nonfinite", F.lit("Infinity")))
             .when(as_double == float("-inf"), _pair("nonfinite", F.lit("-Infinity")))
-            .when(wide, _pair("number", text))
-            .otherwise(_pair("number", _cents(text.try_cast("decimal(38,18)"))))
+            .otherwise(_pair("number", _double_cents(column)))
         )
     elif isinstance(data_type, T.DecimalType):
-        pair = _pair("number", _cents(column))
+        pair = _pair("number", _decimal_cents(column, data_type.scale))
     elif isinstance(data_type, T.IntegralType):
         pair = _pair("number", F.concat(column.cast("string"), F.lit(".00")))
     elif isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
-        pair = _pair("string", F.regexp_replace(column, r"^\s+|\s+$", ""))
+        pair = _pair("string", F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
     elif isinstance(data_type, T.DateType):
         pair = _pair("string", F.date_format(column, "yyyy-MM-dd"))
     elif isinstance(data_type, T.TimestampType):

@@ -22,6 +22,7 @@ from colscope.operators.tokens import (
     reads_column,
     scoped,
     token_rows,
+    unfollowed,
 )
 
 # The clause names references are reported under.
@@ -811,8 +812,12 @@ def _with_liveness(df: DataFrame) -> DataFrame:
 
 
 def analysed(texts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(text_id, top_star, refs) per distinct text, refs as an array of (kind, name, clause)."""
-    summary = summaries(scoped(token_rows(texts)))
+    """(text_id, top_star, refs) per distinct text, refs as an array of (kind, name, clause).
+
+    A text of a shape that isn't followed has null refs: nothing is guessed from it.
+    """
+    left_out = texts.where(unfollowed(F.col("sql"))).select("text_id")
+    summary = summaries(scoped(token_rows(texts.where(~unfollowed(F.col("sql"))))))
     steps = (
         _with_frames,
         lambda d: _with_catalog(d, catalog),
@@ -825,13 +830,14 @@ def analysed(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     top_scopes = F.transform(
         F.filter("scopes", lambda s: s["qframe"] == -1), lambda s: s["scope"]
     )
-    return done.select(
+    followed = done.select(
         "text_id",
         F.exists("items", lambda i: i["star"] & F.array_contains(top_scopes, i["scope"])).alias(
             "top_star"
         ),
         F.array_distinct(F.filter("refs", lambda r: r["kind"] != "derived")).alias("refs"),
     )
+    return followed.unionByName(left_out, allowMissingColumns=True)
 
 
 def text_references(texts_analysed: DataFrame) -> DataFrame:

@@ -72,8 +72,7 @@ def normalized_texts(texts: DataFrame, column: str = "query_text") -> DataFrame:
     width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         texts.select(text_id(F.col(column)).alias("raw_id"), F.col(column).alias("_text"))
-        .groupBy("raw_id")
-        .agg(F.first("_text").alias("_text"))
+        .distinct()
         .repartition(width, "raw_id")
         .select("raw_id", normalize(F.col("_text")).alias("_n"))
         .select(

@@ -76,16 +76,31 @@ def distinct_texts(snapshot: DataFrame) -> DataFrame:
         snapshot.select(
             context_id().alias("text_id"), "normalized_sql", "database_name", "schema_name"
         )
-        .groupBy("text_id")
-        .agg(
-            F.first("normalized_sql").alias("sql"),
-            F.first("database_name").alias("database_name"),
-            F.first("schema_name").alias("schema_name"),
-        )
+        .distinct()
+        .withColumnRenamed("normalized_sql", "sql")
         .repartition(width, "text_id")
     )
 
 
+# Shapes of canonical text that name columns in ways attribution doesn't follow.
+_NAME = r'(?:[A-Z_][A-Z0-9_$]*|"[^"]*")'
+_NAMES = rf"\( ?{_NAME}(?: ?, ?{_NAME})* ?\)"
+UNFOLLOWED = "|".join(
+    (
+        r"(?:SELECT|DISTINCT|,|\.) ?\* ?(?:EXCLUDE|EXCEPT|REPLACE|RENAME|ILIKE)\b",  # a changed star
+        rf"{_NAME} ?{_NAMES} AS ?\( ?(?:SELECT|WITH)\b",  # a CTE's column list
+        rf"(?:FROM|JOIN|,) (?:{_NAME}\.)*{_NAME} AS {_NAME} ?{_NAMES}",  # a table alias's column list
+        rf"\) AS {_NAME} ?{_NAMES}",  # a derived table's column list
+        r"(?:FROM|JOIN) ?\( ?(?!SELECT\b|WITH\b|VALUES\b)[^()]*(?:\bJOIN\b|,)",  # a join in parentheses
+    )
+)
+
+
+def unfollowed(sql: Column) -> Column:
+    """Whether a text has a shape whose names could only be guessed."""
+    return sql.rlike(UNFOLLOWED)
+
+
 def context_id() -> Column:
     """The key of a text in its session context."""
     return F.sha2(

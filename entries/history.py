@@ -309,7 +309,7 @@ _SCOPES = with_sql(
     t.HISTORY_SQL,
     """, texts AS (SELECT DISTINCT event_type, event_id % 2 AS odd, tbl, col, CASE WHEN event_type <> 'signup' THEN tbl2 END AS tbl2,
       CASE WHEN event_type <> 'signup' THEN col2 END AS col2, in_session, good_text FROM snap),
-    per AS (SELECT CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 ELSE 2 END AS scopes, in_session, good_text FROM texts)
+    per AS (SELECT CASE WHEN good_text LIKE '%EXCLUDE%' THEN 1 ELSE CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 ELSE 2 END END AS scopes, in_session, good_text FROM texts)
     SELECT scopes, count(*) AS texts FROM (SELECT DISTINCT scopes, in_session, good_text FROM per) GROUP BY 1""".replace(
         ", texts AS", "SELECT * FROM (WITH texts AS", 1
     )
@@ -404,7 +404,7 @@ def l8(spark, d):
     "a11_reference_counts",
     with_sql(
         t.REFS_SQL,
-        "SELECT (SELECT count(*) FROM snap) AS queries_read, 0::BIGINT AS queries_qualify_failed,"
+        "SELECT (SELECT count(*) FROM snap) AS queries_read, (SELECT count(*) FROM snap WHERE event_type = 'error' AND event_id % 10 = 3) AS queries_qualify_failed,"
         " (SELECT count(*) FROM snap WHERE event_type = 'signup') AS queries_top_level_star, "
         + ", ".join(f"count(*) FILTER (kind = '{k}') AS columns_{k}" for k in REFERENCE_KINDS)
         + " FROM refs_all",

@@ -196,6 +196,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
         )
         .when(F.col("event_id") % 5 == 1, F.concat(lit("select 1; select "), k))
         .when(F.col("event_id") % 5 == 2, F.concat(lit("alter session set x = "), k))
+        .when(F.col("event_id") % 10 == 3, F.concat(lit("select * exclude ("), c2, lit(") from "), t))
         .otherwise(
             F.concat(
                 lit("select "), c2, lit(", "), c, lit(" from "), t, lit(" union all select "), c2,
@@ -251,6 +252,8 @@ hist AS (
       WHEN 'purchase' THEN 'SELECT F.' || col || ', COUNT(*) AS N FROM ' || tbl || ' AS F JOIN ' || tbl2 || ' AS G ON G.' || col2 || ' = F.' || col || ' WHERE G.' || col2 || ' <> ? GROUP BY F.' || col || ' HAVING COUNT(*) > ?'
       WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'SELECT * FROM ' || tbl || ' LIMIT ?'
         ELSE 'SELECT * FROM OTHER_DB.RAW.' || tbl || ' WHERE ' || col || ' = ?' END
+      WHEN 'error' THEN CASE WHEN event_id % 10 = 3 THEN 'SELECT * EXCLUDE(' || col2 || ') FROM ' || tbl
+        ELSE 'SELECT ' || col2 || ', ' || col || ' FROM ' || tbl || ' UNION ALL SELECT ' || col2 || ', ' || col2 || ' FROM ' || tbl2 || ' ORDER BY 1' END
       ELSE 'SELECT ' || col2 || ', ' || col || ' FROM ' || tbl || ' UNION ALL SELECT ' || col2 || ', ' || col2 || ' FROM ' || tbl2 || ' ORDER BY 1'
     END AS good_text,
     CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'parse_error'
@@ -264,7 +267,7 @@ snap AS (SELECT *, good_text AS normalized_sql, sha256(good_text) AS fingerprint
 )
 
 # Each template's references, written by hand from its text. A name the first table
-# lacks is unresolved, and without a session every bare table is.
+# lacks is unresolved, and without a session every bare table is. A changed star gives none.
 REFS_SQL = (
     HISTORY_SQL
     + """, has2 AS (SELECT s.*, c.fqn IS NOT NULL AS col2_in_tbl,
@@ -281,9 +284,9 @@ raw_refs AS (
   UNION ALL SELECT h.query_id, true, c.fqn, c.column_name, 'select' FROM has2 h JOIN cat c ON c.table_name = h.tbl
     WHERE event_type = 'signup' AND event_id % 2 = 0 AND in_session
   UNION ALL SELECT query_id, false, NULL, '*', 'select' FROM has2 WHERE event_type = 'signup' AND event_id % 2 = 0 AND NOT in_session
-  UNION ALL SELECT query_id, in_session AND col2_in_tbl, f12, col2, 'select' FROM has2 WHERE event_type = 'error'
-  UNION ALL SELECT query_id, in_session, f1, col, 'select' FROM has2 WHERE event_type = 'error'
-  UNION ALL SELECT query_id, in_session, f2, col2, 'select' FROM has2 WHERE event_type = 'error'),
+  UNION ALL SELECT query_id, in_session AND col2_in_tbl, f12, col2, 'select' FROM has2 WHERE event_type = 'error' AND event_id % 10 <> 3
+  UNION ALL SELECT query_id, in_session, f1, col, 'select' FROM has2 WHERE event_type = 'error' AND event_id % 10 <> 3
+  UNION ALL SELECT query_id, in_session, f2, col2, 'select' FROM has2 WHERE event_type = 'error' AND event_id % 10 <> 3),
 refs_all AS (
   SELECT DISTINCT query_id, CASE WHEN ok THEN 'resolved' ELSE 'unresolved' END AS kind,
     CASE WHEN ok THEN fqn ELSE plain END AS name, clause FROM raw_refs

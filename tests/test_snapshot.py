@@ -1,8 +1,8 @@
-"""Redaction, statement kinds, tags, window and counters on hand-made rows."""
+"""Redaction, statement kinds, tags, the window and counters on rows made for it."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,87 +10,106 @@ from pyspark.sql import functions as F
 from colscope.functions.sqltext import normalize
 from colscope.operators import snapshot
 
-TEXTS = {
-    "select a from t where b = 'x' and c = 2": "SELECT A FROM T WHERE B = ? AND C = ?",
-    "select a, count(*) from t group by 1 order by 2": "SELECT A, COUNT(*) FROM T GROUP BY 1 ORDER BY 2",
-    "select cast(a as number(10, 2)) from t": "SELECT CAST(A AS DECIMAL(10, 2)) FROM T",
-    "select a from t where d > current_date - interval '1 day'": "SELECT A FROM T WHERE D > CURRENT_DATE - ?",
-    "select a from t where b in (-1, date '2025-01-01')": "SELECT A FROM T WHERE B IN (?)",
-    "select a from t where b in (c, 1)": "SELECT A FROM T WHERE B IN (C, ?)",
-    "select a from t; -- done": "SELECT A FROM T",
-    "select a from t where b in (select c from u)": "SELECT A FROM T WHERE B IN (SELECT C FROM U)",
-    "select $$raw$$, x'ff' from t": "SELECT ?, ? FROM T",
-    "select a /* id 42 */ from t -- note": "SELECT A FROM T",
-    "select a from t limit 10": "SELECT A FROM T LIMIT ?",
-    "select date_trunc('month', d) from t": "SELECT DATE_TRUNC('MONTH', D) FROM T",
-    'select "lower" from t': 'SELECT "lower" FROM T',
-    "select a x from t u join v w on u.k != w.k": "SELECT A AS X FROM T AS U JOIN V AS W ON U.K <> W.K",
-    "select a from t where b = 'it''s -- no comment'": "SELECT A FROM T WHERE B = ?",
-}
-PROBLEMS = {
-    "select from where 'S'": "parse_error",
-    "select 'abc": "parse_error",
-    "select (a from t": "parse_error",
-    "select 1; select 2": "multiple_statements",
-    "-- nothing": "multiple_statements",
-    "alter session set query_tag = 'x'": "not_a_query",
-    "show tables": "not_a_query",
-    "insert into t select 1": "not_a_query",
-}
-ROLES = [("AGENT_READER", "agent")]
-
-
-def test_texts_and_problems(spark, tmp_path):
-    rows = [(k, v) for k, v in {**TEXTS, **PROBLEMS}.items()]
-    spark.createDataFrame(rows, "sql string, expected string").write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    got = df.select("sql", "expected", normalize(F.col("sql")).alias("n")).collect()
-    wrong = [(r["sql"], r["n"]) for r in got if (r["n"]["text"] or r["n"]["problem"]) != r["expected"]]
-    assert wrong == []
-
-
-def _history(spark, rows):
-    return spark.createDataFrame(
-        rows,
-        "query_id string, query_text string, start_time timestamp, role_name string, query_tag string,"
-        " execution_status string, database_name string, schema_name string",
-    )
+REDACTED = [
+    ("select title from books where shelf = 'K7' or pages > 300", "SELECT TITLE FROM BOOKS WHERE SHELF = ? OR PAGES > ?"),
+    ("select shelf, max(pages) from books group by 1 order by 1 desc", "SELECT SHELF, MAX(PAGES) FROM BOOKS GROUP BY 1 ORDER BY 1 DESC"),
+    ("select cast(price as numeric(8, 3)) from books", "SELECT CAST(PRICE AS DECIMAL(8, 3)) FROM BOOKS"),
+    ("select title from books where bought > now() - interval '3 months'", "SELECT TITLE FROM BOOKS WHERE BOUGHT > NOW() - ?"),
+    ("select title from books where shelf in ('a', 'b', 'c')", "SELECT TITLE FROM BOOKS WHERE SHELF IN (?)"),
+    ("select title from books where pages in (n, 12, 40)", "SELECT TITLE FROM BOOKS WHERE PAGES IN (N, ?, ?)"),
+    ("select title /* who asked: 77 */ from books -- for the desk", "SELECT TITLE FROM BOOKS"),
+    ("select title from books where owner = 'O''Hara /* kept */'", "SELECT TITLE FROM BOOKS WHERE OWNER = ?"),
+    ('select "Title" t from books b where b.n != 4', 'SELECT "Title" AS T FROM BOOKS AS B WHERE B.N <> ?'),
+    ("select title from books limit 25", "SELECT TITLE FROM BOOKS LIMIT ?"),
+    ("select title from books where n = -2.5e3", "SELECT TITLE FROM BOOKS WHERE N = -?"),
+]
+REFUSED = [
+    ("select title from books where owner = 'open", "parse_error"),
+    ("select max((pages) from books", "parse_error"),
+    ("select title from books; select city from branches", "multiple_statements"),
+    ("   /* only a note */ ", "multiple_statements"),
+    ("use warehouse small", "not_a_query"),
+    ("delete from books where n = 3", "not_a_query"),
+    ("describe table books", "not_a_query"),
+]
 
 
-def test_window_tags_and_counters(spark):
-    at = lambda day, hour=0, second=0: datetime(2026, 9, day, hour, 0, second)
-    row = lambda i, text, when, role="AGENT_READER", tag=None: (
-        i, text, when, role, tag, "SUCCESS", "ANALYTICS", "MARTS",
-    )
-    rows = [
-        row("a", "select x from t where y = 'SENTINEL'", at(14)),
-        row("b", "select x from t", at(21)),
-        row("c", "select x from t", at(13, 23, 59)),
-        row("d", "select x from t", at(20), role="AUDITOR"),
-        row("e", "select x from t", at(20), tag="agent:r1:q01:0"),
-        row("f", "select x from t", at(20), tag="agent:r1:q01:3"),
-        row("g", "select from where", at(20)),
-        row("h", "select 1; select 2", at(20)),
-        row("i", "show tables", at(20)),
+@pytest.fixture(scope="module")
+def judged(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("texts") / "t")
+    texts = [s for s, _ in [*REDACTED, *REFUSED]]
+    spark.createDataFrame([(s,) for s in texts], "sql string").write.parquet(path)
+    rows = spark.read.parquet(path).select("sql", normalize(F.col("sql")).alias("n")).collect()
+    return {r["sql"]: r["n"] for r in rows}
+
+
+@pytest.mark.parametrize(("sql", "text"), REDACTED)
+def test_canonical_text(judged, sql, text):
+    assert judged[sql]["text"] == text
+    assert judged[sql]["problem"] is None
+
+
+@pytest.mark.parametrize(("sql", "problem"), REFUSED)
+def test_refused_texts(judged, sql, problem):
+    assert judged[sql]["problem"] == problem
+    assert judged[sql]["text"] is None
+
+
+END = datetime(2031, 5, 12)
+SCHEMA = (
+    "query_id string, query_text string, start_time timestamp, role_name string, query_tag string,"
+    " execution_status string, database_name string, schema_name string"
+)
+
+
+def asked(spark, *rows):
+    filled = [
+        (i, sql, END - before, role, tag, "SUCCESS", "LIBRARY", "CORE") for i, sql, before, role, tag in rows
     ]
-    actors = spark.createDataFrame(ROLES, "role string, actor string")
-    done = snapshot.classified(_history(spark, rows), actors, datetime(2026, 9, 21), 7)
+    return spark.createDataFrame(filled, SCHEMA)
+
+
+def test_reasons_fields_and_counters(spark):
+    day, sql = timedelta(days=1), "select title from books where owner = 'HIDE ME'"
+    history = asked(
+        spark,
+        ("first instant", sql, 3 * day, "BOT", None),
+        ("end", sql, timedelta(0), "BOT", None),
+        ("too early", sql, 3 * day + timedelta(seconds=1), "BOT", None),
+        ("stranger", sql, day, "VISITOR", None),
+        ("tagged", sql, day, "BOT", "agent:spring:q7:2"),
+        ("tag of others", sql, day, "BOT", "report:monthly"),
+        ("bad repetition", sql, day, "BOT", "agent:spring:q7:0"),
+        ("broken", "select (1", day, "BOT", None),
+        ("two", "select 1 from a; select 2 from a", day, "BOT", None),
+        ("other statement", "truncate table books", day, "BOT", None),
+    )
+    actors = spark.createDataFrame([("BOT", "agent")], "role string, actor string")
+    done = snapshot.classified(history, actors, END, 3)
     by_id = {r["query_id"]: r for r in done.collect()}
-    assert {k: r["reason"] for k, r in by_id.items()} == {
-        "a": None,
-        "b": "outside_window",
-        "c": "outside_window",
-        "d": "unmapped_role",
-        "e": "malformed_tag",
-        "f": None,
-        "g": "parse_error",
-        "h": "multiple_statements",
-        "i": "not_a_query",
+    reasons = {k: r["reason"] for k, r in by_id.items() if r["reason"]}
+    assert reasons == {
+        "end": "outside_window",
+        "too early": "outside_window",
+        "stranger": "unmapped_role",
+        "bad repetition": "malformed_tag",
+        "broken": "parse_error",
+        "two": "multiple_statements",
+        "other statement": "not_a_query",
     }
-    assert by_id["a"]["normalized_sql"] == "SELECT X FROM T WHERE Y = ?"
-    assert (by_id["f"]["run_id"], by_id["f"]["qid"], by_id["f"]["repetition"]) == ("r1", "q01", 3)
+    kept = by_id["tagged"]
+    assert (kept["run_id"], kept["qid"], kept["repetition"]) == ("spring", "q7", 2)
+    assert by_id["tag of others"]["run_id"] is None
+    assert {by_id[k]["normalized_sql"] for k in ("first instant", "tagged")} == {"SELECT TITLE FROM BOOKS WHERE OWNER = ?"}
+    assert not any("HIDE ME" in str(r) for r in by_id.values())
     counted = snapshot.counters(done)
-    assert counted.first()["kept"] == 2
-    gates = {r["gate"]: r for r in snapshot.gates(counted, 0.9, 3).collect()}
-    assert gates["parse_rate"]["value"] == pytest.approx(4 / 5)
+    assert counted.first()["kept"] == 3
+    gates = {r["gate"]: r for r in snapshot.gates(counted, 0.9, 4).collect()}
+    assert gates["parse_rate"]["value"] == pytest.approx(5 / 6) and not gates["parse_rate"]["passed"]
     assert not gates["rows_kept"]["passed"]
+
+
+def test_texts_are_grouped_by_hash(spark):
+    history = asked(spark, *[(str(i), "select title from books", timedelta(hours=1), "BOT", None) for i in range(5)])
+    plan = snapshot.normalized_texts(history)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
