@@ -13,6 +13,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colscope.functions.guards import require_empty
 from colscope.functions.values import normalized_value
 
 # The widest result, and the longest, a gold may have.
@@ -87,8 +88,10 @@ def checks(
     The reason is the first failed check: outcome, shape, row count, values. Only pairs
     that pass the first three expand into column orders, and a pair's orders become
     order-free row hashes, so rows meet by hash in a shuffle, never as pairs. A sequence
-    comparison puts the row number into the hash.
+    comparison puts the row number into the hash. A gold that can't be compared is an error,
+    not a mismatch.
     """
+    require_empty(gold_problems(golds, gold_rows), "a gold can't be compared")
     pairs = runs.join(
         golds.select(
             "qid",

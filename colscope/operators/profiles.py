@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.functions.text import PLAIN_NUMBER, sensitivity_or_default
 
@@ -47,26 +48,34 @@ def field_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def grain_counts(df: DataFrame, grain: Sequence[str]) -> DataFrame:
-    """Rows and distinct grain keys, by a 64-bit hash: it can merge keys, never split one."""
+    """Rows and distinct grain keys, counted by the key columns themselves."""
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(F.xxhash64(*grain)).alias("grain_keys"),
+        F.count_distinct(F.struct(*grain)).alias("grain_keys"),
     )
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value as text, number or null) for each cell, in one scan."""
-    cells = F.array(
+    """(column_name, value as text, number or null) for each cell, in one scan.
+
+    Only columns declared as numbers have numbers; they are compared as doubles, as which
+    a range is given.
+    """
+    return df.select(F.inline(_cells(df, columns)))
+
+
+def _cells(df: DataFrame, columns: Sequence[str]) -> Column:
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    return F.array(
         *[
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.col(c).cast("string").alias("value"),
-                F.expr(f"try_cast(`{c}` AS decimal(38,6))").alias("number"),
+                (F.col(c) if c in numeric else F.lit(None)).cast("double").alias("number"),
             )
             for c in columns
         ]
     )
-    return df.select(F.inline(cells))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,19 +171,9 @@ def dimension_value_counts(
     weights = (
         fact.groupBy(F.col(fact_key).alias("_key")).agg(F.count(F.lit(1)).alias("_weight"))
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col(c).cast("string").alias("value"),
-                F.expr(f"try_cast(`{c}` AS decimal(38,6))").alias("number"),
-            )
-            for c in values
-        ]
-    )
     return (
         dim.join(weights, dim[dim_key] == weights["_key"])
-        .select("_weight", F.inline(cells))
+        .select("_weight", F.inline(_cells(dim, values)))
         .groupBy("column_name", "value", "number")
         .agg(F.sum("_weight").alias("rows"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.guards import require_empty
+from colscope.operators.tokens import context_id
 
 SCOPE_REASONS = ("in_scope", "untagged", "other_run", "other_question")
 
@@ -75,6 +76,24 @@ def touched(refs: DataFrame, counted: DataFrame) -> DataFrame:
     )
 
 
+def touched_by_text(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """What ``column_usage`` counts, folded by text: the counted queries of each text, actor,
+    run, question and repetition, once for each column the text reads.
+
+    Queries shrink to their texts before columns are met, so no (query, column) row is made.
+    ``texts`` has text_id and refs, ``counted`` the snapshot's fields.
+    """
+    columns = texts.select("text_id", F.inline("refs")).where("kind = 'resolved'").select(
+        "text_id", F.col("name").alias("fqn")
+    ).distinct()
+    queries = (
+        counted.withColumn("text_id", context_id())
+        .groupBy("text_id", "actor", "fingerprint", "run_id", "qid", "repetition")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return queries.join(columns, "text_id")
+
+
 def stray_references(refs: DataFrame, snapshot: DataFrame) -> DataFrame:
     """References to queries the snapshot doesn't hold."""
     return refs.join(snapshot.select("query_id"), "query_id", "left_anti")
@@ -92,9 +111,10 @@ def column_usage(touches: DataFrame) -> DataFrame:
     each distinct count needs survives, and a popular column shrinks before it meets
     the final grouping. Distinct counts then run as Spark's two-phase distinct.
     """
+    weight = F.col("n") if "n" in touches.columns else F.lit(1)
     folded = touches.groupBy(
         "fqn", "actor", "fingerprint", "run_id", "qid", "repetition"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.sum(weight).alias("n"))
     agent, human = F.col("actor") == "agent", F.col("actor") == "human"
     tagged = agent & F.col("qid").isNotNull()
     return folded.groupBy("fqn").agg(

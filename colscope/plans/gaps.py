@@ -52,7 +52,7 @@ def analyse(
     refs = lineage.column_refs(references)
     scoped = usage.with_scope(records, run_id, qids)
     counted = scoped.where("scope_reason = 'in_scope'")
-    used = usage.column_usage(usage.touched(refs, counted))
+    used = usage.column_usage(usage.touched_by_text(texts, counted))
     executions = usage.catalog_executions(catalog, used)
     return GapAnalysis(
         classified=rows,

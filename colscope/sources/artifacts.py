@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.contracts import conform, schema_differences
@@ -26,50 +26,25 @@ def read_artifact(spark: SparkSession, ddl: str, path: str) -> DataFrame:
     return df
 
 
-def content_hash(df: DataFrame, buckets: int = 4096) -> DataFrame:
+def content_hash(df: DataFrame) -> DataFrame:
     """One row: a sha256 of a table's rows, whatever their order or files.
 
-    Rows become canonical JSON digests; equal digests are counted, the counted digests
-    of each bucket are hashed in order, and the bucket hashes are hashed in order. A
-    bucket holds about 1/4096 of the distinct rows, and repeated rows meet as a count, so
-    no task sees the whole table. Equal tables give equal hashes.
+    Rows become canonical JSON digests and equal ones are counted, so repeated rows meet as
+    a count. Each counted digest is hashed again, its 240 leading bits are added up as four
+    numbers, and the sums are hashed: additions need no order and gather nothing, so the
+    work is one partial aggregation whatever the table's size.
     """
-    digests = (
-        df.select(row_digest(df.columns).alias("d"))
-        .groupBy("d")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            F.conv(F.substring("d", 1, 3), 16, 10).cast("int").alias("bucket"),
-            F.concat_ws(":", "d", F.col("n").cast("string")).alias("line"),
-        )
-    )
-    per_bucket = digests.groupBy(F.pmod("bucket", F.lit(buckets)).alias("bucket")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("h"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return per_bucket.agg(
-        F.sha2(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda b: b["h"]
-                ),
-                "\n",
-            ),
-            256,
-        ).alias("content_sha256")
+    counted = df.select(row_digest(df.columns).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.sha2(F.concat_ws(":", "d", F.col("n").cast("string")), 256).alias("line")).agg(
+        F.sha2(F.concat_ws(":", *summed_digests("line", 4)), 256).alias("content_sha256")
     )
 
 
-def bucket_digests(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """(bucket, rows, sum of 64-bit row hashes as text): a cheap table fingerprint per key
-    bucket, for finding where two tables differ. Sums need no order and no gathering."""
-    hashed = df.select(
-        F.pmod(F.col(key).cast("bigint"), F.lit(buckets)).alias("bucket"),
-        F.conv(F.substring(row_digest(df.columns), 1, 15), 16, 10).cast("decimal(20,0)").alias("h"),
-    )
-    return hashed.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("h").cast("string").alias("digest_sum")
-    )
+def summed_digests(digest: str, parts: int) -> list[Column]:
+    """How many hex digests there are, and the sums of their leading 60-bit parts, as text."""
+    number = lambda i: F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(number(i)), F.lit(0)).cast("decimal(38,0)") for i in range(parts)]
+    return [c.cast("string") for c in (F.count(digest), *sums)]
 
 
 def stamped(results: DataFrame, sql_text: str, data_pins: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -163,9 +164,10 @@ def load(
     """Load each file not loaded yet; a second call with the same bytes loads nothing.
 
     Each file is its own partition directory, overwritten as a whole, and the ledger row
-    follows it: a load cut short leaves no ledger row and is made again.
+    follows it: a load cut short leaves no ledger row and is made again. Nothing is written
+    if a header, a pin or a NOT NULL column of ``ddl`` is broken.
     """
-    ddl_sha = _ddl_sha(spark, ddl)
+    ddl_sha = _ddl_sha(ddl)
     known = ledger if ledger is not None else _ledger(spark, ledger_dir)
     columns = T.StructType.fromDDL(ddl).fieldNames()
     digests = file_digests(spark, paths)
@@ -182,6 +184,10 @@ def load(
     counted = digests.join(file_rows(spark, new_paths, ddl), "file_name")
     pinned = pins.where(F.col("file_name").isin(*todo))
     require_empty(pin_mismatches(counted, pinned), "a file differs from its pin")
+    required = [f.name for f in T.StructType.fromDDL(ddl) if not f.nullable]
+    if required:
+        empties = missing_values(read_fact(spark, new_paths, ddl), required)
+        require_empty(empties, "a NOT NULL field is empty")
     facts = read_fact(spark, new_paths, ddl).withColumn(
         "source_file", F.element_at(F.split("_metadata.file_path", "/"), -1)
     )
@@ -196,8 +202,8 @@ def load(
     return entries
 
 
-def _ddl_sha(spark: SparkSession, ddl: str) -> str:
-    return spark.range(1).select(F.sha2(F.lit(ddl), 256)).first()[0]
+def _ddl_sha(ddl: str) -> str:
+    return hashlib.sha256(ddl.encode()).hexdigest()
 
 
 def _ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:

@@ -82,21 +82,22 @@ def s2(spark, d):
 
 
 def files(spark, d):
-    """A month's file per supplier: its rows, size and an order-free hash of its lines."""
+    """A month's file per supplier: its rows, size and an order-free hash of all its lines."""
     return (
         lines(spark, d)
+        .withColumn("digest", F.sha2("value", 256))
         .groupBy("l_suppkey")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.sum(F.length("value") + 1).alias("bytes"),
-            F.md5(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.min("value"), F.max("value"))).alias("sha256"),
+            F.sha2(F.concat_ws(":", *artifacts.summed_digests("digest", 2)), 256).alias("sha256"),
         )
         .select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file_name"), "l_suppkey", "bytes", "sha256", "rows")
     )
 
 
 _FILES = """lines AS (SELECT l_suppkey, CAST(l_orderkey AS VARCHAR) || ';' || CAST(l_linenumber AS VARCHAR) || ';' || CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END || ';' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ';' || l_returnflag || ';' AS value FROM lineitem),
-files AS (SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS file_name, l_suppkey, count(*) AS rows, md5(CAST(count(*) AS VARCHAR) || ':' || min(value) || ':' || max(value)) AS sha256 FROM lines GROUP BY l_suppkey)"""
+files AS (SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS file_name, l_suppkey, count(*) AS rows, sha256(concat_ws(':', count(*), sum(CAST(CAST('0x' || substr(sha256(value), 1, 15) AS BIGINT) AS HUGEINT)), sum(CAST(CAST('0x' || substr(sha256(value), 16, 15) AS BIGINT) AS HUGEINT)))) AS sha256 FROM lines GROUP BY l_suppkey)"""
 
 
 @query(
@@ -362,9 +363,9 @@ def s11(spark, d):
 @query(
     "s12_content_hash",
     """WITH r AS (SELECT sha256('{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || CAST(c_nationkey AS VARCHAR) || '}') AS d FROM customer),
-l AS (SELECT d, d || ':' || CAST(count(*) AS VARCHAR) AS line FROM r GROUP BY d),
-b AS (SELECT CAST('0x' || substr(d, 1, 3) AS INTEGER) AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY 1)
-SELECT sha256(string_agg(h, chr(10) ORDER BY bucket)) AS content_sha256 FROM b""",
+l AS (SELECT sha256(d || ':' || CAST(count(*) AS VARCHAR)) AS line FROM r GROUP BY d)
+SELECT sha256(concat_ws(':', count(*), sum(CAST(CAST('0x' || substr(line, 1, 15) AS BIGINT) AS HUGEINT)), sum(CAST(CAST('0x' || substr(line, 16, 15) AS BIGINT) AS HUGEINT)),
+  sum(CAST(CAST('0x' || substr(line, 31, 15) AS BIGINT) AS HUGEINT)), sum(CAST(CAST('0x' || substr(line, 46, 15) AS BIGINT) AS HUGEINT)))) AS content_sha256 FROM l""",
 )
 def s12(spark, d):
     c = t.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")

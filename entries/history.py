@@ -65,7 +65,8 @@ def touches(spark, d):
 
 @t.memo
 def used(spark, d):
-    return usage.column_usage(touches(spark, d))
+    counted = scoped(spark, d).where("scope_reason = 'in_scope'")
+    return usage.column_usage(usage.touched_by_text(texts(spark, d), counted))
 
 
 @t.memo

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from colscope.functions.guards import ContractViolation
-from colscope.sources import delimited, history
+from colscope.sources import artifacts, delimited, history
 
 DDL = "A int, B decimal(18,2), C int, FILLER string"
 ROW = {
@@ -42,3 +44,60 @@ def test_load_is_idempotent(spark, tmp_path):
     bad.write_text("A;X;C;\n1;1;1;\n")
     with pytest.raises(ContractViolation, match="header"):
         delimited.load(spark, [str(bad)], DDL, pins, *args[4:])
+
+
+def _load(spark, tmp_path, text, ddl=DDL, name="m.csv", pin=None):
+    path = tmp_path / name
+    if name.endswith(".gz"):
+        path.write_bytes(gzip.compress(text.encode()))
+    else:
+        path.write_text(text)
+    paths = [str(path)]
+    pins = delimited.file_digests(spark, paths).join(delimited.file_rows(spark, paths, DDL), "file_name")
+    pins = pins.withColumns(pin or {})
+    out = delimited.load(spark, paths, ddl, pins, str(tmp_path / "raw"), str(tmp_path / "ledger"))
+    return [r["rows"] for r in out.collect()]
+
+
+def _nothing_loaded(tmp_path):
+    return not list((tmp_path / "raw").rglob("*.parquet")) and not (tmp_path / "ledger").exists()
+
+
+def test_gzipped_files_load(spark, tmp_path):
+    assert _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n8;;;\n", name="m.csv.gz") == [2]
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    assert {(r["A"], r["B"], r["C"]) for r in raw.select("A", F.col("B").cast("double"), "C").collect()} == {(7, 1.25, 9), (8, None, None)}
+
+
+def test_an_empty_required_field_loads_nothing(spark, tmp_path):
+    with pytest.raises(ContractViolation, match="NOT NULL"):
+        _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n;2;3;\n", ddl="A int not null, B decimal(18,2), C int, FILLER string")
+    assert _nothing_loaded(tmp_path)
+
+
+def test_a_value_of_another_type_loads_nothing(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        _load(spark, tmp_path, "A;B;C;\nseven;1.25;9;\n")
+    assert _nothing_loaded(tmp_path)
+
+
+@pytest.mark.parametrize("pin", [("rows", 5), ("sha256", "0" * 64), ("bytes", 1)])
+def test_a_file_other_than_its_pin_loads_nothing(spark, tmp_path, pin):
+    with pytest.raises(ContractViolation, match="pin"):
+        _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n", pin={pin[0]: F.lit(pin[1])})
+    assert _nothing_loaded(tmp_path)
+
+
+def test_other_bytes_or_another_ddl_are_conflicts(spark, tmp_path):
+    assert _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n") == [1]
+    with pytest.raises(ContractViolation, match="other bytes"):
+        _load(spark, tmp_path, "A;B;C;\n7;1.26;9;\n")
+    with pytest.raises(ContractViolation, match="another DDL"):
+        _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n", ddl=DDL.replace("C int", "C bigint"))
+
+
+def test_content_hash_ignores_order_and_sees_every_change(spark):
+    rows = [(i, f"t{i % 7}") for i in range(200)] + [(3, "t3")]
+    hashed = lambda r, n: artifacts.content_hash(spark.createDataFrame(r, "a int, b string").repartition(n)).first()[0]
+    assert hashed(rows, 3) == hashed(rows[::-1], 5)
+    assert len({hashed(rows, 2), hashed(rows[:-1], 2), hashed([*rows[:50], (50, "x"), *rows[51:]], 2)}) == 3

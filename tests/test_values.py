@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colscope.functions.guards import ContractViolation
 from colscope.functions.hashing import digest_modulo
 from colscope.functions.ordering import global_row_number
 from colscope.functions.values import normalized_value
-from colscope.operators import grading, sampling
+from colscope.operators import grading, profiles, sampling
 
 
 def _pair(spark, value, kind):
@@ -127,3 +128,21 @@ def test_half_draw_moves_one_column_at_most(spark):
     before, after = draw(names), draw([*names, "A.S.T.NEW"])
     assert len(before) == 10 and len(after) == 11
     assert len(before - after) <= 1
+
+
+def test_ranges_come_from_declared_numbers(spark):
+    rows = [(i * 1e-9, str(i), Decimal(10**20 + i)) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "small double, text string, wide decimal(38,0)")
+    ranges = {r["column_name"]: (r["min"], r["max"]) for r in profiles.clipped_range(profiles.value_counts(df, df.columns)).collect()}
+    assert ranges == {"small": (11 * 1e-9, 29 * 1e-9), "text": (None, None), "wide": (1e20, 1e20)}
+
+
+def test_golds_that_cannot_be_compared_are_refused(spark):
+    vals = "array<struct<tag:string,val:string>>"
+    gold_rows = spark.createDataFrame([("q", "", 1, [("composite", None)])], f"qid string, variant string, row_no bigint, vals {vals}")
+    golds = spark.createDataFrame([("q", "", 1, 1, False)], "qid string, variant string, width int, rows bigint, ordered boolean")
+    runs = spark.createDataFrame([("r", "q", 1, "result", 1, 1)], "run_key string, qid string, repetition bigint, outcome string, width int, rows bigint")
+    run_rows = spark.createDataFrame([("r", 1, [("number", "1.00")])], f"run_key string, row_no bigint, vals {vals}")
+    for bad in (golds, golds.withColumn("width", F.lit(grading.MAX_COLUMNS + 1))):
+        with pytest.raises(ContractViolation, match="gold"):
+            grading.checks(runs, run_rows, bad, gold_rows)
