@@ -23,11 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     A session on one machine that names none gets a temporary folder for its life. On a
     cluster a folder of the driver's machine would lose rows, so there it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not _own:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own.append(tempfile.mkdtemp(prefix="spark-colscope-", dir="/tmp"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
