@@ -12,35 +12,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colscope.plans.stages import shared_folder
+
 #: The characters that separate words: space and the controls from tab to carriage return.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the session names in spark.checkpoint.dir.
-
-    Only a session that names none (tests on one machine) gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        sc.setCheckpointDir(named)
-    return named
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is written yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that all executors share; nothing is written yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and checkpointed in the shared folder: lost executors re-read it."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -66,7 +54,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the session's Python workers this package's sources, once, wherever they start."""
+    """Gives the session's Python workers this package's sources, once, wherever they start.
+
+    The archive lies on the driver, and Spark sends it to each executor, later ones included.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
