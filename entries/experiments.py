@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colscope import contracts
 from colscope.contracts import GRADE_REASONS
 from colscope.functions.values import normalized_value
 from colscope.operators import experiment, grading, readings, sampling
@@ -247,6 +248,66 @@ def a24(spark, d):
     return experiment.call_costs(calls(spark, d), prices).withColumn("spend_usd", F.round("spend_usd", 6))
 
 
+# Row contracts
+
+_GRADE_ROWS = "k AS (SELECT arm || '/' || qid || '/' || CAST(repetition AS VARCHAR) AS row_key, n, repetition, CASE WHEN n % 7 = 0 THEN NOT passed ELSE passed END AS passed, CASE WHEN n % 6 = 3 THEN 'tired' ELSE reason END AS reason FROM grades)"
+
+
+@query(
+    "d11_grade_contract",
+    with_sql(
+        f"{t.GRADES_SQL}, {_GRADE_ROWS}",
+        "SELECT row_key, 'reason_iff_failed' AS rule FROM k WHERE passed <> (reason IS NULL)"
+        " UNION ALL SELECT row_key, 'reason_known' FROM k WHERE reason = 'tired'"
+        " UNION ALL SELECT row_key, 'repetition_positive' FROM k WHERE repetition = 7",
+    ),
+)
+def d11_grades(spark, d):
+    n = F.col("n")
+    rows = t.grades(spark, d).select(
+        F.concat_ws("/", "arm", "qid", F.col("repetition").cast("string")).alias("run_key"),
+        F.when(n % 7 == 0, ~F.col("passed")).otherwise(F.col("passed")).alias("passed"),
+        F.when(n % 6 == 3, "tired").otherwise(F.col("reason")).alias("reason"),
+        F.when(F.col("repetition") == 7, 0).otherwise(F.col("repetition")).alias("repetition"),
+    )
+    return contracts.violations(rows, contracts.grade_rules(), "run_key")
+
+
+@query(
+    "d11_gate_contract",
+    with_sql(
+        _GATED,
+        "SELECT fqn AS row_key, 'probability_or_failure' AS rule FROM gated WHERE CAST(fqn AS BIGINT) % 36 = 0"
+        " UNION ALL SELECT fqn, 'failure_is_flagged' FROM gated WHERE CAST(fqn AS BIGINT) % 45 = 0"
+        " UNION ALL SELECT fqn, 'band_known' FROM gated WHERE CAST(fqn AS BIGINT) % 5 = 0",
+    ),
+)
+def d11_gates(spark, d):
+    g, i = gated(spark, d), F.col("fqn").cast("bigint")
+    rows = g.withColumn(
+        "band", F.when(i % 5 == 0, "later").otherwise(experiment.band(F.col("p_supported"), F.col("failure")))
+    ).withColumn("p_supported", F.when(i % 36 == 0, 0.5).otherwise(F.col("p_supported")))
+    return contracts.violations(rows, contracts.gate_rules(), "fqn")
+
+
+@query(
+    "d11_draft_contract",
+    "WITH w AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS row_key, CASE WHEN doc_id % 3 > 0 THEN text END AS description, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 = 0 THEN 'refused' END AS failure FROM documents)"
+    " SELECT row_key, 'description_or_failure' AS rule FROM w WHERE (description IS NULL) = (failure IS NULL)"
+    " UNION ALL SELECT row_key, 'description_length' FROM w WHERE length(description) NOT BETWEEN 1 AND 200"
+    " UNION ALL SELECT row_key, 'failed_has_no_unknowns' FROM w WHERE failure IS NOT NULL AND doc_id % 2 = 0",
+)
+def d11_drafts(spark, d):
+    i = F.col("doc_id")
+    rows = t.table(spark, d, "documents").select(
+        i.cast("string").alias("fqn"),
+        F.when(i % 3 > 0, F.col("text")).alias("description"),
+        F.when((i % 3 == 0) | (i % 7 == 0), "refused").alias("failure"),
+        F.when(i % 2 == 0, F.array("lang")).alias("unknowns"),
+    )
+    return contracts.violations(rows, contracts.draft_rules(), "fqn")
+
+
 # Bootstrap
 
 _BOOT = (

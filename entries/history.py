@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colscope import contracts
 from colscope.contracts import DROP_REASONS, REFERENCE_KINDS
 from colscope.functions.sqltext import normalize, normalize_once
 from colscope.operators import experiment, lineage, ranking, snapshot, tokens, usage
@@ -415,6 +416,44 @@ def a11(spark, d):
     return lineage.reference_counts(records(spark, d), texts(spark, d))
 
 
+@query(
+    "d11_reference_contract",
+    with_sql(
+        t.REFS_SQL,
+        "SELECT query_id || ' ' || fqn || ' ' || clause AS row_key, 'clause_known' AS rule FROM refs WHERE clause = 'where'"
+        " UNION ALL SELECT query_id || ' ' || fqn || ' ' || clause, 'fqn_shape' FROM refs WHERE clause = 'join'",
+    ),
+)
+def d11_references(spark, d):
+    rows = refs(spark, d).select(
+        F.concat_ws(" ", "query_id", "fqn", "clause").alias("ref"),
+        F.when(F.col("clause") == "join", F.lower("fqn")).otherwise(F.col("fqn")).alias("fqn"),
+        F.when(F.col("clause") == "where", "filter").otherwise(F.col("clause")).alias("clause"),
+    )
+    return contracts.violations(rows, contracts.column_ref_rules(), "ref")
+
+
+@query(
+    "d11_record_contract",
+    with_sql(
+        t.HISTORY_SQL,
+        "SELECT query_id AS row_key, 'fingerprint_is_hash' AS rule FROM snap WHERE event_type = 'view'"
+        " UNION ALL SELECT query_id, 'tag_all_or_none' FROM snap WHERE run_id IS NOT NULL AND event_type = 'click'"
+        " UNION ALL SELECT query_id, 'actor_known' FROM snap WHERE actor = 'human'",
+    ),
+)
+def d11_records(spark, d):
+    sql = F.col("normalized_sql")
+    rows = records(spark, d).withColumns(
+        {
+            "fingerprint": F.when(sql.contains(" GROUP BY 1 "), F.md5(sql)).otherwise(F.col("fingerprint")),
+            "qid": F.when(~sql.contains(" IN (?)"), F.col("qid")),
+            "actor": F.when(F.col("actor") != "human", F.col("actor")).otherwise("person"),
+        }
+    )
+    return contracts.violations(rows, contracts.query_record_rules(), "query_id")
+
+
 # Usage, coverage and rank
 
 
