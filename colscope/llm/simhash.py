@@ -123,6 +123,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     ).select("a", "b").distinct()
 
 
+def _hexed(column: str) -> Column:
+    return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``_id``, ``_sha``, fingerprint (16 hex digits), component_id and kept.
 
@@ -143,11 +147,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(stars, F.col("_print") == F.col("node"), "left").withColumn(
         "_root", F.coalesce("root", "_print")
     )
-    roots = rooted.groupBy("_root").agg(F.min("_least").alias("_first"))
-    hexed = F.lpad(F.lower(F.hex("_print")), 16, "0")
-    groups = rooted.join(roots, "_root").select(hexed.alias("fingerprint"), "_rows", "_first")
+    # a root may hold very many fingerprints: sizes are folded first and hot roots served by broadcast
+    rooted = rooted.select("_print", "_least", "_rows", _hexed("_root").alias("_root"))
+    roots = rooted.groupBy("_root").agg(F.min("_least").alias("_first"), F.count(F.lit(1)).alias("_nodes"))
+    groups = join_hot(rooted, roots, "_root", "_nodes", max(1000, n // HOT_SHARE)).select(
+        _hexed("_print").alias("fingerprint"), "_rows", "_first"
+    )
     joined = join_hot(
-        rows.select("_id", "_sha", hexed.alias("fingerprint")), groups, "fingerprint", "_rows", max(1000, n // HOT_SHARE)
+        rows.select("_id", "_sha", _hexed("_print").alias("fingerprint")), groups, "fingerprint", "_rows", max(1000, n // HOT_SHARE)
     )
     return joined.select(
         "_id", "_sha", "fingerprint", F.col("_first.id").alias("component_id"), place.eqNullSafe(F.col("_first")).alias("kept")
