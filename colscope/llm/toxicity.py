@@ -33,15 +33,87 @@ TARGETS = "you your yours he she they them him her his their du dich dir ihr euc
 NEGATIONS = "not no never nor without isn't aren't don't nicht kein keine keinen nie niemals ohne ne pas jamais sans nunca jamás sin".split()
 REPORTS = "said says wrote called quoted according sagte schrieb nannte laut dit écrit appelé selon dijo escribió llamó según".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
-NEGATED, REPORTED, TARGETED = 1, 2, 4
+#: Other forms of the threats, by stem and ending; past forms tell of violence and are no threats.
+THREAT_FORMS = [
+    ("kill destroy murder hurt beat", "s ing"),
+    ("töt verletz vernicht", "e est et t en"),
+    ("umbring", "e st t en"),
+    ("tu frapp", "e es ons ez ent erai eras era erons erez eront"),
+    ("détrui", "s t sons sez sent rai ras ra rons rez ront"),
+    ("mat golpe", "o as a amos an aré arás ará aremos arán ando"),
+    ("destru", "yo yes ye imos yen iré irás irá iremos irán yendo"),
+]
+#: Spanish verbs end in the one they aim at.
+AIMED_FORMS = ("matar golpear destruir matándo golpeándo destruyéndo", "te os lo la le los las les")
+#: Targets that are never the one who acts, and those that always are.
+OBJECTS = "them him dich dir euch ihn ihm ihnen te toi ti os".split()
+SUBJECTS = "he she they du er tu ils tú".split()
+
+INSULT, THREAT, AIMED_THREAT, TARGET, OBJECT, SUBJECT, NEGATION, REPORT, OTHER, BREAK = CLASSES = range(10)
+HITS, AIMS = (INSULT, THREAT, AIMED_THREAT), (TARGET, OBJECT, SUBJECT)
+#: What is said of a word: three marks that number a hit's place, what kind of hit it is, and whether a
+#: threat is aimed at someone.
+NEGATED, REPORTED, TARGETED, MENACING, AIMED, ABUSIVE = 1, 2, 4, 8, 16, 32
 MARKS = 8
+PLACES = 3 * MARKS
 #: An entry's weight in log odds is cut here, so no single word decides more than certainty needs.
 MOST_WEIGHT = 6.0
+#: Where no label says otherwise, an aimed threat alone gets this score.
+AIMED_SCORE = 0.9
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-CLAUSE_ENDS = ".!?;\n"
-_END = re.compile(f"[{re.escape(CLAUSE_ENDS)}]")
+#: Words, and the commas and quotes at which quoted speech ends.
+_TOKEN = re.compile(WORD.pattern + r"|[,\"'“”‘’«»]")
+#: An end mark before a closing quote is the quotation's: who said it may still follow.
+_END = re.compile(r"[.!?;](?![\"'”’»])|\n")
+
+
+class Speller:
+    """A transducer over letters: reads a word and gives its class and weight, or none.
+
+    Whole words end in their last state; a stem's last state takes any further letters.
+    """
+
+    def __init__(self, symbol: int, words: dict[str, float], stems: dict[str, float] | None = None):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.words = {self._state(w): (symbol, x) for w, x in words.items()}
+        self.stems = {self._state(w): (symbol, x) for w, x in (stems or {}).items()}
+
+    def _state(self, entry: str) -> int:
+        state = 0
+        for letter in entry:
+            to = self.arcs[state].setdefault(letter, len(self.arcs))
+            if to == len(self.arcs):
+                self.arcs.append({})
+            state = to
+        return state
+
+    def read(self, word: str) -> tuple[tuple[int, float] | None, tuple[int, float] | None]:
+        """What the word is as a whole, and by its longest stem."""
+        state, stem = 0, None
+        for letter in word:
+            to = self.arcs[state].get(letter)
+            if to is None:
+                return None, stem
+            state = to
+            stem = self.stems.get(state, stem)
+        return self.words.get(state), stem
+
+
+def forms(stems: str, endings: str) -> list[str]:
+    return [stem + ending for stem in stems.split() for ending in endings.split()]
+
+
+THREAT_WORDS = [*THREATS, *(w for stems, endings in THREAT_FORMS for w in forms(stems, endings))]
+AIMED_WORDS = forms(*AIMED_FORMS)
+#: The threat machine, and those of the words that mark an insult or a threat.
+SPELLERS = [
+    Speller(c, dict.fromkeys(words, 1.0))
+    for c, words in (
+        (THREAT, THREAT_WORDS), (AIMED_THREAT, AIMED_WORDS), (OBJECT, OBJECTS), (SUBJECT, SUBJECTS),
+        (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS),
+    )
+]
 
 
 @dataclass(frozen=True)
@@ -52,22 +124,45 @@ class Machine:
     step: Callable[[int, int], tuple[int, int]]
 
 
-def scope(trigger: int, reach: int, mark: int) -> Machine:
-    """Marks insults and threats up to ``reach`` words behind a word of class ``trigger``."""
+def hit(marks: dict[int, int]) -> Machine:
+    """Marks words of the classes given, wherever they stand."""
+    return Machine(1, lambda state, symbol: (0, marks.get(symbol, 0)))
+
+
+def scope(triggers: tuple[int, ...], reach: int, mark: int, hits: tuple[int, ...] = HITS) -> Machine:
+    """Marks insults and threats up to ``reach`` words behind a word of the classes ``triggers``."""
 
     def step(state: int, symbol: int) -> tuple[int, int]:
-        left = reach if symbol == trigger else max(0, state - 1)
-        return left, mark if state and symbol in (INSULT, THREAT) else 0
+        if symbol == BREAK:
+            return state, 0
+        left = reach if symbol in triggers else max(0, state - 1)
+        return left, mark if state and symbol in hits else 0
 
     return Machine(reach + 1, step)
 
 
+def told(before: int, reach: int, mark: int) -> Machine:
+    """Read from the right: marks insults and threats up to ``reach`` words ahead of the comma or quote
+    that stands up to ``before`` words ahead of a reporting verb."""
+
+    def step(state: int, symbol: int) -> tuple[int, int]:
+        waiting, reached = (state, 0) if state <= before else (0, state - before)
+        if symbol == REPORT:
+            return before, 0
+        if symbol == BREAK:
+            return (before + reach if waiting else state), 0
+        now = mark if reached and symbol in HITS else 0
+        return (waiting - 1 if waiting else before + reached - 1 if reached > 1 else 0), now
+
+    return Machine(before + reach + 1, step)
+
+
 def compose(machines: list[Machine]) -> tuple[np.ndarray, np.ndarray]:
     """The machines run side by side as one: tables of next states and of joint marks, by state and class."""
     seen: dict[tuple[int, ...], int] = {(0,) * len(machines): 0}
     nexts, marks = [], []
     for states in seen_in_order(seen):
-        row = [[m.step(s, symbol) for m, s in zip(machines, states, strict=True)] for symbol in range(6)]
+        row = [[m.step(s, symbol) for m, s in zip(machines, states, strict=True)] for symbol in CLASSES]
         nexts.append([seen.setdefault(tuple(to for to, _ in r), len(seen)) for r in row])
         marks.append([sum(mark for _, mark in r) for r in row])
     return np.array(nexts), np.array(marks)
@@ -80,8 +175,23 @@ def seen_in_order(seen: dict) -> Iterator[tuple[int, ...]]:
         at += 1
 
 
-#: Negation reaches 3 words, reported speech 6, a target 4.
-GRAMMAR = [scope(NEGATION, 3, NEGATED), scope(REPORT, 6, REPORTED), scope(TARGET, 4, TARGETED)]
+#: Negation reaches 3 words, reported speech 6, a target 4. The insult machine, of learned words, and the
+#: threat machine spell words into classes (Speller) and mark them here.
+GRAMMAR = [
+    hit({INSULT: ABUSIVE}), hit({THREAT: MENACING, AIMED_THREAT: MENACING | AIMED | TARGETED}),
+    scope((NEGATION,), 3, NEGATED), scope((REPORT,), 6, REPORTED), scope(AIMS, 4, TARGETED, (INSULT, THREAT)),
+]
+#: Whom a threat is aimed at, where the object stands first ("ich werde dich töten").
+OBJECT_FIRST = [scope((OBJECT,), 4, AIMED, (THREAT,))]
+#: Read from the right: the target and the object behind a hit, and who said it.
+FROM_RIGHT = [
+    scope(AIMS, 4, TARGETED, (INSULT, THREAT)), scope((TARGET, OBJECT), 4, AIMED, (THREAT,)), told(4, 12, REPORTED),
+]
+
+
+def place(mark: int) -> int:
+    """A hit's place among the weights: insults, threats, aimed threats, by three marks each."""
+    return mark % MARKS + (MARKS * (1 + bool(mark & AIMED)) if mark & MENACING else 0)
 
 
 def lowered(text: str) -> str:
@@ -90,24 +200,41 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def run(nexts: list[list[int]], marks: list[list[int]], classes: list[int]) -> list[int]:
+    """The marks a composed machine sets on each word."""
+    state, out = 0, []
+    for symbol in classes:
+        out.append(marks[state][symbol])
+        state = nexts[state][symbol]
+    return out
+
+
+def own_marks(bias: float) -> np.ndarray:
+    """What the grammar says by itself: an insult counts, a threat near a target half, an aimed threat as
+    much as AIMED_SCORE needs, any other threat nothing; denied and reported ones count half of that."""
+    prior = np.array([0.5 ** bin(m & (NEGATED | REPORTED)).count("1") for m in range(MARKS)])
+    near = np.array([0.5 if m & TARGETED else 0 for m in range(MARKS)])
+    return np.concatenate([prior, prior * near, prior * (np.log(AIMED_SCORE / (1 - AIMED_SCORE)) - bias)])
+
+
 class Grammar:
-    """The lexicon's insults, the word classes and the composed machine with a weight for each mark.
+    """The lexicon's insults, the word classes and the composed machines with a weight for each mark.
 
     ``words`` and ``stems`` give weights in log odds; ``marks`` multiplies a hit's weight by what the
-    machine says of it (8 insult marks, then 8 threat marks); ``bias`` is the score without a match.
+    machines say of it (8 insult marks, 8 threat marks, 8 of aimed threats); ``bias`` is the score
+    without a match. Letters are spelled into classes, and classes read from the left and the right.
     """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], marks: np.ndarray | None = None, bias: float = -3.0):
         self.words, self.stems, self.bias = words, stems, bias
-        self.marks = np.ones(2 * MARKS) if marks is None else marks
-        self.next, self.mark = (t.tolist() for t in compose(GRAMMAR))
-        self.fixed = {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        self.longest = max(map(len, stems), default=0)
+        self.marks = own_marks(bias) if marks is None else marks
+        self.left, self.object, self.right = ([t.tolist() for t in compose(m)] for m in (GRAMMAR, OBJECT_FIRST, FROM_RIGHT))
+        self.insult = Speller(INSULT, words, stems)
         self._build()
 
     def _build(self) -> None:
         self.hits = ahocorasick.Automaton()
-        for w in {*self.words, *self.stems, *THREATS}:
+        for w in {*self.words, *self.stems, *THREAT_WORDS, *AIMED_WORDS}:
             self.hits.add_word(w, len(w))
         if len(self.hits):
             self.hits.make_automaton()
@@ -121,14 +248,10 @@ class Grammar:
 
     def symbol(self, word: str) -> tuple[int, float]:
         """A word's class, and its weight."""
-        if (weight := self.words.get(word)) is not None:
-            return INSULT, weight
-        if (kind := self.fixed.get(word)) is not None:
-            return kind, 1.0
-        for n in range(min(self.longest, len(word)), 3, -1):
-            if (weight := self.stems.get(word[:n])) is not None:
-                return INSULT, weight
-        return OTHER, 0.0
+        whole, stem = self.insult.read(word)
+        if whole is None:
+            whole = next((found for s in SPELLERS if (found := s.read(word)[0])), None)
+        return whole or stem or (OTHER, 0.0)
 
     def clauses(self, low: str) -> Iterator[tuple[int, int]]:
         """Start and end of each clause that holds an insult or a threat, once each."""
@@ -139,7 +262,7 @@ class Grammar:
             first = at - n + 1
             if first < end or first and low[first - 1].isalpha():
                 continue
-            start = max(end, 1 + max(low.rfind(c, end, first) for c in CLAUSE_ENDS))
+            start = max([end, *(m.end() for m in _END.finditer(low, end, first))])
             found = _END.search(low, at)
             end = found.start() if found else len(low)
             yield start, end
@@ -149,19 +272,21 @@ class Grammar:
         out = []
         low = lowered(text or "")
         for start, end in self.clauses(low):
-            state, sums = 0, np.zeros(2 * MARKS)
-            for m in WORD.finditer(low, start, end):
-                symbol, weight = self.symbol(m.group())
-                if symbol <= THREAT:
-                    sums[symbol * MARKS + self.mark[state][symbol]] += weight
-                state = self.next[state][symbol]
+            read = [self.symbol(m.group()) if m.group()[0].isalpha() else (BREAK, 0.0) for m in _TOKEN.finditer(low, start, end)]
+            classes = [symbol for symbol, _ in read]
+            said = [a | b for a, b in zip(run(*self.left, classes), run(*self.object, classes), strict=True)]
+            behind = run(*self.right, classes[::-1])[::-1]
+            sums = np.zeros(PLACES)
+            for (_, weight), a, b in zip(read, said, behind, strict=True):
+                if a & (ABUSIVE | MENACING):
+                    sums[place(a | b)] += weight
             if sums.any():
                 out.append((start, end, sums))
         return out
 
     def features(self, text: str | None) -> np.ndarray:
         """By mark, the weights of all matched clauses, cut at MOST_WEIGHT."""
-        total = np.zeros(2 * MARKS)
+        total = np.zeros(PLACES)
         for _, _, sums in self.matches(text):
             total += sums
         return np.minimum(total, MOST_WEIGHT)
@@ -175,18 +300,19 @@ class Grammar:
 
 def fitted_marks(x: np.ndarray, y: np.ndarray, pull: float = 3.0) -> tuple[np.ndarray, float]:
     """Weights of the marks and the bias: logistic regression by Newton steps, drawn to what the
-    grammar says by itself (an insult or an aimed threat counts, an unaimed threat doesn't; denied
-    and reported ones count half)."""
-    prior = np.array([0.5 ** bin(m & (NEGATED | REPORTED)).count("1") for m in range(MARKS)])
-    prior = np.concatenate([prior, prior * [bool(m & TARGETED) * 0.5 for m in range(MARKS)], [-3.0]])
-    w, a = prior.copy(), np.column_stack([x, np.ones(len(x))])
+    grammar says by itself at that bias."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.append(own_marks(-3.0), -3.0)
     stiff = np.full(len(w), pull)
     stiff[-1] = 0.1
     for _ in range(30):
+        prior = np.append(own_marks(w[-1]), -3.0)
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         slope = a.T @ (p - y) + stiff * (w - prior)
         curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag(stiff)
         w -= np.linalg.solve(curve, slope)
+    # places no labelled row has stay as the grammar says at the last bias
+    w[:-1] = np.where(x.any(axis=0), w[:-1], own_marks(w[-1]))
     return np.maximum(w[:-1], 0), float(w[-1])
 
 
@@ -282,7 +408,7 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
             scores, spans = [], []
             for text in batch.column(batch.schema.get_field_index(text_col)):
                 found = own.matches(text.as_py())
-                total = np.sum([f[2] for f in found], axis=0) if found else np.zeros(2 * MARKS)
+                total = np.sum([f[2] for f in found], axis=0) if found else np.zeros(PLACES)
                 scores.append(own.probability(np.minimum(total, MOST_WEIGHT)))
                 spans.append([{"start": a, "end": b, "score": own.probability(np.minimum(x, MOST_WEIGHT))} for a, b, x in found])
             yield with_arrays(batch, score=pa.array(scores, pa.float64()), clauses=pa.array(spans, ARROW_SPANS))

@@ -167,6 +167,40 @@ def test_marks_of_the_composed_machine():
     assert nexts.shape == joint.shape and nexts.max() < len(nexts) <= 4 * 7 * 5
 
 
+def test_threats_aimed_from_either_side():
+    g = toxicity.Grammar({"idiot": 2.0}, {})
+    hit = [
+        "I will kill you", "they should hurt her", "We are killing every one of them.", "ich werde dich töten", "Er vernichtet euch",
+        "je vais te frapper", "Voy a golpear a ella", "quiero matarte", "They never sleep, and I will destroy your house",
+    ]
+    free = [
+        "I will kill", "you kill", "kill the engine while they sleep", "he killed a deer", "I will not kill you", "skill you",
+        "'I will kill you', he said.", '"I will kill you!" said the old man.', "He said I will kill you", "this beats the rest of a walk home to you",
+    ]
+    assert [t for t in hit if g.score(t) < toxicity.THRESHOLD] == []
+    assert [t for t in free if g.score(t) >= toxicity.THRESHOLD] == []
+
+
+def test_insults_are_marked_from_the_right_too():
+    g = toxicity.Grammar({"idiot": 2.0}, {})
+
+    def marks(text):
+        return [np.flatnonzero(s).tolist() for _, _, s in g.matches(text)]
+
+    assert marks("What an idiot you are") == [[toxicity.TARGETED]]
+    assert marks("Some idiot, he said.") == [[toxicity.TARGETED | toxicity.REPORTED]]
+    assert marks("'Such an idiot!' wrote the paper. An idiot said so") == [[toxicity.REPORTED], [0]]
+    assert len(toxicity.GRAMMAR) == 5
+
+
+def test_unlabelled_threats_count_after_a_fit():
+    x = np.zeros((200, toxicity.PLACES))
+    x[:20, 0] = 4.0
+    g = toxicity.Grammar({"idiot": 2.0}, {}, *toxicity.fitted_marks(x, (x[:, 0] > 0).astype(float)))
+    assert g.score("I will kill you") >= toxicity.THRESHOLD > g.score("I will not kill you")
+    assert g.score("I will kill") < toxicity.THRESHOLD and g.score("") < 0.1
+
+
 def test_long_text_with_many_clauses():
     g = toxicity.Grammar({"idiot": 2.0}, {})
     assert len(g.matches("an idiot here. " * 20_000)) == 20_000
