@@ -115,15 +115,16 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
 ) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target and taken (words the mix takes of it).
+    """Every row of ``docs`` with size, source_size, target, times (how often the mix takes it) and taken
+    (words the mix takes of it).
 
     A row is taken whole as often as the target holds its source's size, and once more if its draw
     lies under the source's threshold, so a source's words end within half a document of the target
-    and no row exceeds ``most`` times its size. A null text has no words; null sources are one
-    source, the last; a source without words has target 0. Rows alike in id and text share a draw and
+    and no row exceeds ``most`` times its size. A null text has no words and is taken
+    as often as its source's other rows; null sources are one source, the last; a source without words has target 0. Rows alike in id and text share a draw and
     go together. Columns of the input named like a result are replaced. An empty table gives none.
     """
-    added = ["size", "source_size", "target", "taken"]
+    added = ["size", "source_size", "target", "times", "taken"]
     first, _, last = carried(docs, added)
     rows = docs.select(
         *first,
@@ -145,6 +146,7 @@ def mix(
         F.col("_source").alias("_p_source"), "source_size", "target", "_copies", "_threshold"
     )
     once_more = F.coalesce(F.col("_draw") < F.col("_threshold"), F.lit(False)).cast("long")
+    times = F.coalesce(F.col("_copies"), F.lit(0)).cast("long") + once_more
     return rows.join(
         _small(plan, n_sources), F.col("_source").eqNullSafe(F.col("_p_source")), "left"
     ).select(
@@ -152,7 +154,8 @@ def mix(
         F.col("_size").alias("size"),
         F.col("source_size").cast("long").alias("source_size"),
         "target",
-        (F.col("_size") * (F.col("_copies") + once_more)).cast("long").alias("taken"),
+        times.alias("times"),
+        (F.col("_size") * times).alias("taken"),
     )
 
 

@@ -109,6 +109,14 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sorted(map(repr, ran.collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_documents_without_words_follow_their_source(spark):
+    rows = [(i, "one two three", "a") for i in range(9)] + [(9, "", "a"), (10, None, "a"), (11, " \n", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter(r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert all(taken[i] >= 1 for i in range(11))  # source a gives 1.5 times its words: each row once at least
+    assert taken[11] == 0  # a source without words has no target
+
+
 @pytest.mark.parametrize("name", ["op6_token_counts", "op7_line_dedup", "op8_mixing", "op9_exact_dedup"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
