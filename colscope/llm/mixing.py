@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.functions.ordering import global_row_number
-from colscope.llm.common import carried, cut, documents, word_count
+from colscope.llm.common import carried, cut, documents, join_hot, word_count
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -18,6 +18,8 @@ MOST = 2
 HASH_BITS, STEP_BITS = 60, 12
 #: Per-source tables of up to so many rows are broadcast (a few MB); larger ones are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: In that shuffle, sources of 1 / HOT_SHARE of the rows or more are joined by broadcast.
+HOT_SHARE = 1000
 
 
 def draw(doc_id: str, text: str):
@@ -29,7 +31,7 @@ def draw(doc_id: str, text: str):
 
 
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``sizes`` (_source, source_size; one row a source) with target.
+    """``sizes`` (_source, source_size; one row a source; other columns stay) with target.
 
     Sources in order of code points, null last, weigh ``weights`` in turn. The excess over ``most``
     times a source's size goes to the others by weight until none is above: that is a water level,
@@ -41,7 +43,7 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("_no") - 1, len(weights)) + 1).cast("int"))
     weighed = cut(
         global_row_number(ordered, [("_last", False), ("_name", False)], "_no").select(
-            "_source", "source_size", turn.alias("_weight"), (F.col("source_size") * most).alias("_cap")
+            *sizes.columns, turn.alias("_weight"), (F.col("source_size") * most).alias("_cap")
         )
     )
     total = weighed.agg(F.sum("source_size")).head()[0] or 0
@@ -55,17 +57,22 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
             break
         capped, level = now, (share * total - (spent or 0)) / weight
     return weighed.select(
-        "_source",
-        "source_size",
+        *sizes.columns,
         F.least(F.col("_cap").cast("double"), F.lit(float(level)) * F.col("_weight")).alias("target"),
     )
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
+def _with_source(rows: DataFrame, groups: DataFrame, n_sources: int, hot: int) -> DataFrame:
+    """``rows`` left-joined by ``_source`` with ``groups``, one row a source; ``_rows`` is how many rows it has."""
+    if n_sources <= BROADCAST_SOURCES:
+        named = F.broadcast(groups.withColumnRenamed("_source", "_g_source"))
+        return rows.join(named, F.col("_source").eqNullSafe(F.col("_g_source")), "left").drop("_g_source")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("n"))
+    keyed = groups.withColumn("_key", key).drop("_source")
+    return join_hot(rows.withColumn("_key", key), keyed, "_key", "_rows", hot).drop("_key")
 
 
-def thresholds(rows: DataFrame, wanted: DataFrame, n_sources: int) -> DataFrame:
+def thresholds(rows: DataFrame, wanted: DataFrame, n_sources: int, hot: int) -> DataFrame:
     """Per source, the draw below which documents are taken once more than ``_copies`` times.
 
     The remainder of the target is met by the documents of the smallest draws. Round by round the
@@ -75,27 +82,29 @@ def thresholds(rows: DataFrame, wanted: DataFrame, n_sources: int) -> DataFrame:
     """
     bound = wanted.select(
         "_source",
+        "_rows",
         "_rest",
         F.lit(0).cast("long").alias("_prefix"),
         F.lit(0).cast("long").alias("_below"),
         F.lit(0).cast("long").alias("_words"),
     )
-    running = Window.partitionBy("_b_source").orderBy("_bucket")
+    running = Window.partitionBy("_source").orderBy("_bucket")
     for settled in range(STEP_BITS, HASH_BITS + 1, STEP_BITS):
         left = HASH_BITS - settled
-        named = bound.select(F.col("_source").alias("_b_source"), "_rest", "_prefix", "_below")
+        named = bound.select("_source", "_rows", "_rest", "_prefix", "_below")
         sums = (
-            rows.join(_small(named, n_sources), F.col("_source").eqNullSafe(F.col("_b_source")))
+            _with_source(rows, named, n_sources, hot)
             .where(F.shiftright("_draw", left + STEP_BITS) == F.col("_prefix"))
-            .groupBy("_b_source", "_rest", "_below", F.shiftright("_draw", left).alias("_bucket"))
+            .groupBy("_source", "_rows", "_rest", "_below", F.shiftright("_draw", left).alias("_bucket"))
             .agg(F.sum("_size").alias("_in"))
         )
         passed = sums.withColumn("_to", F.col("_below") + F.sum("_in").over(running)).where("_to > _rest")
         bound = cut(
-            passed.groupBy("_b_source", "_rest")
+            passed.groupBy("_source", "_rows", "_rest")
             .agg(F.min_by(F.struct("_bucket", "_to", "_in"), "_bucket").alias("m"))
             .select(
-                F.col("_b_source").alias("_source"),
+                "_source",
+                "_rows",
                 "_rest",
                 F.col("m._bucket").alias("_prefix"),
                 (F.col("m._to") - F.col("m._in")).alias("_below"),
@@ -133,7 +142,7 @@ def mix(
         draw(id_col, text_col).alias("_draw"),
     )
     narrow = cut(rows.select("_source", "_size", "_draw"))
-    sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     copies = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     wanted = cut(
         targets(sizes, share, weights, most)
@@ -141,15 +150,14 @@ def mix(
         .withColumn("_rest", F.col("target") - F.col("_copies") * F.col("source_size"))
     )
     n_sources = wanted.count()
-    found = thresholds(narrow, wanted, n_sources).withColumnRenamed("_source", "_t_source")
+    hot = max(1000, (wanted.agg(F.sum("_rows")).head()[0] or 0) // HOT_SHARE)
+    found = thresholds(narrow, wanted, n_sources, hot).withColumnRenamed("_source", "_t_source")
     plan = wanted.join(found, F.col("_source").eqNullSafe(F.col("_t_source")), "left").select(
-        F.col("_source").alias("_p_source"), "source_size", "target", "_copies", "_threshold"
+        "_source", "_rows", "source_size", "target", "_copies", "_threshold"
     )
     once_more = F.coalesce(F.col("_draw") < F.col("_threshold"), F.lit(False)).cast("long")
     times = F.coalesce(F.col("_copies"), F.lit(0)).cast("long") + once_more
-    return rows.join(
-        _small(plan, n_sources), F.col("_source").eqNullSafe(F.col("_p_source")), "left"
-    ).select(
+    return _with_source(rows, plan, n_sources, hot).select(
         *last,
         F.col("_size").alias("size"),
         F.col("source_size").cast("long").alias("source_size"),

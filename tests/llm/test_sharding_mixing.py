@@ -109,6 +109,24 @@ def test_mix_meets_its_targets(spark, monkeypatch, broadcast):
     assert again == Counter((r["doc_id"], r["text"], r["taken"]) for r in out)
 
 
+def test_a_hot_source_is_no_hot_task(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rows = [(i, "a b", None if i % 2 else "hot" if i % 4 else f"s{i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "-1", "8"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = mixing.mix(docs).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(out) == 6000 and max(Counter(r["part"] for r in out).values()) < 1500
+    monkeypatch.undo()
+    same = Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect())
+    assert same == Counter((r["doc_id"], r["taken"]) for r in out)
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
