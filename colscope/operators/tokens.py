@@ -96,9 +96,22 @@ UNFOLLOWED = "|".join(
 )
 
 
+# A cast to a type whose arguments are types: AS ARRAY(VARCHAR)) or AS MAP(VARCHAR, NUMBER)).
+_TYPE = (
+    "(?:VARCHAR|STRING|TEXT|CHAR|NUMBER|DECIMAL|NUMERIC|INTEGER|INT|BIGINT|SMALLINT|TINYINT|FLOAT|DOUBLE|REAL|BOOLEAN"
+    "|DATE|TIME|TIMESTAMP|TIMESTAMP_NTZ|TIMESTAMP_LTZ|TIMESTAMP_TZ|BINARY|VARIANT|OBJECT|ARRAY|MAP)"
+)
+CAST_ARGUMENTS = rf"\bAS (ARRAY|MAP) ?\( ?{_TYPE}(?: ?, ?{_TYPE})? ?\)(?= ?\))"
+
+
+def without_cast_arguments(sql: Column) -> Column:
+    """The text with casts to the bare type, whose arguments look like a column list but name no columns."""
+    return F.regexp_replace(sql, CAST_ARGUMENTS, "AS $1")
+
+
 def unfollowed(sql: Column) -> Column:
     """Whether a text has a shape whose names could only be guessed."""
-    return sql.rlike(UNFOLLOWED)
+    return without_cast_arguments(sql).rlike(UNFOLLOWED)
 
 
 def context_id() -> Column:
@@ -116,7 +129,7 @@ def context_id() -> Column:
 
 def token_rows(texts: DataFrame) -> DataFrame:
     """One row per token with its neighbours, read from the array before it is exploded."""
-    tokens = F.regexp_extract_all(F.col("sql"), F.lit(TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(without_cast_arguments(F.col("sql")), F.lit(TOKEN), F.lit(0))
 
     def with_neighbours(toks: Column) -> Column:
         return F.transform(
