@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from colscope.llm import ann, byte_bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
+from colscope.llm import ann, byte_bpe, exact_dedup, line_dedup, minhash, mixing, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_minhash": minhash.op11_minhash,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,6 +25,7 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_minhash": minhash.SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:
