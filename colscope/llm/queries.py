@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from colscope.llm import ann, byte_bpe, exact_dedup, line_dedup, minhash, mixing, quality, sharding, simhash, token_counts, toxicity
+from colscope.llm import ann, byte_bpe, exact_dedup, line_dedup, minhash, mixing, negatives, quality, sharding, simhash, token_counts, toxicity, trie
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
     "op11_minhash": minhash.op11_minhash,
+    "op12_trie": trie.op12_trie,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,6 +28,8 @@ SQL = {
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op11_minhash": minhash.SQL,
+    "op12_trie": trie.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:

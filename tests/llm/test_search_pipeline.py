@@ -117,10 +117,10 @@ def test_documents_without_words_follow_their_source(spark):
     assert taken[11] == 0  # a source without words has no target
 
 
-@pytest.mark.parametrize("name", ["op6_token_counts", "op7_line_dedup", "op8_mixing", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op6_token_counts", "op7_line_dedup", "op8_mixing", "op9_exact_dedup", "op11_minhash", "op12_trie", "op13_hard_negatives"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = entry.queries()[name](spark, DATA)
     cur = con.execute(entry.oracle_sql()[name])
