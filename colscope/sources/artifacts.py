@@ -47,12 +47,11 @@ def summed_digests(digest: str, parts: int) -> list[Column]:
     return [c.cast("string") for c in (F.count(digest), *sums)]
 
 
-def stamped(results: DataFrame, sql_text: str, data_pins: DataFrame) -> DataFrame:
-    """Results with what they were computed from: the SQL's hash and the pins' hash."""
+def stamped(results: DataFrame, sql: str | Column, data_pins: DataFrame) -> DataFrame:
+    """Results with what they were computed from: the hash of their SQL, a text or a column of texts, and the pins'."""
     pins = content_hash(data_pins).scalar()
-    return results.withColumn("sql_sha256", F.sha2(F.lit(sql_text), 256)).withColumn(
-        "data_sha256", pins
-    )
+    text = F.lit(sql) if isinstance(sql, str) else sql
+    return results.withColumn("sql_sha256", F.sha2(text, 256)).withColumn("data_sha256", pins)
 
 
 def stale_results(stored: DataFrame, expected: DataFrame) -> DataFrame:

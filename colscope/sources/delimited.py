@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.functions.guards import require_empty
+from colscope.functions.guards import ContractViolation, require_empty
 from colscope.operators.quality import null_counts
+from colscope.plans.stages import staged
+from colscope.sources.file_facts import file_facts
 
-LEDGER = "file_name string, sha256 string, rows bigint, ddl_sha256 string"
+LEDGER = "file_name string, sha256 string, rows bigint, ddl_sha256 string, folder string"
 
 
 def read_fact(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:
@@ -39,6 +42,31 @@ def parse_lines(lines: DataFrame, column: str, ddl: str) -> DataFrame:
     return lines.select(F.from_csv(F.col(column), F.lit(ddl), options).alias("r")).select("r.*")
 
 
+def write_files(lines: DataFrame, header: DataFrame, order: Sequence[str], folder: str, gzip: bool = False) -> list[str]:
+    """Writes lines (file, value and the columns of ``order``) as one file a name, and gives the paths.
+
+    A file has its line of ``header`` (file, value) first, then its lines in order. Each file is written by one
+    task, under a name of the writer's, and renamed when all are whole. A file's lines are sorted, not held.
+    """
+    spark = lines.sparkSession
+    marked = header.select("file", "value", F.lit(0).alias("_part")).unionByName(
+        lines.withColumn("_part", F.lit(1)), allowMissingColumns=True
+    )
+    sorted_ = marked.repartition("file").sortWithinPartitions("file", "_part", *order)
+    writing = f"{folder}/writing-{uuid.uuid4().hex}"
+    sorted_.select("file", "value").write.partitionBy("file").option("compression", "gzip" if gzip else "none").text(writing)
+    top, fs = _hadoop(spark, writing)
+    paths = []
+    for entry in fs.globStatus(_hadoop(spark, f"{writing}/file=*/part-*")[0]):
+        name = entry.getPath().getParent().getName().removeprefix("file=")
+        target = f"{folder}/{name}"
+        if not fs.rename(entry.getPath(), _hadoop(spark, target)[0]):
+            raise OSError(f"{target} can't be written")
+        paths.append(target)
+    fs.delete(top, True)
+    return sorted(paths)
+
+
 def missing_values(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """NOT NULL columns holding empties, with their counts."""
     return null_counts(df, required)
@@ -50,23 +78,9 @@ def read_as_text(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
     return spark.read.schema(schema).option("sep", ";").option("header", True).csv(list(paths))
 
 
-def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, header): the first line of each file.
-
-    Only lines that start a file are kept, so the scan's rows shrink to one per file
-    before they are grouped; a gzipped file is one block, a plain one has a first block.
-    """
-    lines = spark.read.text(list(paths)).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
-        "value",
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    return (
-        lines.where(F.col("_start") == 0)
-        .groupBy("file")
-        .agg(F.min_by("value", "_row").alias("header"))
-    )
+def headers(facts: DataFrame) -> DataFrame:
+    """(file, header): the first line of each file, of its facts (``file_facts``)."""
+    return facts.select(F.col("file_name").alias("file"), F.coalesce("header", F.lit("")).alias("header"))
 
 
 def header_differences(heads: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,12 +110,8 @@ def header_differences(heads: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file_name, bytes, sha256) of each file as stored."""
-    return spark.read.format("binaryFile").load(list(paths)).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """(file_name, bytes, sha256) of each file as stored, in constant memory."""
+    return file_facts(spark, paths).select("file_name", "bytes", "sha256")
 
 
 def file_rows(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:
@@ -152,6 +162,29 @@ def load_plan(files: DataFrame, ledger: DataFrame, ddl_sha256: str) -> DataFrame
     return files.join(seen, "file_name", "left").select("file_name", "sha256", action.alias("action"))
 
 
+def write_observed(df: DataFrame, required: Sequence[str], path: str, by: str) -> dict[str, int]:
+    """Writes ``df`` to ``path``, a folder for each value of ``by``; gives what was seen on the way.
+
+    Counts are gathered while the rows are written, by the same scan: ``rows``, and for each column of
+    ``required`` how many of its values are null.
+    """
+    seen = Observation()
+    empties = [F.count_if(F.col(c).isNull()).alias(f"null {i}") for i, c in enumerate(required)]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *empties).write.partitionBy(by).parquet(path)
+    return {"rows": seen.get["rows"], **{c: seen.get[f"null {i}"] for i, c in enumerate(required)}}
+
+
+def stage(spark: SparkSession, paths: Sequence[str], ddl: str, path: str) -> tuple[int, DataFrame]:
+    """Parses files into ``path`` by one scan: how many rows came, and the NOT NULL columns of ``ddl`` that
+    hold empties, with their counts. A value that doesn't fit its type fails the write."""
+    required = [f.name for f in T.StructType.fromDDL(ddl) if not f.nullable]
+    facts = read_fact(spark, paths, ddl).withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    seen = write_observed(facts, required, path, "source_file")
+    rows = seen.pop("rows")
+    broken = [(c, n) for c, n in seen.items() if n]
+    return rows, spark.createDataFrame(broken, "column_name string, nulls bigint")
+
+
 def load(
     spark: SparkSession,
     paths: Sequence[str],
@@ -163,53 +196,66 @@ def load(
 ) -> DataFrame:
     """Load each file not loaded yet; a second call with the same bytes loads nothing.
 
-    Each file is its own partition directory, overwritten as a whole, and the ledger row
-    follows it: a load cut short leaves no ledger row and is made again. Nothing is written
-    if a header, a pin or a NOT NULL column of ``ddl`` is broken.
+    A file is read twice: once as stored, for its size, hash, header and lines, and once as rows, which are
+    checked while they are written. New files go into a folder of their own, which nothing reads before the
+    ledger names it: the ledger's rows are written last, if every header, pin, type, row count and NOT NULL
+    column of ``ddl`` holds, and publish all of them at once. A load cut short leaves an unnamed folder and is
+    made again; one that is refused takes its folder back. ``loaded`` reads what the ledger names.
     """
     ddl_sha = _ddl_sha(ddl)
     known = ledger if ledger is not None else _ledger(spark, ledger_dir)
     columns = T.StructType.fromDDL(ddl).fieldNames()
-    digests = file_digests(spark, paths)
-    require_empty(header_differences(headers(spark, paths), columns), "a header differs")
+    facts = staged(file_facts(spark, paths), "file-facts")
+    require_empty(header_differences(headers(facts), columns), "a header differs")
     stale = known.where(F.col("ddl_sha256") != ddl_sha)
     require_empty(stale, "loaded under another DDL")
-    plan = load_plan(digests, known, ddl_sha)
+    plan = load_plan(facts.select("file_name", "sha256"), known, ddl_sha)
     require_empty(plan.where(F.col("action") == "other bytes"), "a loaded file has other bytes")
     # The file list is small by nature: one name per monthly file.
-    todo = {r["file_name"] for r in plan.where(F.col("action") == "load").collect()}
-    new_paths = [p for p in paths if p.rsplit("/", 1)[-1] in todo]
-    if not new_paths:
+    new = facts.join(plan.where(F.col("action") == "load").select("file_name"), "file_name", "left_semi")
+    todo = {r["path"]: (r["file_name"], r["rows"]) for r in new.select("path", "file_name", "rows").collect()}
+    if not todo:
         return spark.createDataFrame([], LEDGER)
-    counted = digests.join(file_rows(spark, new_paths, ddl), "file_name")
-    pinned = pins.where(F.col("file_name").isin(*todo))
-    require_empty(pin_mismatches(counted, pinned), "a file differs from its pin")
-    required = [f.name for f in T.StructType.fromDDL(ddl) if not f.nullable]
-    if required:
-        empties = missing_values(read_fact(spark, new_paths, ddl), required)
+    pinned = pins.where(F.col("file_name").isin(*[name for name, _ in todo.values()]))
+    require_empty(pin_mismatches(new.select("file_name", "bytes", "sha256", "rows"), pinned), "a file differs from its pin")
+    part = f"load={uuid.uuid4().hex}"
+    try:
+        rows, empties = stage(spark, list(todo), ddl, f"{raw_dir}/{part}")
         require_empty(empties, "a NOT NULL field is empty")
-    facts = read_fact(spark, new_paths, ddl).withColumn(
-        "source_file", F.element_at(F.split("_metadata.file_path", "/"), -1)
-    )
-    (
-        facts.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source_file")
-        .parquet(raw_dir)
-    )
-    entries = counted.select("file_name", "sha256", "rows", F.lit(ddl_sha).alias("ddl_sha256"))
+        if rows != (lines := sum(n for _, n in todo.values())):
+            raise ContractViolation(f"parsed {rows} rows of {lines} lines")
+    except Exception:
+        folder, fs = _hadoop(spark, f"{raw_dir}/{part}")
+        fs.delete(folder, True)
+        raise
+    entries = new.select("file_name", "sha256", "rows", F.lit(ddl_sha).alias("ddl_sha256"), F.lit(part).alias("folder"))
     entries.write.mode("append").parquet(ledger_dir)
     return entries
 
 
+def loaded(spark: SparkSession, raw_dir: str, ledger_dir: str, ddl: str) -> DataFrame:
+    """The rows of all loaded files, with ``source_file``: of the folders that the ledger names, and no others."""
+    known = _ledger(spark, ledger_dir)
+    folders = [r["folder"] for r in known.select("folder").distinct().collect()]
+    declared = T.StructType([T.StructField(f.name, f.dataType) for f in T.StructType.fromDDL(ddl)])
+    schema = declared.add("source_file", T.StringType())
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", raw_dir).parquet(*[f"{raw_dir}/{f}" for f in folders]).select(*schema.names)
+
+
 def _ddl_sha(ddl: str) -> str:
     return hashlib.sha256(ddl.encode()).hexdigest()
 
 
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:
     """The ledger, empty before the first load."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, fs = _hadoop(spark, ledger_dir)
     if not fs.exists(path):
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(ledger_dir)

@@ -13,10 +13,11 @@ from colscope.operators.quality import not_unique
 
 
 def read_code_list(spark: SparkSession, path: str, code: str) -> DataFrame:
-    """A typed code list: an integer code and its label. Nothing is inferred."""
+    """A typed code list: an integer code and its label, quotes doubled inside quotes. Nothing is inferred."""
     return (
         spark.read.schema(f"{code} int, {code}_LIB string")
         .option("header", True)
+        .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(path)
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colscope.contracts import COLUMN_USAGE, conform, schema_differences
 from colscope.operators import lineage, quality, snapshot, tokens
-from colscope.plans.stages import staged
+from colscope.plans.stages import shared_folder, staged
 from colscope.sources import artifacts, catalog, delimited, dictionary, transcripts
+from colscope.sources.file_facts import file_facts
 from entries import tables as t
 from entries.tables import with_sql
 
@@ -32,10 +35,18 @@ DDL = (
 COLUMNS = [c.split()[0] for c in DDL.split(", ")]
 
 
+HEADER = ";".join([*COLUMNS[:-1], ""])
+
+
 def lines(spark, d):
+    """Lines of monthly-like fact files: a file a year of shipment and 4 million orders, odd years gzipped."""
     line = t.table(spark, d, "lineitem")
+    year = F.year("l_shipdate")
+    name = F.concat(F.lit("L"), year.cast("string"), F.lit("_"), F.expr("string(l_orderkey div 4000000)"), F.when(year % 2 == 1, ".csv.gz").otherwise(".csv"))
     return line.select(
-        "l_suppkey",
+        name.alias("file"),
+        "l_orderkey",
+        "l_linenumber",
         F.concat_ws(
             ";",
             F.col("l_orderkey").cast("string"),
@@ -48,93 +59,129 @@ def lines(spark, d):
     )
 
 
+_FILES = """lines AS (SELECT 'L' || CAST(year(l_shipdate) AS VARCHAR) || '_' || CAST(l_orderkey // 4000000 AS VARCHAR) || CASE WHEN year(l_shipdate) % 2 = 1 THEN '.csv.gz' ELSE '.csv' END AS file_name, year(l_shipdate) AS year, l_orderkey, l_linenumber,
+ CAST(l_orderkey AS VARCHAR) || ';' || CAST(l_linenumber AS VARCHAR) || ';' || CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END || ';' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ';' || l_returnflag || ';' AS value FROM lineitem),
+files AS (SELECT file_name, year, count(*) AS rows, sha256('l_orderkey;l_linenumber;l_quantity;l_extendedprice;l_returnflag;' || chr(10) || string_agg(value, chr(10) ORDER BY l_orderkey, l_linenumber) || chr(10)) AS sha256 FROM lines GROUP BY 1, 2)"""
+
+
+@t.memo
+def fact_files(spark, d):
+    """The paths of those files, written to the shared folder."""
+    folder = f"{shared_folder(spark)}/fact-files-{uuid.uuid4().hex}"
+    rows = lines(spark, d)
+    paths = []
+    for gzip in (False, True):
+        own = rows.where(F.col("file").endswith(".gz") == gzip)
+        head = own.select("file").distinct().withColumn("value", F.lit(HEADER))
+        paths += delimited.write_files(own, head, ["l_orderkey", "l_linenumber"], folder, gzip)
+    return paths
+
+
+@t.memo
+def fact_facts(spark, d):
+    return staged(file_facts(spark, fact_files(spark, d)), "fact-facts").withColumn(
+        "year", F.regexp_extract("file_name", "L([0-9]+)", 1).cast("int")
+    )
+
+
+def load_facts(spark, d):
+    """The files' rows by a whole load, with pins, into a new folder with a new ledger."""
+    folder = f"{shared_folder(spark)}/loaded-{uuid.uuid4().hex}"
+    delimited.load(spark, fact_files(spark, d), DDL, fact_facts(spark, d), f"{folder}/raw", f"{folder}/ledger")
+    return delimited.loaded(spark, f"{folder}/raw", f"{folder}/ledger", DDL)
+
+
 @query(
     "s1_delimited_fact",
     "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS INTEGER) END AS l_quantity,"
     " CAST(l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice, l_returnflag, NULL AS filler FROM lineitem",
 )
 def s1(spark, d):
-    return delimited.parse_lines(lines(spark, d), "value", DDL)
+    return load_facts(spark, d).drop("source_file")
 
 
-def heads(spark, d):
-    """A header per supplier's file, some with a renamed or a missing column."""
-    s = F.col("s_suppkey")
-    head = (
-        F.when(s % 5 == 1, "l_orderkey;l_linenumber;L_QTY;l_extendedprice;l_returnflag;")
-        .when(s % 5 == 2, "l_orderkey;l_linenumber;l_quantity;l_extendedprice")
-        .when(s % 5 == 3, "l_orderkey;l_linenumber;l_quantity;l_extendedprice;l_returnflag;x")
-        .otherwise("l_orderkey;l_linenumber;l_quantity;l_extendedprice;l_returnflag;")
+@t.memo
+def supplier_files(spark, d):
+    """A file of suppliers a nation, some with a renamed, a missing or a filled last field in the header."""
+    n = F.col("s_nationkey")
+    rows = t.table(spark, d, "supplier").select(
+        F.concat(F.lit("f"), n.cast("string"), F.lit(".csv")).alias("file"),
+        "s_nationkey",
+        "s_suppkey",
+        F.concat_ws(";", F.col("s_suppkey").cast("string"), F.lit("1"), F.lit("2"), F.lit("3.50"), F.lit("A"), F.lit("")).alias("value"),
     )
-    return t.table(spark, d, "supplier").select(
-        F.concat(F.lit("f"), s.cast("string"), F.lit(".csv")).alias("file"), head.alias("header")
+    head = (
+        F.when(n % 5 == 1, HEADER.replace("l_quantity", "L_QTY"))
+        .when(n % 5 == 2, HEADER.replace(";l_returnflag;", ""))
+        .when(n % 5 == 3, HEADER + "x")
+        .otherwise(HEADER)
     )
+    heads = rows.select("file", "s_nationkey").distinct().select("file", head.alias("value"))
+    return delimited.write_files(rows.drop("s_nationkey"), heads, ["s_suppkey"], f"{shared_folder(spark)}/supplier-files-{uuid.uuid4().hex}")
 
 
 @query(
     "s2_header_check",
-    "SELECT 'f' || CAST(s_suppkey AS VARCHAR) || '.csv' AS file, CASE s_suppkey % 5 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 6 END AS field,"
-    " CASE s_suppkey % 5 WHEN 1 THEN 'L_QTY' WHEN 3 THEN 'x' END AS found, CASE s_suppkey % 5 WHEN 1 THEN 'l_quantity' WHEN 2 THEN 'l_returnflag' ELSE '' END AS expected"
-    " FROM supplier WHERE s_suppkey % 5 IN (1, 2, 3)",
+    "SELECT DISTINCT 'f' || CAST(s_nationkey AS VARCHAR) || '.csv' AS file, CASE s_nationkey % 5 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 6 END AS field,"
+    " CASE s_nationkey % 5 WHEN 1 THEN 'L_QTY' WHEN 3 THEN 'x' END AS found, CASE s_nationkey % 5 WHEN 1 THEN 'l_quantity' WHEN 2 THEN 'l_returnflag' ELSE '' END AS expected"
+    " FROM supplier WHERE s_nationkey % 5 IN (1, 2, 3)",
 )
 def s2(spark, d):
-    return delimited.header_differences(heads(spark, d), COLUMNS)
-
-
-def files(spark, d):
-    """A month's file per supplier: its rows, size and an order-free hash of all its lines."""
-    return (
-        lines(spark, d)
-        .withColumn("digest", F.sha2("value", 256))
-        .groupBy("l_suppkey")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.length("value") + 1).alias("bytes"),
-            F.sha2(F.concat_ws(":", *artifacts.summed_digests("digest", 2)), 256).alias("sha256"),
-        )
-        .select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file_name"), "l_suppkey", "bytes", "sha256", "rows")
-    )
+    return delimited.header_differences(delimited.headers(file_facts(spark, supplier_files(spark, d))), COLUMNS)
 
 
-_FILES = """lines AS (SELECT l_suppkey, CAST(l_orderkey AS VARCHAR) || ';' || CAST(l_linenumber AS VARCHAR) || ';' || CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END || ';' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ';' || l_returnflag || ';' AS value FROM lineitem),
-files AS (SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS file_name, l_suppkey, count(*) AS rows, sha256(concat_ws(':', count(*), sum(CAST(CAST('0x' || substr(sha256(value), 1, 15) AS BIGINT) AS HUGEINT)), sum(CAST(CAST('0x' || substr(sha256(value), 16, 15) AS BIGINT) AS HUGEINT)))) AS sha256 FROM lines GROUP BY l_suppkey)"""
+#: Stored bytes of a gzipped file depend on the packer, so SQL can tell a plain file's hash alone.
+_PLAIN = "CASE WHEN file_name LIKE '%.csv' THEN sha256 END"
 
 
 @query(
     "s3_load_ledger",
     with_sql(
         _FILES,
-        "SELECT file_name, sha256, CASE l_suppkey % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'skip' WHEN 2 THEN 'other bytes' ELSE 'other ddl' END AS action FROM files",
+        f"SELECT file_name, {_PLAIN} AS sha256, CASE year % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'skip' WHEN 2 THEN 'other bytes' ELSE 'other ddl' END AS action FROM files",
     ),
 )
 def s3(spark, d):
-    f = files(spark, d)
-    m = F.col("l_suppkey") % 4
+    f = fact_facts(spark, d)
+    m = F.col("year") % 4
     ledger = f.where(m != 0).select(
         "file_name",
         F.when(m == 2, "old").otherwise(F.col("sha256")).alias("sha256"),
         F.when(m == 3, "ddl0").otherwise("ddl1").alias("ddl_sha256"),
     )
-    return delimited.load_plan(f, ledger, "ddl1")
+    plan = delimited.load_plan(f, ledger, "ddl1")
+    return plan.withColumn("sha256", F.when(F.col("file_name").endswith(".csv"), F.col("sha256")))
 
 
 @query(
     "s4_pin_reconciliation",
     with_sql(
         _FILES,
-        "SELECT file_name, CASE l_suppkey % 5 WHEN 0 THEN 'rows' WHEN 1 THEN 'sha256' ELSE 'bytes,sha256,rows' END AS differs FROM files WHERE l_suppkey % 5 < 3",
+        "SELECT file_name, CASE year % 5 WHEN 0 THEN 'rows' WHEN 1 THEN 'sha256' ELSE 'bytes,sha256,rows' END AS differs FROM files WHERE year % 5 < 3",
     ),
 )
 def s4(spark, d):
-    f = files(spark, d)
-    m = F.col("l_suppkey") % 5
-    pins = f.where(m != 2).select(
+    """Pins of plain files come from the table, but for the hash; those of gzipped ones from the files."""
+    f = fact_facts(spark, d)
+    m = F.col("year") % 5
+    counted = lines(spark, d).groupBy(F.col("file").alias("file_name")).agg(
+        F.count(F.lit(1)).alias("lines"), (F.sum(F.octet_length("value") + 1) + len(HEADER) + 1).alias("size")
+    )
+    pins = f.join(counted, "file_name").where(m != 2).select(
         "file_name",
-        "bytes",
+        F.when(F.col("file_name").endswith(".csv"), F.col("size")).otherwise(F.col("bytes")).alias("bytes"),
         F.when(m == 1, "other").otherwise(F.col("sha256")).alias("sha256"),
-        F.when(m == 0, F.col("rows") + 1).otherwise(F.col("rows")).alias("rows"),
+        F.when(m == 0, F.col("lines") + 1).otherwise(F.col("lines")).alias("rows"),
     )
-    return delimited.pin_mismatches(f.drop("l_suppkey"), pins)
+    return delimited.pin_mismatches(f.select("file_name", "bytes", "sha256", "rows"), pins)
+
+
+@query("d12_not_null_on_load", "SELECT 'l_quantity' AS column_name, count(*) AS nulls FROM lineitem WHERE l_linenumber = 7 HAVING count(*) > 0")
+def d12(spark, d):
+    """What a load under a stricter declaration is refused for, seen while the rows were written."""
+    strict = DDL.replace("l_quantity int", "l_quantity int not null").replace("l_returnflag string", "l_returnflag string not null")
+    _, empties = delimited.stage(spark, fact_files(spark, d), strict, f"{shared_folder(spark)}/refused-{uuid.uuid4().hex}")
+    return empties
 
 
 # Manifests: one document per brand, a node per model, a column per part name.
@@ -226,12 +273,14 @@ def d5(spark, d):
 
 @query(
     "s7_code_list_source",
-    "SELECT n_nationkey AS code, n_name AS label FROM nation UNION ALL SELECT c_custkey, c_name FROM customer",
+    """SELECT n_nationkey AS code, n_name || ', "the" nation' AS "code_LIB" FROM nation UNION ALL SELECT c_custkey, c_name FROM customer""",
 )
 def s7(spark, d):
-    n = t.table(spark, d, "nation").select(F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name").alias("v"))
-    c = t.table(spark, d, "customer").select(F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name").alias("v"))
-    return delimited.parse_lines(n.unionByName(c), "v", "code int, label string")
+    n = t.table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.concat("n_name", F.lit(', "the" nation')).alias("code_LIB"))
+    c = t.table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("code_LIB"))
+    path = f"{shared_folder(spark)}/code-list-{uuid.uuid4().hex}"
+    n.unionByName(c).write.option("header", True).option("escape", '"').csv(path)
+    return dictionary.read_code_list(spark, path, "code")
 
 
 # Sheets: each conversation is a sheet; a first turn opens a list, every fourth ends it.
@@ -377,13 +426,21 @@ def s12(spark, d):
     "s13_provenance",
     with_sql(
         _FILES,
-        "SELECT file_name AS stem, CASE l_suppkey % 4 WHEN 0 THEN 'no stored result' WHEN 1 THEN 'result with no owner' ELSE 'stored from other SQL or other data' END AS problem FROM files WHERE l_suppkey % 4 < 3",
+        "SELECT file_name AS stem, CASE year % 4 WHEN 0 THEN 'no stored result' WHEN 1 THEN 'result with no owner' ELSE 'stored from other SQL or other data' END AS problem FROM files WHERE year % 4 < 3 OR year = 1995",
     ),
 )
 def s13(spark, d):
-    f = files(spark, d).select(F.col("file_name").alias("stem"), F.col("sha256").alias("sql_sha256"), F.lit("pins").alias("data_sha256"), (F.col("l_suppkey") % 4).alias("m"))
-    stored = f.where("m <> 0").withColumn("data_sha256", F.when(F.col("m") == 2, "older").otherwise("pins"))
-    return artifacts.stale_results(stored.drop("m"), f.where("m <> 1").drop("m"))
+    """A result a file, stored with the hash of the SQL that made it and of the files' pins."""
+    f = fact_facts(spark, d)
+    stems = f.select(F.col("file_name").alias("stem"), (F.col("year") % 4).alias("m"), "year")
+    sql = F.concat(F.lit("SELECT count(*) FROM raw WHERE source_file = '"), "stem", F.lit("'"))
+    pins = f.select("file_name", "bytes", "sha256", "rows")
+    older = pins.withColumn("rows", F.when(F.col("file_name") == "L1992_0.csv", F.col("rows") - 1).otherwise(F.col("rows")))
+    edited = F.when(F.col("year") == 1995, F.concat(sql, F.lit(" LIMIT 1"))).otherwise(sql)
+    stored = artifacts.stamped(stems.where("m in (1, 3)"), edited, pins).unionByName(artifacts.stamped(stems.where("m = 2"), sql, older))
+    expected = artifacts.stamped(stems.where("m <> 1"), sql, pins)
+    keep = ("stem", "sql_sha256", "data_sha256")
+    return artifacts.stale_results(stored.select(*keep), expected.select(*keep))
 
 
 @query(

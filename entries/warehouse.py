@@ -707,13 +707,6 @@ def d2(spark, d):
     return quality.null_counts(_holed(spark, d), ["p_partkey", "p_even", "p_third"])
 
 
-@query("d12_not_null_on_load", _NULLS)
-def d12(spark, d):
-    from colscope.sources import delimited
-
-    return delimited.missing_values(_holed(spark, d), ["p_partkey", "p_even", "p_third"])
-
-
 @query(
     "d4_filler_is_empty",
     "SELECT p_partkey, CAST(p_size AS VARCHAR) AS filler FROM part WHERE p_size = 13",

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from colscope.functions.guards import ContractViolation
-from colscope.sources import artifacts, delimited, history
+from colscope.sources import artifacts, delimited, file_facts, history
 
 DDL = "A int, B decimal(18,2), C int, FILLER string"
 ROW = {
@@ -88,6 +89,55 @@ def test_a_file_other_than_its_pin_loads_nothing(spark, tmp_path, pin):
     assert _nothing_loaded(tmp_path)
 
 
+def test_facts_of_files_in_small_steps(spark, tmp_path):
+    data = b"A;B;\n" + b"".join(b"%d;\xc3\xa9x;\n" % i if i % 5 else b" \r\n" for i in range(3000)) + b"9;9;"
+    files = {"a.csv": data, "b.csv.gz": gzip.compress(data[:777]) + gzip.compress(data[777:]), "empty.csv": b"", "head.csv": b"A;B", "empty.csv.gz": gzip.compress(b"")}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    paths = [str(tmp_path / n) for n in files]
+    for step in (64, 1 << 20):
+        got = {r["file_name"]: r for r in file_facts.file_facts(spark, paths, step).collect()}
+        assert {n: (r["bytes"], r["sha256"]) for n, r in got.items()} == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+        assert {n: (r["header"], r["rows"]) for n, r in got.items()} == {
+            "a.csv": ("A;B;", 2401), "b.csv.gz": ("A;B;", 2401), "empty.csv": (None, 0), "head.csv": ("A;B", 0), "empty.csv.gz": ("", 0),
+        }
+    assert file_facts.file_facts(spark, paths).rdd.getNumPartitions() == len(paths)
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(data)[:-20])
+    with pytest.raises(Exception, match="gzip"):
+        file_facts.file_facts(spark, [str(tmp_path / "cut.csv.gz")]).collect()
+
+
+def test_a_load_is_published_by_its_ledger_row_alone(spark, tmp_path):
+    raw, ledger = str(tmp_path / "raw"), str(tmp_path / "ledger")
+    assert delimited.loaded(spark, raw, ledger, DDL).count() == 0
+    assert _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n") == [1]
+    # a load that was cut short leaves rows that no ledger row names
+    delimited.stage(spark, [str(tmp_path / "m.csv")], DDL, f"{raw}/load=cut")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        _load(spark, tmp_path, "A;B;C;\nx;1.25;9;\n", name="n.csv")
+    assert _load(spark, tmp_path, "A;B;C;\n8;-.8;;\n9;2;1;\n", name="n.csv") == [2]
+    got = delimited.loaded(spark, raw, ledger, DDL)
+    assert got.columns == ["A", "B", "C", "FILLER", "source_file"]
+    assert {(r["A"], str(r["B"]), r["C"], r["source_file"]) for r in got.collect()} == {(7, "1.25", 9, "m.csv"), (8, "-0.80", None, "n.csv"), (9, "2.00", 1, "n.csv")}
+
+
+def test_files_are_read_once_as_stored_and_once_as_rows(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("A;B;C;\n1;2;;\n;2;3;\n")
+    strict = DDL.replace("A int", "A int not null").replace("C int", "C int not null")
+    rows, empties = delimited.stage(spark, [str(tmp_path / "m.csv")], strict, str(tmp_path / "out"))
+    assert rows == 2 and {tuple(r) for r in empties.collect()} == {("A", 1), ("C", 1)}
+
+
+def test_written_files_have_their_names_headers_and_order(spark, tmp_path):
+    lines = spark.createDataFrame([("b.csv", 2, "2;"), ("a.csv.gz", 9, "9;"), ("b.csv", 1, "1;")], "file string, n int, value string")
+    heads = spark.createDataFrame([("b.csv", "H;"), ("a.csv.gz", "H;")], "file string, value string")
+    paths = delimited.write_files(lines.where("file = 'b.csv'"), heads.where("file = 'b.csv'"), ["n"], str(tmp_path))
+    paths += delimited.write_files(lines.where("file <> 'b.csv'"), heads.where("file <> 'b.csv'"), ["n"], str(tmp_path), gzip=True)
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["b.csv", "a.csv.gz"]
+    assert (tmp_path / "b.csv").read_text() == "H;\n1;\n2;\n"
+    assert gzip.decompress((tmp_path / "a.csv.gz").read_bytes()) == b"H;\n9;\n"
+
+
 def test_other_bytes_or_another_ddl_are_conflicts(spark, tmp_path):
     assert _load(spark, tmp_path, "A;B;C;\n7;1.25;9;\n") == [1]
     with pytest.raises(ContractViolation, match="other bytes"):
