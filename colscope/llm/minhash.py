@@ -25,10 +25,13 @@ STRANGERS = 64
 #: Of 128 one-bit signature values a pair agrees in so many, or is no candidate. Sets of similarity 0.8
 #: agree in 115 on average with a deviation of 3.4, so 1 of 5 million such pairs agrees in fewer.
 AGREE = 98
-#: Leaders that a document is compared with before classes are known, at most; the regions see to the rest.
-LEADERS = 3
+#: Leaders that a set is compared with before classes are known, at most; then, round by round, its neighbours of
+#: other classes among so many rows before and after it. The regions see to the rest.
+LEADERS, WINDOWS = 3, (4, 16, 64)
 #: Rows of a sorted range; bytes of sets that meet in one task; keys that are broadcast at most.
 RANGE_ROWS, TASK_BYTES, BROADCAST_ROWS = 400_000, 16 << 20, 200_000
+#: Tasks at least that compare strangers with the members of their regions.
+LEAST_TASKS = 32
 #: A text is split into words in pieces of about so many bytes.
 PIECE_BYTES = 1 << 20
 #: Digests shared by 1 / HOT_SHARE of the rows or more are joined back by broadcast.
@@ -129,146 +132,281 @@ def _exploded(nodes: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _sorted(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | None:
+    """A sorted range as one table, and how many leading values each row shares with the one before."""
+    held = list(batches)
+    if not held:
+        return None
+    table = pa.Table.from_batches(held).combine_chunks()
+    order, k0, k1 = (table.column(c).to_numpy() for c in ("_order", "_k0", "_k1"))
+    shared = np.zeros(len(order), np.int64)
+    same = np.r_[False, order[1:] == order[:-1]]
+    x0, x1 = (np.r_[-1, k[1:] ^ k[:-1]].view(np.uint64) for k in (k0, k1))
+    for depth in range(1, DEPTH + 1):
+        x, left = (x0, 64 - 16 * depth) if depth <= 4 else (x1, 128 - 16 * depth)
+        same &= x >> np.uint64(left) == 0
+        shared += same
+    return table, shared
+
+
+def _agree(x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Of 128 one-bit values how many are equal, by the differing bits of both longs."""
+    return 128 - np.bitwise_count(x0.view(np.uint64)).astype(np.int32) - np.bitwise_count(x1.view(np.uint64))
+
+
+def _likely(table: pa.Table, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many one-bit values rows agree, and whether a pair may be similar enough."""
+    n, b0, b1 = (table.column(c).to_numpy() for c in ("_n", "_b0", "_b1"))
+    agree = _agree(b0[i] ^ b0[j], b1[i] ^ b1[j])
+    fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    return agree, fits & (agree >= AGREE)
+
+
 def _led(percent: int):
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In a sorted range, each row with the first row of those that share its longest prefix before it."""
-        held = list(batches)
-        if not held:
+        """The rows that share a region, each with the first row of those that share its longest prefix before it."""
+        if (found := _sorted(batches)) is None:
             return
-        table = pa.Table.from_batches(held)
-        order, k0, k1, n, b0, b1 = (
-            table.column(c).to_numpy() for c in ("_order", "_k0", "_k1", "_n", "_b0", "_b1")
-        )
-        shared = np.zeros(len(n), np.int64)  # values that a row shares with the one before
-        same = np.r_[False, order[1:] == order[:-1]]
-        x0, x1 = (np.r_[-1, k[1:] ^ k[:-1]].view(np.uint64) for k in (k0, k1))
-        for depth in range(1, DEPTH + 1):
-            x, left = (x0, 64 - 16 * depth) if depth <= 4 else (x1, 128 - 16 * depth)
-            same &= x >> np.uint64(left) == 0
-            shared += same
-        at, leader = np.arange(len(n)), np.arange(len(n))
+        table, shared = found
+        at = leader = np.arange(len(shared))
         for depth in range(LEAST_DEPTH, DEPTH + 1):
             first = np.maximum.accumulate(np.where(shared < depth, at, 0))
             leader = np.where(shared == depth, first, leader)
-        agree = 128 - np.bitwise_count(b0 ^ b0[leader]).astype(np.int32) - np.bitwise_count(b1 ^ b1[leader])
-        fits = 100 * np.minimum(n, n[leader]) >= percent * np.maximum(n, n[leader])
-        good = np.flatnonzero((leader != at) & (agree >= AGREE) & fits)
-        sets = table.column("_set").combine_chunks()
-        yield pa.RecordBatch.from_arrays(
-            [sets.take(pa.array(good)), sets.take(pa.array(leader[good])), pa.array(n[good]), pa.array(n[leader[good]]), pa.array(agree[good], pa.int32())],
-            ["a", "b", "n_a", "n_b", "agree"],
-        )
+        agree, likely = _likely(table, at, leader, percent)
+        # a range's first and last row may have company in the next one
+        company = (shared >= LEAST_DEPTH) | (np.r_[shared[1:], DEPTH] >= LEAST_DEPTH) | (at == 0)
+        rows = np.flatnonzero(company)
+        chosen = pa.array(leader[rows], mask=~(likely & (leader != at))[rows])
+        kept = table.take(pa.array(rows))
+        kept = kept.append_column("lead", table.column("_set").take(chosen)).append_column("n_lead", table.column("_n").take(chosen))
+        yield from kept.append_column("agree", pa.array(agree[rows], pa.int32())).combine_chunks().to_batches(20_000)
 
     return led
 
 
+def _near(percent: int, window: int, most: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In a sorted range, each row outside its region's largest class (a) with the ``most`` rows of other classes
+        that it agrees with best, among ``window`` rows of its region before it and as many after it."""
+        if (found := _sorted(batches)) is None:
+            return
+        table, shared = found
+        classes = np.unique(table.column("_class").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        other = table.column("_other").to_numpy()
+        least, asks, asked, agreed = shared, [], [], []
+        for back in range(1, min(window, len(shared) - 1) + 1):
+            least = np.minimum(least, np.r_[np.zeros(back - 1, np.int64), shared[: len(shared) - back + 1]])
+            i = np.flatnonzero(least >= LEAST_DEPTH)
+            if not len(i):
+                break
+            i = i[(classes[i] != classes[i - back]) & (other[i] | other[i - back])]
+            agree, likely = _likely(table, i, i - back, percent)
+            i, agree = i[likely], agree[likely]
+            asks.append(np.where(other[i], i, i - back))
+            asked.append(np.where(other[i], i - back, i))
+            agreed.append(agree)
+        if not asks:
+            return
+        a, b, agree = np.concatenate(asks), np.concatenate(asked), np.concatenate(agreed)
+        by = np.lexsort((b, -agree, a))
+        a, b, agree = a[by], b[by], agree[by]
+        taken = np.arange(len(a)) - np.searchsorted(a, a) < most
+        a, b, agree = pa.array(a[taken]), pa.array(b[taken]), agree[taken]
+        sets, sizes = table.column("_set").combine_chunks(), table.column("_n").combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [sets.take(a), sets.take(b), sizes.take(a), sizes.take(b), pa.array(agree, pa.int32())], ["a", "b", "n_a", "n_b", "agree"]
+        )
+
+    return near
+
+
+_PAIR = "a binary, b binary, n_a long, n_b long, agree int"
+_ROW = "_order byte, _k0 long, _k1 long, _set binary, _n long, _b0 long, _b1 long"
+_BY = ["_order", "_k0", "_k1", "_set"]
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def leaders(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b, n_a, n_b) by longest common prefix: in each sorted order a set meets the first of those
-    that share the most leading values with it, LEADERS at most, those it agrees with best.
+def _ranged(rows: DataFrame, count: int) -> DataFrame:
+    """Rows sorted by range in every order, ties by digest, so a family that shares all values is dealt out too."""
+    return rows.repartitionByRange(max(_partitions(rows), -(-count // RANGE_ROWS)), *_BY).sortWithinPartitions(*_BY)
 
-    Orders are sorted by range, ties by digest, so a family that shares all values is dealt out too.
-    """
-    rows = _exploded(nodes)
-    parts = max(_partitions(nodes), -(-nodes.count() * ORDERS // RANGE_ROWS))
-    by = ["_order", "_k0", "_k1", "_set"]
-    met = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(
-        _led(percent), "a binary, b binary, n_a long, n_b long, agree int"
+
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """Of each a the ``most`` pairs that agree best."""
+    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("x"), "b", "n_b"))), 1, most)
+    return pairs.groupBy("a", "n_a").agg(F.explode(best).alias("p")).select("a", F.col("p.b").alias("b"), "n_a", F.col("p.n_b").alias("n_b"))
+
+
+def grouped(nodes: DataFrame, percent: int) -> DataFrame:
+    """The sorted orders' rows that share a region of LEAST_DEPTH values, each with its leader, if that is likely
+    similar: by longest common prefix, the first of the sets that share the most leading values with it."""
+    return _ranged(_exploded(nodes), nodes.count() * ORDERS).mapInArrow(_led(percent), f"{_ROW}, lead binary, n_lead long, agree int")
+
+
+def leaders(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b, n_a, n_b): each set and the LEADERS of its leaders that it agrees with best."""
+    return _best(rows.where("lead is not null").select(F.col("_set").alias("a"), F.col("lead").alias("b"), F.col("_n").alias("n_a"), F.col("n_lead").alias("n_b"), "agree"), LEADERS)
+
+
+def neighbours(rows: DataFrame, percent: int, window: int) -> DataFrame:
+    """Candidates (a, b, n_a, n_b) of different classes ``_class`` among sorted rows that are near one another; a lies
+    outside its region's largest class (``_other``)."""
+    most = window * 3 // 2
+    return _best(_ranged(rows, rows.count()).mapInArrow(_near(percent, window, -(-most // 8)), _PAIR), most)
+
+
+def _regions(rows: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with the region they are in at a depth (``_p0``, ``_p1``), its largest class ``_main`` and how many
+    members are of others; regions of one class are left out."""
+    if depth <= 4:
+        prefix = [F.shiftright("_k0", 64 - 16 * depth), F.lit(0).cast("long")]
+    else:
+        prefix = [F.col("_k0"), F.shiftright("_k1", 128 - 16 * depth)]
+    rows = rows.withColumns(dict(zip(("_p0", "_p1"), prefix, strict=True)))
+    classes = rows.groupBy("_order", "_p0", "_p1", "_class").agg(F.count(F.lit(1)).alias("_c"))
+    regions = (
+        classes.groupBy("_order", "_p0", "_p1")
+        .agg(F.count(F.lit(1)).alias("_classes"), F.sum("_c").alias("_size"), F.max(F.struct("_c", "_class")).alias("_top"))
+        .where("_classes > 1")
+        .select("_order", "_p0", "_p1", F.col("_top._class").alias("_main"), (F.col("_size") - F.col("_top._c")).alias("_others"))
     )
-    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("x"), "b", "n_b"))), 1, LEADERS)
-    return met.groupBy("a", "n_a").agg(F.explode(best).alias("p")).select("a", F.col("p.b").alias("b"), "n_a", F.col("p.n_b").alias("n_b"))
+    return rows.join(regions, ["_order", "_p0", "_p1"])
 
 
-def strangers(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b, n_a, n_b) of different classes ``_class`` in one region, each pair once.
+def strangers(rows: DataFrame) -> DataFrame:
+    """The rows of regions with several classes, with ``_region`` and whether they are outside its largest (``_other``).
 
-    A region is all sets with a common prefix in an order. It is as deep as it needs: three values, and
-    one more wherever more than STRANGERS members lie outside its largest class, up to all eight. In it
-    all members of other classes (b) meet all members, whatever their number; those of one class don't.
+    A region is all rows of an order with a common prefix. It is as deep as it needs: three values, and
+    one more wherever more than STRANGERS members lie outside its largest class, up to all eight.
     """
-    rows, found = _exploded(nodes, "_class"), None
+    found = None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
-        if depth <= 4:
-            prefix = [F.shiftright("_k0", 64 - 16 * depth), F.lit(0).cast("long")]
-        else:
-            prefix = [F.col("_k0"), F.shiftright("_k1", 128 - 16 * depth)]
-        rows = rows.withColumns(dict(zip(("_p0", "_p1"), prefix, strict=True)))
-        by = ["_order", "_p0", "_p1"]
-        classes = rows.groupBy(*by, "_class").agg(F.count(F.lit(1)).alias("_c"))
-        regions = (
-            classes.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("_classes"), F.sum("_c").alias("_size"), F.max(F.struct("_c", "_class")).alias("_top"))
-            .where("_classes > 1")
-            .select(*by, F.col("_top._class").alias("_main"), (F.col("_size") - F.col("_top._c")).alias("_others"))
-        )
-        rows = staged(rows.join(regions, by), "regions")
+        rows = staged(_regions(rows, depth), "regions")
         ready = F.lit(True) if depth == DEPTH else F.col("_others") <= STRANGERS
-        final = rows.where(ready)
-        one = final.where("_class <> _main").select(
-            *by, F.col("_set").alias("b"), F.col("_n").alias("n_b"), F.col("_class").alias("class_b"),
-            F.col("_b0").alias("b0"), F.col("_b1").alias("b1"),
+        final = rows.where(ready).select(
+            "_set", "_class", "_n", "_b0", "_b1", F.xxhash64("_order", F.lit(depth), "_p0", "_p1").alias("_region"), (F.col("_class") != F.col("_main")).alias("_other")
         )
-        agree = 128 - F.bit_count(F.col("_b0").bitwiseXOR(F.col("b0"))) - F.bit_count(F.col("_b1").bitwiseXOR(F.col("b1")))
-        pairs = (
-            final.join(one, by)
-            .where((F.col("_class") != F.col("class_b")) & ((F.col("_class") == F.col("_main")) | (F.col("_set") < F.col("b"))))
-            .where((100 * F.least("_n", "n_b") >= percent * F.greatest("_n", "n_b")) & (agree >= AGREE))
-            .select(F.col("_set").alias("a"), "b", F.col("_n").alias("n_a"), "n_b")
-        )
-        found = pairs if found is None else found.unionAll(pairs)
+        found = final if found is None else found.unionAll(final)
         rows = rows.where(~ready).drop("_main", "_others", "_p0", "_p1")
         if depth == DEPTH or rows.isEmpty():
             break
-    once = found.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.first(F.struct("a", "b", "n_a", "n_b")).alias("p"))
-    return once.select("p.*")
+    return found
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, n_a, n_b) whose whole sets are similar enough, as (a, b).
+def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """Each pair once, whichever way round, without those of ``tried``."""
+    once = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
+        F.first(F.struct("a", "b", "n_a", "n_b")).alias("p")
+    )
+    for before in tried:
+        once = once.join(before.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), ["x", "y"], "left_anti")
+    return once.select("p.*")
 
-    Only the sets that occur are made, from their texts. Pairs are dealt out by a, and a set that many
-    pairs name as b is sent once to each task, not once for each pair.
-    """
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):  # one set a batch: they may be long
-                found = shingles(text.as_py(), words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(found)], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["_made", "_found"]
-                )
-
-    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {k: np.frombuffer(v, np.uint64) for k, v in zip(left["_set"].to_pylist(), left["_found"].to_pylist(), strict=True)}
-        a, b = right["a"].to_pylist(), right["b"].to_pylist()
-        good = []
-        for i, (x, y) in enumerate(zip((sets[k] for k in a), (sets[k] for k in b), strict=True)):
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                good.append(i)
-        return pa.table({"a": pa.array([a[i] for i in good], pa.binary()), "b": pa.array([b[i] for i in good], pa.binary())})
-
-    spark = pairs.sparkSession
-    total = pairs.agg(F.sum(F.col("n_a") + F.col("n_b"))).head()[0] or 0
-    tasks = max(2 * _partitions(pairs), -(-8 * total // TASK_BYTES))
-    dealt = pairs.withColumn("_task", F.pmod(F.xxhash64("a"), F.lit(tasks)))
-    asked = staged(
-        dealt.select("_task", F.explode(F.array("a", "b")).alias("_set")).distinct(), "asked"
-    )
-    keys = nodes.join(asked.select("_set").distinct(), "_set", "left_semi").select(F.col("_first.key").alias("_key")).distinct()
-    keys = staged(keys, "asked-keys")
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    rows = docs.select(F.col(text_col).alias("_text"), _row_key(id_col, text_col).alias("_key"))
-    sets = rows.join(wanted, "_key", "left_semi").select("_text").mapInArrow(made, "_made binary, _found binary")
-    ship(spark)
-    sent = asked.join(sets, F.col("_set") == F.col("_made")).select("_task", "_set", "_found")
-    return sent.groupBy("_task").cogroup(dealt.select("_task", "a", "b").groupBy("_task")).applyInArrow(compared, "a binary, b binary")
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+
+def _held(table: pa.Table) -> dict[bytes, np.ndarray]:
+    return {k: np.frombuffer(v, np.uint64) for k, v in zip(table["_set"].to_pylist(), table["_found"].to_pylist(), strict=True)}
+
+
+class Confirming:
+    """Comparisons of whole sets. Only the sets that are asked for are made, from their texts, and each is sent once
+    to each task that asks for it."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, nodes: DataFrame):
+        self.rows = docs.select(F.col(text_col).alias("_text"), _row_key(id_col, text_col).alias("_key"))
+        self.words, self.percent, self.nodes = words, percent, nodes
+
+    def _tasks(self, total: int | None, least: int) -> int:
+        return max(least, -(-8 * (total or 0) // TASK_BYTES))
+
+    def _sent(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (_task, _set) with the sets, ``_found``."""
+        words = self.words
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text in batch.column(0):  # one set a batch: they may be long
+                    found = shingles(text.as_py(), words)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_digest(found)], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["_made", "_found"]
+                    )
+
+        keys = self.nodes.join(asked.select("_set").distinct(), "_set", "left_semi").select(F.col("_first.key").alias("_key")).distinct()
+        keys = staged(keys, "asked-keys")
+        wanted = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        sets = self.rows.join(wanted, "_key", "left_semi").select("_text").mapInArrow(made, "_made binary, _found binary")
+        return asked.join(sets, F.col("_set") == F.col("_made")).select("_task", "_set", "_found")
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b, n_a, n_b) that are similar enough, as (a, b). Pairs are dealt out by a."""
+        percent = self.percent
+
+        def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+            sets = _held(left)
+            both = zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True)
+            return _links([(a, b) for a, b in both if _similar(sets[a], sets[b], percent)])
+
+        total = pairs.agg(F.sum(F.col("n_a") + F.col("n_b"))).head()[0]
+        tasks = self._tasks(total, 2 * _partitions(pairs))
+        dealt = pairs.withColumn("_task", F.pmod(F.xxhash64("a"), F.lit(tasks)))
+        asked = staged(dealt.select("_task", F.explode(F.array("a", "b")).alias("_set")).distinct(), "asked")
+        met = self._sent(asked).groupBy("_task").cogroup(dealt.select("_task", "a", "b").groupBy("_task"))
+        return staged(met.applyInArrow(compared, "a binary, b binary"), "links")
+
+    def regions(self, rows: DataFrame) -> DataFrame:
+        """The links (a, b) between rows of different classes in one region (``strangers``).
+
+        In a region, all rows outside its largest class meet all its rows. Members are dealt out by set, and a
+        row that asks is sent to each task with members of its regions; a task pairs them and gives
+        links alone, so no row stands for a pair.
+        """
+        percent = self.percent
+
+        def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+            sets = _held(left)
+            rows = right.to_pylist()
+            by_region: dict[int, list[int]] = {}
+            asks = [r for r in rows if r["_asks"]]
+            for i, r in enumerate(asks):
+                for region in r["_regions"]:
+                    by_region.setdefault(region, []).append(i)
+            n, b0, b1 = (np.array([r[c] for r in asks], np.int64) for c in ("_n", "_b0", "_b1"))
+            links = []
+            for r in rows:
+                if r["_asks"]:
+                    continue
+                met = np.unique(np.concatenate([np.empty(0, np.int64), *[by_region[x] for x in r["_regions"] if x in by_region]]).astype(np.int64))
+                agree = _agree(b0[met] ^ r["_b0"], b1[met] ^ r["_b1"])
+                fits = 100 * np.minimum(n[met], r["_n"]) >= percent * np.maximum(n[met], r["_n"])
+                for i in met[fits & (agree >= AGREE)]:
+                    if asks[i]["_class"] != r["_class"] and _similar(sets[asks[i]["_set"]], sets[r["_set"]], percent):
+                        links.append((r["_set"], asks[i]["_set"]))
+            return _links(links)
+
+        # Sixteen regions a set at most, one an order.
+        own = ("_set", "_class", "_n", "_b0", "_b1")
+        total = rows.select("_set", "_n").distinct().agg(F.sum("_n")).head()[0]
+        task = F.pmod(F.xxhash64("_set"), F.lit(self._tasks(total, LEAST_TASKS)))
+        members = rows.withColumn("_task", task)
+        asking = rows.where("_other").join(members.select("_region", "_task").distinct(), "_region")
+        listed = lambda df, asks: df.groupBy("_task", *own).agg(F.collect_set("_region").alias("_regions")).withColumn("_asks", F.lit(asks))
+        met = staged(listed(members, False).unionByName(listed(asking, True)), "met")
+        sent = self._sent(staged(met.select("_task", "_set").distinct(), "asked"))
+        return staged(sent.groupBy("_task").cogroup(met.groupBy("_task")).applyInArrow(compared, "a binary, b binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -283,8 +421,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at five.
 
     Sets alike are one node, whatever the number of their documents. First each set meets a few leaders by
-    longest common prefix, which joins families by as many comparisons as they have members; then sets of
-    one region that are still in different classes meet, so no pair within a class is compared twice over.
+    longest common prefix, then neighbours of other classes, which joins families by a few comparisons a
+    member; at last sets of one region that are still in different classes meet. So pairs within a class
+    aren't compared.
 
     Null and empty texts and texts without words have an empty set and link with nothing: their component
     is their own id. A null id comes last, a component of null ids alone has a null one. Rows alike in id
@@ -299,15 +438,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in ("_n", "_orders", "_bits")]),
         "nodes",
     )
-    check = lambda pairs: staged(confirmed(pairs, nodes, docs, id_col, text_col, words, percent), "links")
-    tried = staged(leaders(nodes, percent), "leaders")
-    stars = staged(components(check(tried)), "stars")
-    classed = nodes.join(stars, F.col("_set") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_set"))
-    both = lambda df: df.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    others = staged(strangers(staged(classed.select("_set", "_n", "_orders", "_bits", "_class"), "classed"), percent), "strangers")
-    others = others.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(both(tried), ["x", "y"], "left_anti")
-    more = check(staged(others.drop("x", "y"), "untried"))
-    stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    confirming = Confirming(docs, id_col, text_col, words, percent, nodes)
+    named = lambda stars: stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    shared = staged(grouped(nodes, percent), "shared")
+    tried = [staged(leaders(shared), "leaders")]
+    stars = staged(components(confirming.pairs(tried[0])), "stars")
+    rows_in = shared.drop("lead", "n_lead", "agree")
+    for window in WINDOWS:
+        classed = rows_in.join(stars, F.col("_set") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_set"))
+        mixed = _regions(classed.drop("node", "root"), LEAST_DEPTH).withColumn("_other", F.col("_class") != F.col("_main"))
+        rows_in = staged(mixed.drop("_main", "_others", "_p0", "_p1"), "classed")
+        if rows_in.isEmpty():
+            break
+        near = staged(_untried(neighbours(rows_in, percent, window), tried), "neighbours")
+        links = confirming.pairs(near)
+        tried.append(near)
+        rows_in = rows_in.drop("_class", "_other")
+        stars = staged(components(named(stars).unionAll(links)), "stars")
+    classed = rows_in.drop("_class", "_other").join(stars, F.col("_set") == F.col("node"), "left")
+    classed = classed.withColumn("_class", F.coalesce("root", "_set"))
+    more = confirming.regions(staged(strangers(classed.drop("node", "root")), "strangers"))
+    stars = components(named(stars).unionAll(more))
 
     rooted = nodes.join(stars, F.col("_set") == F.col("node"), "left").select(
         F.hex("_set").alias("_set"), F.col("_first"), "_rows", F.hex(F.coalesce("root", "_set")).alias("_root")

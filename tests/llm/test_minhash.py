@@ -80,13 +80,18 @@ def test_regions_are_divided_and_nothing_within_a_class_is_paired(spark, monkeyp
     base = [f"v{i}" for i in range(150)]
     family = [(i, " ".join([*base, f"end{i}"])) for i in range(300)]
     docs = spark.createDataFrame(family, "doc_id long, text string")
-    rows = minhash.signed(docs, "doc_id", "text", 2)
-    nodes = rows.withColumnRenamed("_id", "_class").cache()
-    assert minhash.leaders(nodes, 80).count() <= 3 * 300
-    one = nodes.withColumn("_class", F.lit(0))
-    assert minhash.strangers(one, 80).count() == 0
-    stranger = nodes.withColumn("_class", F.when(F.col("_class") == 7, F.lit(1)).otherwise(F.lit(0)))
-    assert minhash.strangers(stranger, 80).count() == 299
+    nodes = minhash.signed(docs, "doc_id", "text", 2).withColumnRenamed("_id", "_at")
+    rows = minhash.grouped(nodes, 80).cache()
+    assert minhash.leaders(rows).count() <= 3 * 300
+    at = rows.drop("lead", "n_lead", "agree").join(nodes.select("_set", "_at"), "_set")
+    one = at.withColumn("_class", F.lit(b"0")).withColumn("_other", F.lit(False)).drop("_at")
+    assert minhash.strangers(one).count() == 0 == minhash.neighbours(one, 80, 4).count()
+    stranger = at.withColumn("_class", F.when(F.col("_at") == 7, F.lit(b"1")).otherwise(F.lit(b"0"))).drop("_at")
+    nodes = nodes.withColumn("_first", F.struct(F.col("_key").alias("key")))
+    confirming = minhash.Confirming(docs, "doc_id", "text", 2, 80, nodes)
+    assert confirming.regions(minhash.strangers(stranger)).distinct().count() == 299
+    stranger = stranger.withColumn("_other", F.col("_class") == b"1")
+    assert 0 < minhash.neighbours(stranger, 80, 4).count() <= 6
     assert {r[2] for r in found(spark, family)} == {0}
 
 
