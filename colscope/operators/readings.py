@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.operators.marts import MONEY
@@ -56,39 +56,6 @@ def applies(question: Question, swap: Swap) -> bool:
     return bool(question.columns() & set(swap.replace))
 
 
-def read_as(fact: DataFrame, question: Question, swap: Swap) -> DataFrame:
-    """The fact as a reading sees it."""
-    hit = {c: e() for c, e in swap.replace.items() if c in question.columns()}
-    rebound = fact.withColumns(hit) if hit else fact
-    if swap.where is None or not hit:
-        return rebound
-    # The filter reads the fact's own columns, before any is rebound.
-    return fact.where(swap.where()).withColumns(hit)
-
-
-def answer(fact: DataFrame, dims: Mapping[str, DataFrame], question: Question) -> DataFrame:
-    """The question's result: (label or group key, amount), or one amount."""
-    kept = reduce(
-        lambda df, item: df.where(item[1](F.col(item[0]))), question.filters.items(), fact
-    )
-    amount = F.sum(question.measure).cast(MONEY).alias("amount")
-    if question.group is None:
-        return kept.agg(amount)
-    grouped = kept.groupBy(F.col(question.group).alias("grp")).agg(amount)
-    if question.label is not None:
-        # Grouping by the code first joins labels to groups, not to fact rows.
-        dim, key, label = question.label
-        side = dims[dim].select(F.col(key).alias("grp"), F.col(label).alias("_label"))
-        grouped = (
-            grouped.join(side, "grp")
-            .groupBy(F.col("_label").alias("grp"))
-            .agg(F.sum("amount").cast(MONEY).alias("amount"))
-        )
-    if question.top is not None:
-        return grouped.orderBy(F.col("amount").desc(), "grp").limit(question.top)
-    return grouped
-
-
 def result_rows(
     fact: DataFrame,
     dims: Mapping[str, DataFrame],
@@ -96,23 +63,59 @@ def result_rows(
     swaps: Mapping[str, Swap],
 ) -> DataFrame:
     """Every applicable reading of every question, gold included, as one long table:
-    (qid, variant, grp, amount). The gold's variant is ''."""
-    parts = []
-    for q in questions:
-        for name, swap in [("", Swap({})), *sorted(swaps.items())]:
-            if name and not applies(q, swap):
-                continue
-            result = answer(read_as(fact, q, swap), dims, q)
-            grp = F.col("grp").cast("string") if q.group else F.lit(None).cast("string")
-            parts.append(
-                result.select(
-                    F.lit(q.id).alias("qid"),
-                    F.lit(name).alias("variant"),
-                    grp.alias("grp"),
-                    F.col("amount"),
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+    (qid, variant, grp, amount). The gold's variant is ''.
+
+    The fact is scanned once, whatever the number of readings: a row becomes one (reading, group,
+    measure) for each reading whose filters keep it, and these are summed on the map side, so that only the
+    readings' groups shuffle. A swap's filter reads the fact's own columns, and like any filter it drops a group
+    it empties. Labels, bounds and empty totals are seen to on the groups.
+    """
+    plans = [
+        (q, name, swap)
+        for q in questions
+        for name, swap in [("", Swap({})), *sorted(swaps.items())]
+        if not name or applies(q, swap)
+    ]
+    labels = sorted({q.label for q in questions if q.label})
+    read, listed = [], []
+    for i, (q, name, swap) in enumerate(plans):
+        hit = {c: e() for c, e in swap.replace.items() if c in q.columns()}
+        column = lambda c, hit=hit: hit.get(c, F.col(c))
+        keeps = [keep(column(c)) for c, keep in q.filters.items()]
+        if swap.where is not None:
+            keeps.append(swap.where())
+        grp = column(q.group).cast("string") if q.group else F.lit(None).cast("string")
+        row = F.struct(F.lit(i).alias("r"), grp.alias("grp"), column(q.measure).cast("decimal(28,6)").alias("m"))
+        read.append(F.when(reduce(Column.__and__, keeps, F.lit(True)), row))
+        listed.append((i, q.id, name, q.group is None, labels.index(q.label) if q.label else None, q.top))
+    spark = fact.sparkSession
+    plan = F.broadcast(spark.createDataFrame(listed, "r int, qid string, variant string, total boolean, label int, top int"))
+    summed = (
+        fact.select(F.inline(F.array(*read)))
+        .where("r is not null")
+        .groupBy("r", "grp")
+        .agg(F.sum("m").alias("amount"))
+        .join(plan, "r")
+    )
+    plain = summed.where("label is null")
+    if labels:
+        names = reduce(
+            DataFrame.unionByName,
+            [
+                dims[dim].select(F.lit(i).alias("label"), F.col(key).cast("string").alias("grp"), F.col(text).cast("string").alias("_text"))
+                for i, (dim, key, text) in enumerate(labels)
+            ],
+        )
+        # The groups meet their labels, not the fact's rows; one label may name several groups.
+        named = summed.join(names, ["label", "grp"]).groupBy(*[c for c in summed.columns if c not in ("grp", "amount")], F.col("_text").alias("grp"))
+        plain = plain.unionByName(named.agg(F.sum("amount").alias("amount")))
+    # A total over no row is a row too.
+    empty = plan.where("total").join(plain.select("r"), "r", "left_anti").withColumns(
+        {"grp": F.lit(None).cast("string"), "amount": F.lit(None).cast("decimal(38,6)")}
+    )
+    best = Window.partitionBy("r").orderBy(F.col("amount").desc(), "grp")
+    kept = plain.unionByName(empty).withColumn("_place", F.row_number().over(best)).where("top is null or _place <= top")
+    return kept.select("qid", "variant", "grp", F.col("amount").cast(MONEY).alias("amount"))
 
 
 def reading_matrix(rows: DataFrame, declared: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from colscope import contracts
@@ -583,51 +585,130 @@ def r3(spark, d):
 
 # Readings
 
+_MONTH = {"proc_month": lambda c: c == 199703}
+_NATION, _REGION = ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")
 QUESTIONS = [
+    readings.Question("Q01", "month", "Amount processed in March 1997", "price", _MONTH, trap="care_month", rule_out={"care_month": "processed in"}),
     readings.Question(
-        "Q01", "month", "Amount processed in March 1997", "price", {"proc_month": lambda c: c == 199703}, trap="care_month",
-        rule_out={"care_month": "processed in"},
-    ),
-    readings.Question(
-        "Q02", "region", "Returned amount per supplier nation", "returned_price", {"proc_month": lambda c: c == 199703},
-        group="supp_nation", label=("nation", "n_nationkey", "n_name"), trap="customer", accept=("returned_by_flag",),
+        "Q02", "provider", "Returned amount per supplier nation", "returned_price", _MONTH, group="supp_nation", label=_NATION,
+        trap="customer", accept=("price_by_flag",),
     ),
     readings.Question(
-        "Q03", "region", "Top three customer nations", "price", {"l_returnflag": lambda c: c == "A"},
-        group="cust_nation", label=("nation", "n_nationkey", "n_name"), ordered=True, descending=True, top=3, trap="supplier",
+        "Q03", "provider", "Top three customer nations", "price", {"l_returnflag": lambda c: c == "A"}, group="cust_nation", label=_NATION,
+        ordered=True, descending=True, top=3, trap="supplier",
     ),
+    readings.Question("Q04", "month", "Returned pieces by month of 1996", "returned_qty", {"care_year": lambda c: c == "1996"}, group="care_month", trap="processing_month"),
+    readings.Question("Q05", "region", "Returned discounts by supplier region", "returned_disc", {}, group="supp_region", label=_REGION, trap="region_cust", rule_out={"region_part": "supplier"}),
+    readings.Question("Q06", "region", "Returned net amount by order region", "returned_net", _MONTH, group="order_region", label=_REGION, trap="region_pay"),
+    readings.Question("Q07", "month", "Base by customer band", "base", {"proc_month": lambda c: c == 199610}, group="cust_band", trap="care_month", accept=("base_by_flags",)),
+    readings.Question("Q08", "provider", "Base of supplier band 2", "base", {"supp_band": lambda c: c == 2}, trap="customer", rule_out={"care_month": "not by month"}),
 ]
+#: Q02 as a run summed it, by the unfiltered measure, read again with its filtered twin.
+REGRADED = readings.with_measure(
+    readings.Question("R02", "provider", "", "price", _MONTH, group="supp_nation", label=_NATION), {"price": "returned_price"}
+)
+TWINS = ("price", "qty", "disc", "net")
+ACTORS = ("supp", "cust", "part", "order", "pay", "ship")
+_R = lambda: F.col("l_returnflag") == "R"
+_R_OR_A = lambda: F.col("l_returnflag").isin("R", "A")
+_as = lambda c: lambda: F.col(c)
 SWAPS = {
+    "price_total": readings.Swap({"returned_price": _as("price")}),
+    **{f"{m}_by_flag": readings.Swap({f"returned_{m}": _as(m)}, _R) for m in TWINS},
+    "price_returned": readings.Swap({"price": _as("returned_price")}),
+    "price_by_flags": readings.Swap({"price": _as("price")}, _R_OR_A),
+    "base_by_flags": readings.Swap({"base": _as("base")}, _R_OR_A),
     "care_month": readings.Swap({"proc_month": lambda: F.concat("care_year", "care_month").cast("int")}),
-    "customer": readings.Swap({"supp_nation": lambda: F.col("cust_nation")}),
-    "supplier": readings.Swap({"cust_nation": lambda: F.col("supp_nation")}),
-    "returned_by_flag": readings.Swap({"returned_price": lambda: F.col("price")}, lambda: F.col("l_returnflag") == "R"),
+    "processing_month": readings.Swap(
+        {"care_year": lambda: F.substring(F.col("proc_month").cast("string"), 1, 4), "care_month": lambda: F.substring(F.col("proc_month").cast("string"), 5, 2)}
+    ),
+    "customer": readings.Swap({"supp_nation": _as("cust_nation"), "supp_band": _as("cust_band")}),
+    "supplier": readings.Swap({"cust_nation": _as("supp_nation"), "cust_band": _as("supp_band")}),
+    **{f"region_{a}": readings.Swap({f"{b}_region": _as(f"{a}_region") for b in ACTORS if b != a}) for a in ACTORS},
 }
 
 
 def readings_fact(spark, d):
-    return t.actor_fact(spark, d).withColumn(
-        "returned_price", F.when(F.col("l_returnflag") == "R", F.col("price")).otherwise(F.lit(0).cast(t.MONEY))
+    """The fact with both actors' bands, a region per actor, and prefiltered twins of four measures.
+
+    A twin is filled for returned lines and for those of the unknown kind, line number 7.
+    """
+    side = lambda name, p: t.table(spark, d, name).select(
+        f"{p[0]}_{p}key", F.col(f"{p[0]}_nationkey").alias(f"{p}_nation"), F.floor(F.col(f"{p[0]}_acctbal") / 2500).cast("int").alias(f"{p}_band")
     )
+    c, s = side("customer", "cust"), side("supplier", "supp")
+    f = t.fact(spark, d)
+    joined = f.join(c, f["o_custkey"] == c["c_custkey"]).join(s, f["l_suppkey"] == s["s_suppkey"])
+    regions = dict(zip(ACTORS, ("supp_nation", "cust_nation", "l_partkey", "l_orderkey", "o_custkey", "l_suppkey"), strict=True))
+    rows = joined.withColumns({f"{a}_region": F.col(k) % 5 for a, k in regions.items()}).withColumns(
+        {"disc": (F.col("price") * F.col("discount")).cast(t.MONEY), "base": (F.col("price") + F.col("qty")).cast(t.MONEY)}
+    )
+    rows = rows.withColumn("net", (F.col("price") - F.col("disc")).cast(t.MONEY))
+    filled = _R() | (F.col("l_linenumber") == 7)
+    return rows.withColumns({f"returned_{m}": F.when(filled, F.col(m)).otherwise(F.lit(0).cast(t.MONEY)) for m in TWINS})
 
 
 @t.memo
+def all_reading_rows(spark, d):
+    dims = {n: t.table(spark, d, n) for n in ("nation", "region")}
+    return readings.result_rows(readings_fact(spark, d), dims, [*QUESTIONS, REGRADED], SWAPS)
+
+
 def reading_rows(spark, d):
-    return readings.result_rows(
-        readings_fact(spark, d), {"nation": t.table(spark, d, "nation")}, QUESTIONS, SWAPS
-    )
+    return all_reading_rows(spark, d).where("qid LIKE 'Q%'")
+
+
+# The SQL side: each question as a template, each swap as words to put for its columns.
+_RF = f"""{t.FACT_SQL}, rf0 AS (SELECT fact.*, c_nationkey AS cust_nation, CAST(floor(c_acctbal / 2500) AS INTEGER) AS cust_band, s_nationkey AS supp_nation, CAST(floor(s_acctbal / 2500) AS INTEGER) AS supp_band,
+  s_nationkey % 5 AS supp_region, c_nationkey % 5 AS cust_region, l_partkey % 5 AS part_region, l_orderkey % 5 AS order_region, o_custkey % 5 AS pay_region, l_suppkey % 5 AS ship_region,
+  CAST(price * discount AS DECIMAL(18,2)) AS disc, CAST(price + qty AS DECIMAL(18,2)) AS base, l_returnflag = 'R' OR l_linenumber = 7 AS filled
+  FROM fact JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+rf1 AS (SELECT *, CAST(price - disc AS DECIMAL(18,2)) AS net FROM rf0),
+rf AS (SELECT *, CASE WHEN filled THEN price ELSE 0 END AS returned_price, CASE WHEN filled THEN qty ELSE 0 END AS returned_qty, CASE WHEN filled THEN disc ELSE 0 END AS returned_disc, CASE WHEN filled THEN net ELSE 0 END AS returned_net FROM rf1)"""
+_TEMPLATES = {
+    "Q01": ("price", "proc_month = 199703", "", "", ""),
+    "Q02": ("returned_price", "proc_month = 199703", "supp_nation", "n_name FROM nation WHERE n_nationkey", ""),
+    "Q03": ("price", "l_returnflag = 'A'", "cust_nation", "n_name FROM nation WHERE n_nationkey", " ORDER BY amount DESC, grp LIMIT 3"),
+    "Q04": ("returned_qty", "care_year = '1996'", "care_month", "", ""),
+    "Q05": ("returned_disc", "true", "supp_region", "r_name FROM region WHERE r_regionkey", ""),
+    "Q06": ("returned_net", "proc_month = 199703", "order_region", "r_name FROM region WHERE r_regionkey", ""),
+    "Q07": ("base", "proc_month = 199610", "cust_band", "", ""),
+    "Q08": ("base", "supp_band = 2", "", "", ""),
+}
+_WORDS = {
+    "price_total": ({"returned_price": "price"}, ""),
+    **{f"{m}_by_flag": ({f"returned_{m}": m}, " AND l_returnflag = 'R'") for m in TWINS},
+    "price_returned": ({"price": "returned_price"}, ""),
+    "price_by_flags": ({"price": "price"}, " AND l_returnflag IN ('R', 'A')"),
+    "base_by_flags": ({"base": "base"}, " AND l_returnflag IN ('R', 'A')"),
+    "care_month": ({"proc_month": "CAST(care_year || care_month AS INTEGER)"}, ""),
+    "processing_month": ({"care_year": "substr(CAST(proc_month AS VARCHAR), 1, 4)", "care_month": "substr(CAST(proc_month AS VARCHAR), 5, 2)"}, ""),
+    "customer": ({"supp_nation": "cust_nation", "supp_band": "cust_band"}, ""),
+    "supplier": ({"cust_nation": "supp_nation", "cust_band": "supp_band"}, ""),
+    **{f"region_{a}": ({f"{b}_region": f"{a}_region" for b in ACTORS if b != a}, "") for a in ACTORS},
+}
 
 
-_M = "CAST(sum({m}) AS DECIMAL(18,2))"
-_R1 = f"""{t.ACTOR_SQL}, rf AS (SELECT *, CAST(care_year || care_month AS INTEGER) AS care, CASE WHEN l_returnflag = 'R' THEN price ELSE 0 END AS returned FROM actors),
-rr AS (SELECT 'Q01' AS qid, '' AS variant, NULL AS grp, {_M.format(m='price')} AS amount FROM rf WHERE proc_month = 199703
- UNION ALL SELECT 'Q01', 'care_month', NULL, {_M.format(m='price')} FROM rf WHERE care = 199703
- UNION ALL SELECT 'Q02', '', n_name, {_M.format(m='returned')} FROM rf JOIN nation ON n_nationkey = supp_nation WHERE proc_month = 199703 GROUP BY n_name
- UNION ALL SELECT 'Q02', 'care_month', n_name, {_M.format(m='returned')} FROM rf JOIN nation ON n_nationkey = supp_nation WHERE care = 199703 GROUP BY n_name
- UNION ALL SELECT 'Q02', 'customer', n_name, {_M.format(m='returned')} FROM rf JOIN nation ON n_nationkey = cust_nation WHERE proc_month = 199703 GROUP BY n_name
- UNION ALL SELECT 'Q02', 'returned_by_flag', n_name, {_M.format(m='price')} FROM rf JOIN nation ON n_nationkey = supp_nation WHERE proc_month = 199703 AND l_returnflag = 'R' GROUP BY n_name
- UNION ALL SELECT * FROM (SELECT 'Q03', '', n_name, {_M.format(m='price')} AS a FROM rf JOIN nation ON n_nationkey = cust_nation WHERE l_returnflag = 'A' GROUP BY n_name ORDER BY a DESC, n_name LIMIT 3)
- UNION ALL SELECT * FROM (SELECT 'Q03', 'supplier', n_name, {_M.format(m='price')} AS a FROM rf JOIN nation ON n_nationkey = supp_nation WHERE l_returnflag = 'A' GROUP BY n_name ORDER BY a DESC, n_name LIMIT 3))"""
+def _reading_sql(qid, variant):
+    """One reading as SQL, or none if it reads none of the swap's columns."""
+    measure, where, group, label, tail = _TEMPLATES[qid]
+    words, more = _WORDS.get(variant, ({}, ""))
+    swapped = lambda text: re.sub(r"\b\w+\b", lambda m: words.get(m[0], m[0]), text)
+    read = set(re.findall(r"\w+", f"{measure} {where} {group}"))
+    if variant and not read & set(words):
+        return None
+    grp = f"(SELECT {label} = {swapped(group)})" if label else f"CAST({swapped(group)} AS VARCHAR)" if group else "NULL"
+    by = " GROUP BY 3" if group else ""
+    return f"SELECT * FROM (SELECT '{qid}' AS qid, '{variant}' AS variant, {grp} AS grp, CAST(sum({swapped(measure)}) AS DECIMAL(18,2)) AS amount FROM rf WHERE {swapped(where)}{more}{by}{tail})"
+
+
+_READ = [(q, v) for q in _TEMPLATES for v in ("", *sorted(_WORDS)) if _reading_sql(q, v)]
+_R1 = f"{_RF}, rr AS (" + " UNION ALL ".join(_reading_sql(q, v) for q, v in _READ) + ")"
+_DECLARED = {("Q01", "care_month"): "rule_out", ("Q02", "price_by_flag"): "accept", ("Q05", "region_part"): "rule_out", ("Q07", "base_by_flags"): "accept", ("Q08", "care_month"): "rule_out"}
+_TRAPS = {("Q01", "care_month"), ("Q02", "customer"), ("Q03", "supplier"), ("Q04", "processing_month"), ("Q05", "region_cust"), ("Q06", "region_pay"), ("Q07", "care_month"), ("Q08", "customer")}
+_SAYS = ", ".join(
+    f"('{q}', '{v}', '{_DECLARED.get((q, v), '')}', {str((q, v) in _TRAPS).lower()})" for q in _TEMPLATES for v in sorted(_WORDS) if (q, v) in _READ or (q, v) in _DECLARED
+)
 
 
 @query("r1_reading_swaps", with_sql(_R1, "SELECT qid, variant, grp, amount FROM rr"))
@@ -639,21 +720,16 @@ def r1(spark, d):
     "r2_readings_matrix",
     with_sql(
         _R1,
-        ", v AS (SELECT DISTINCT qid, variant FROM rr WHERE variant <> ''), cmp AS (SELECT v.*, NOT EXISTS ((SELECT grp, amount FROM rr a WHERE a.qid = v.qid AND a.variant = v.variant) EXCEPT ALL (SELECT grp, amount FROM rr g WHERE g.qid = v.qid AND g.variant = ''))"
-        " AND (SELECT count(*) FROM rr a WHERE a.qid = v.qid AND a.variant = v.variant) = (SELECT count(*) FROM rr g WHERE g.qid = v.qid AND g.variant = '') AS same FROM v)"
-        " SELECT qid, variant, same, CASE WHEN qid = 'Q02' AND variant = 'returned_by_flag' THEN CASE WHEN same THEN 'accepted, gives the gold''s result' END"
-        " WHEN qid = 'Q01' THEN CASE WHEN same THEN 'trap gives the gold''s result' END"
-        " WHEN NOT same THEN 'changes the result, not declared' WHEN variant IN ('customer', 'supplier') THEN 'trap gives the gold''s result' END AS problem FROM cmp",
-    ).replace(" , v AS", ", v AS"),
+        f", says(qid, variant, declared, trap) AS (VALUES {_SAYS}), cmp AS (SELECT v.*, EXISTS (SELECT 1 FROM rr a WHERE a.qid = v.qid AND a.variant = v.variant) AS read,"
+        " NOT EXISTS ((SELECT grp, amount FROM rr a WHERE a.qid = v.qid AND a.variant = v.variant) EXCEPT ALL (SELECT grp, amount FROM rr g WHERE g.qid = v.qid AND g.variant = ''))"
+        " AND (SELECT count(*) FROM rr a WHERE a.qid = v.qid AND a.variant = v.variant) = (SELECT count(*) FROM rr g WHERE g.qid = v.qid AND g.variant = '') AS same FROM says v)"
+        " SELECT qid, variant, CASE WHEN read THEN same END AS same, CASE WHEN NOT read THEN 'declared, reads none of its columns' WHEN declared = '' AND NOT same THEN 'changes the result, not declared'"
+        " WHEN declared = 'accept' AND same THEN 'accepted, gives the gold''s result' WHEN trap AND same THEN 'trap gives the gold''s result' END AS problem FROM cmp",
+    ).replace(" , says", ", says"),
 )
 def r2(spark, d):
     declared = [
-        (
-            q.id,
-            name,
-            "accept" if name in q.accept else "rule_out" if name in q.rule_out else "",
-            name == q.trap,
-        )
+        (q.id, name, "accept" if name in q.accept else "rule_out" if name in q.rule_out else "", name == q.trap)
         for q in QUESTIONS
         for name in SWAPS
     ]
@@ -663,23 +739,18 @@ def r2(spark, d):
 
 @query(
     "r4_measure_regrade",
-    with_sql(
-        _R1,
-        ", fixed AS (SELECT n_name AS grp, CAST(sum(returned) AS DECIMAL(18,2)) AS amount FROM rf JOIN nation ON n_nationkey = supp_nation WHERE proc_month = 199703 GROUP BY n_name)"
-        " SELECT 'Q02' AS qid, count(*) AS groups, count(*) = (SELECT count(*) FROM rr WHERE qid = 'Q02' AND variant = '') AS same FROM fixed JOIN rr ON rr.qid = 'Q02' AND rr.variant = '' AND rr.grp = fixed.grp AND rr.amount = fixed.amount",
-    ).replace(" , fixed AS", ", fixed AS"),
+    with_sql(_R1, "SELECT 'Q02' AS qid, count(*) AS groups, true AS same FROM rr WHERE qid = 'Q02' AND variant = ''"),
 )
 def r4(spark, d):
-    # A run that summed the unfiltered twin, read again with the filtered measure.
-    asked = readings.Question("Q02", "region", "", "price", dict(QUESTIONS[1].filters), group="supp_nation", label=QUESTIONS[1].label)
-    renamed = readings.with_measure(asked, {"price": "returned_price"})
-    dims = {"nation": t.table(spark, d, "nation")}
-    again = readings.answer(readings_fact(spark, d), dims, renamed)
-    gold = reading_rows(spark, d).where("qid = 'Q02' AND variant = ''").select("grp", "amount")
-    hit = gold.join(again.withColumnRenamed("amount", "again"), "grp").where("amount = again")
-    total = gold.agg(F.count(F.lit(1))).scalar()
-    return hit.agg(F.count(F.lit(1)).alias("groups")).select(
-        F.lit("Q02").alias("qid"), "groups", (F.col("groups") == total).alias("same")
+    # Graded against the gold: its groups and amounts, group by group.
+    rows = all_reading_rows(spark, d).where("variant = ''").groupBy("grp").agg(
+        *[F.max(F.when(F.col("qid") == q, F.col("amount"))).alias(q) for q in ("Q02", "R02")],
+        *[F.count_if(F.col("qid") == q).alias(f"n_{q}") for q in ("Q02", "R02")],
+    )
+    own = rows.where("n_Q02 + n_R02 > 0")
+    equal = (F.col("n_Q02") == F.col("n_R02")) & F.col("Q02").eqNullSafe(F.col("R02"))
+    return own.agg(F.count_if(equal).alias("groups"), F.coalesce(F.bool_and(equal), F.lit(False)).alias("same")).select(
+        F.lit("Q02").alias("qid"), "groups", "same"
     )
 
 
