@@ -36,14 +36,21 @@ def carried(docs: DataFrame, added: Iterable[str]) -> tuple[list[Column], list[s
     """How an operator takes a frame's columns along: under names of its own, which clash with none.
 
     Gives the columns to select first, their inner names, and the columns to select last. Columns
-    named like one of ``added``, the operator's results, are left out.
+    named like one of ``added``, the operator's results, in whatever case, are left out.
     """
-    kept = [c for c in docs.columns if c not in set(added)]
+    results = {a.lower() for a in added}
+    kept = [c for c in docs.columns if c.lower() not in results]
     inner = [f"__{i}" for i in range(len(kept))]
     first = [F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)]
     return first, inner, [F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)]
 
 
+def carried_as(docs: DataFrame, added: Iterable[str], column: str) -> str:
+    """The inner name that ``carried`` gives a column."""
+    results = {a.lower() for a in added}
+    return f"__{[c.lower() for c in docs.columns if c.lower() not in results].index(column.lower())}"
+
+
 def with_arrays(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
     """The batch with columns put behind its own."""
     columns = [*batch.columns, *arrays.values()]

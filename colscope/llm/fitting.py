@@ -30,5 +30,6 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held_out:
         .orderBy("_order", "_id", "_label")
         .limit(rows)
     )
-    joined = docs.join(F.broadcast(picked), docs["doc_id"] == F.col("_id"))
-    return joined.select(F.col("text").alias("_text"), "_label", "_order", "_id").orderBy("_order", "_id").limit(rows).repartition(FIT_TASKS)
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    return joined.select("_text", "_label", "_order", "_id").orderBy("_order", "_id").limit(rows).repartition(FIT_TASKS)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, ship, table, with_arrays
+from colscope.llm.common import carried, carried_as, documents, ship, table, with_arrays
 from colscope.llm.fitting import fit_sample, remainder
 
 #: Labelled rows to fit on at most; latent dimensions; neighbours that vote; power of their similarity.
@@ -19,8 +21,9 @@ FIT_ROWS, DIMENSIONS, NEIGHBOURS, POWER = 4000, 48, 25, 8.0
 THRESHOLD = 0.3
 #: Documents whose products with all labelled vectors are held at once.
 BLOCK = 256
-#: A text is read in parts of so many bytes.
-PART_BYTES = 1 << 20
+#: A text is read in parts of about so many bytes, cut between words. Different words are told apart by so many hashes.
+PART_BYTES, WORD_HASHES = 1 << 20, 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\t\n\x0b\x0c\r", b".", b",", b"!", b"?", b"|", b"#$%&*@^~=+`", b"\"'", b"()[]{}<>", b"-_/\\:;"]
 KINDS = len(_GROUPS) + 2
@@ -29,27 +32,34 @@ _KIND[128:] = KINDS - 2
 for _i, _group in enumerate(_GROUPS):
     _KIND[list(_group)] = _i
 SHAPES = KINDS**3
-#: Beside the shapes: words, words like the one before, words new in their part of the text.
+#: Beside the shapes: words, words like the one before, different words.
 TERMS = SHAPES + 3
 
 
 def terms(text: str | None) -> np.ndarray:
     """Square roots of term shares: the kinds of three bytes in a row, and how words repeat.
 
-    Shares of shapes and of words each sum to 1; a text without any is all zeros.
+    Shares of shapes and of words each sum to 1; a text without any is all zeros. They are those of the whole
+    text: no word is cut by a part's edge, and different words are marked in one array for all parts.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
-    shapes, words = np.zeros(SHAPES, np.int64), np.zeros(3, np.int64)
-    for at in range(0, len(raw), PART_BYTES):
-        part = raw[at : at + PART_BYTES]
-        k = _KIND[np.frombuffer(raw[max(0, at - 2) : at + PART_BYTES], np.uint8)]
+    shapes, words, before, at = np.zeros(SHAPES, np.int64), np.zeros(2, np.int64), None, 0
+    seen = np.empty(0, np.int64)
+    while at < len(raw):
+        cut_at = _SPACE.search(raw, at + PART_BYTES)
+        end = cut_at.start() if cut_at else len(raw)
+        k = _KIND[np.frombuffer(raw[max(0, at - 2) : end], np.uint8)]
         if len(k) >= 3:
             shapes += np.bincount(k[:-2] * (KINDS * KINDS) + k[1:-1] * KINDS + k[2:], minlength=SHAPES)
-        w = part.split()
-        words += [len(w), sum(map(eq, w, w[1:])), len(set(w))]
+        w = raw[at:end].split()
+        if w:
+            words += [len(w), sum(map(eq, w, w[1:])) + (w[0] == before)]
+            seen = np.union1d(seen, np.fromiter(map(crc32, w), np.int64, len(w)) % WORD_HASHES)
+            before = w[-1]
+        at = end
     out = np.zeros(TERMS, np.float32)
     out[:SHAPES] = np.sqrt(shapes / max(1, shapes.sum()))
-    out[SHAPES:] = np.sqrt(words / max(1, words[0]))
+    out[SHAPES:] = np.sqrt(np.array([*words, len(seen)]) / max(1, words[0]))
     return out
 
 
@@ -122,21 +132,23 @@ def classify(docs: DataFrame, space: Space, text_col: str = "text") -> DataFrame
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    rest = docs.drop("score", "predicted")
+    results = ("score", "predicted")
+    first, _, last = carried(docs, results)
+    rest, text_name = docs.select(*first), carried_as(docs, results, text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(batch.schema.get_field_index(text_name))
             for at in range(0, batch.num_rows, BLOCK):
                 part = texts.slice(at, BLOCK).to_pylist()
                 out[at : at + BLOCK] = own.scores(np.stack([terms(t) for t in part]))
             yield with_arrays(batch, score=pa.array(out))
 
     schema = rest.withColumn("score", F.lit(0.0)).schema
-    out = rest.mapInArrow(scored, schema)
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return rest.mapInArrow(scored, schema).select(*last, "score", predicted)
 
 
 def op10_quality(spark, sf_dir):

@@ -76,8 +76,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id``, ``_sha`` (sha256 of the text) and ``_print``, the fingerprint as a signed long, of every row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(text_col).alias("_sha"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprints, "_id long, _sha string, _print long")
+    rows = docs.select(F.col(id_col).alias("_id"), text_digest(text_col).alias("_sha"), F.col(text_col).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(_fingerprints, f"_id {kind}, _sha string, _print long")
 
 
 def text_digest(text_col: str) -> Column:
@@ -169,7 +170,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept"))
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha")).distinct()
     first, _, last = carried(docs, [])
-    rows = docs.select(*first, F.col(id_col).cast("long").alias("_id"), text_digest(text_col).alias("_sha"))
+    rows = docs.select(*first, F.col(id_col).alias("_id"), text_digest(text_col).alias("_sha"))
     alike = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha"))
     return rows.join(gone, alike, "left_anti").select(*last)
 

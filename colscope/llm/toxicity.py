@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import cut, documents, ship, table, with_arrays
+from colscope.llm.common import carried, carried_as, cut, documents, ship, table, with_arrays
 from colscope.llm.fitting import fit_sample, remainder
 
 #: Labelled rows to fit on at most, and lexicon entries learned at most.
@@ -400,13 +400,15 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    rest = docs.drop("score", "predicted", "clauses")
+    results = ("score", "predicted", "clauses")
+    first, _, last = carried(docs, results)
+    rest, text_name = docs.select(*first), carried_as(docs, results, text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             scores, spans = [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)):
+            for text in batch.column(batch.schema.get_field_index(text_name)):
                 found = own.matches(text.as_py())
                 total = np.sum([f[2] for f in found], axis=0) if found else np.zeros(PLACES)
                 scores.append(own.probability(np.minimum(total, MOST_WEIGHT)))
@@ -414,7 +416,8 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
             yield with_arrays(batch, score=pa.array(scores, pa.float64()), clauses=pa.array(spans, ARROW_SPANS))
 
     schema = rest.withColumn("score", F.lit(0.0)).withColumn("clauses", F.lit(None).cast(SPANS)).schema
-    return rest.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return rest.mapInArrow(scored, schema).select(*last, "score", "clauses", predicted)
 
 
 def op3_toxicity(spark, sf_dir):

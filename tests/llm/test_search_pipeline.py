@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from colscope.llm import ann
+from colscope.llm import ann, exact_dedup, line_dedup, mixing, quality, sharding, simhash, toxicity
 from colscope.llm.common import cut
 
 DATA = "/root/testdata/sf0.001"
@@ -109,6 +110,50 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sorted(map(repr, ran.collect())) == sorted(map(repr, docs.collect()))
 
 
+CLASHING = {"KEPT": "'x'", "Times": "1", "Shard": "2", "_label": "3", "_id": "'i'", "_order": "4", "_time": "5", "size": "6", "score": "7", "keep_id": "8", "a.b": "9", "_text": "'t'", "_doc": "0", "__0": "10"}
+
+
+def _clashing(spark, rows):
+    docs = rows.withColumns({f"{c}": F.expr(v) for c, v in CLASHING.items()})
+    return docs, {c: spark.sql(f"SELECT {v}").head()[0] for c, v in CLASHING.items()}
+
+
+def test_columns_of_any_name_pass_the_pipeline(spark):
+    docs, values = _clashing(spark, spark.read.parquet(f"{DATA}/documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        rows = out.select(*[f"`{c}`" for c in CLASHING]).distinct().collect()
+        assert [r.asDict() for r in rows] == [values], name
+    assert corpus_pipeline.encoded(spark, docs, DATA).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["exact", "lines", "shards", "mixed", "near", "quality", "toxic"])
+def test_columns_of_any_name_pass_the_operators(spark, name):
+    docs, _ = _clashing(spark, spark.read.parquet(f"{DATA}/documents.parquet").limit(40))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    run = {
+        "exact": lambda: exact_dedup.exact_dedup(docs),
+        "lines": lambda: line_dedup.drop_boilerplate(docs, line_dedup.host_of(F.col("source")), line_dedup.text_lines(F.col("text"))),
+        "shards": lambda: sharding.uniform_shards(docs, 4),
+        "mixed": lambda: mixing.mix(docs),
+        "near": lambda: simhash.drop_near_duplicates(docs),
+        "quality": lambda: quality.classify(docs, quality.fit(docs, labels)),
+        "toxic": lambda: toxicity.score(docs, toxicity.fit(docs, labels)),
+    }[name]
+    out = run()
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert out.select(*[f"`{c}`" for c in out.columns]).count() > 0
+
+
+def test_empty_tables_and_text_ids(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([("x", "a b c d e"), ("w", "a b c d e"), (None, "")], "doc_id string, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {"w", None}
+
+
 def test_documents_without_words_follow_their_source(spark):
     rows = [(i, "one two three", "a") for i in range(9)] + [(9, "", "a"), (10, None, "a"), (11, " \n", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

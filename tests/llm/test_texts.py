@@ -233,7 +233,9 @@ def test_quality_on_held_out_rows_and_by_brute_force(spark):
 
 
 def test_terms_of_parts(monkeypatch):
-    text = "The cat | sat!! sat $$$ 12 é\n" * 40
-    whole = quality.terms(text)[: quality.SHAPES]
+    text = "The cat | sat!! sat sat $$$ 12 é\n" * 40 + "onewordthatislongerthanapart" * 5 + " end"
+    whole = quality.terms(text)
     monkeypatch.setattr(quality, "PART_BYTES", 50)
-    assert np.allclose(quality.terms(text)[: quality.SHAPES], whole)
+    assert np.allclose(quality.terms(text), whole)
+    monkeypatch.setattr(quality, "PART_BYTES", 3)
+    assert np.allclose(quality.terms(text), whole)
