@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.llm.byte_bpe import encode
-from colscope.llm.common import fresh_dir
+from colscope.llm.common import carried, fresh_dir
 from colscope.llm.exact_dedup import exact_dedup
 from colscope.llm.mixing import mix
 from colscope.llm.quality import classify, fit
 from colscope.llm.simhash import drop_near_duplicates
 
 
+_READ = ("doc_id", "text", "source")
+
+
+def _decided(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keeps: str) -> DataFrame:
+    """The rows of ``docs`` that an operator keeps; its results and the columns carried along don't meet."""
+    first, _, others = carried(docs, _READ)
+    rest = iter(others)
+    last = [F.col(c.lower()).alias(c) if c.lower() in _READ else next(rest) for c in docs.columns]
+    return operator(docs.select(*_READ, *first)).where(keeps).select(*last)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, fit(docs, labels)).where("predicted = 1").select(*docs.columns)
+    return _decided(docs, lambda rows: classify(rows, fit(docs, labels)), "predicted = 1")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    return _decided(docs, exact_dedup, "kept")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +44,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice; one without words too."""
-    times = F.col("times").cast("int")
-    return mix(docs).withColumn("_time", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    each = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))
+    return _decided(docs, lambda rows: mix(rows).withColumn("__each", each), "true")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over all documents; each stage is written to the shared folder and reread."""
+    """The last stage's rows over all documents; each stage is written to the shared folder and reread.
+
+    Null and empty texts are scored like any others, repeated rows are exact copies, and rows with a null id are
+    kept as texts: each stage's operator states the cases. Other columns pass under whatever name, to the
+    stage before the last. Empty tables give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = fresh_dir(spark, "corpus-pipeline")
     for i, (name, stage) in enumerate(STAGES):
