@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.functions.guards import require_empty
@@ -55,8 +55,35 @@ def unsupported(runs_rows: DataFrame) -> DataFrame:
     )
 
 
-def gold_problems(golds: DataFrame, gold_rows: DataFrame) -> DataFrame:
-    """Golds a comparison must refuse: too wide, too long, or holding a list or struct."""
+def order_problems(golds: DataFrame, ordered_rows: DataFrame) -> DataFrame:
+    """Golds whose order is left to chance: (qid, variant, tied, cut).
+
+    ``golds``: qid, variant, ordered, limit_n (null: no limit). ``ordered_rows``: qid, variant and ``keys``, one
+    orderable column that sorts a gold's rows ascending, of all rows, those past the limit too. An ordered result
+    is ``tied`` where two of its rows share their keys, and a limit is ``cut`` where the last row in and the
+    first row out do. All golds are seen to in one grouped aggregate over their first rows: a window bounded
+    by the longest result a gold may have plus the witness past it, which Spark takes on the map side too, so no gold's
+    rows meet whole.
+    """
+    place = Window.partitionBy("qid", "variant").orderBy("keys")
+    first = ordered_rows.select("qid", "variant", "keys", F.row_number().over(place).alias("_place")).where(
+        F.col("_place") <= MAX_ROWS + 1
+    )
+    runs = first.groupBy("qid", "variant", "keys").agg(F.min("_place").alias("_from"), F.max("_place").alias("_to"))
+    size = F.coalesce(F.col("limit_n"), F.lit(MAX_ROWS))
+    asked = golds.where(F.col("ordered") | F.col("limit_n").isNotNull()).select("qid", "variant", "ordered", "limit_n")
+    return runs.join(asked, ["qid", "variant"]).groupBy("qid", "variant").agg(
+        F.bool_or(F.col("ordered") & (F.col("_from") < F.col("_to")) & (F.col("_from") < size)).alias("tied"),
+        F.bool_or(F.col("limit_n").isNotNull() & (F.col("_from") <= size) & (F.col("_to") > size)).alias("cut"),
+    )
+
+
+def gold_problems(golds: DataFrame, gold_rows: DataFrame, ordered_rows: DataFrame | None = None) -> DataFrame:
+    """Golds a comparison must refuse, with the first rule broken: (qid, variant, problem).
+
+    Too wide, too long, holding a list or struct, or, where their rows' keys are given (``order_problems``),
+    ordered or limited without an order, tied in their order, or cut through a tie by their limit.
+    """
     composite = (
         gold_rows.where(F.exists("vals", lambda v: v["tag"] == "composite"))
         .select("qid", "variant")
@@ -68,11 +95,23 @@ def gold_problems(golds: DataFrame, gold_rows: DataFrame) -> DataFrame:
         .when(F.col("rows") > MAX_ROWS, "too many rows")
         .when(F.col("_composite"), "holds a list or a struct")
     )
-    return (
-        golds.join(composite, ["qid", "variant"], "left")
-        .select("qid", "variant", problem.alias("problem"))
-        .where(F.col("problem").isNotNull())
-    )
+    checked = golds.join(composite, ["qid", "variant"], "left")
+    if ordered_rows is not None:
+        checked = checked.join(order_problems(golds, ordered_rows), ["qid", "variant"], "left")
+        bound = F.col("ordered") | F.col("limit_n").isNotNull()
+        problem = (
+            problem.when(bound & F.col("tied").isNull() & (F.col("rows") > 0), "no order for an ordered or limited result")
+            .when(F.col("tied"), "two rows tie on the order keys")
+            .when(F.col("cut"), "the limit cuts through a tie")
+        )
+    return checked.select("qid", "variant", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def column_signatures(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Of each result one number per column, an order-free sum of its values' hashes: equal columns have equal ones."""
+    value = lambda i: F.get("vals", F.lit(i))
+    sums = [F.sum(F.xxhash64(value(i)["tag"], value(i)["val"]).cast("decimal(20,0)")) for i in range(MAX_COLUMNS)]
+    return rows.groupBy(*keys).agg(F.array(*sums).alias(name))
 
 
 def _signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,8 +125,9 @@ def checks(
     """(run_key, qid, repetition, variant, reason) for each run against each of its golds.
 
     The reason is the first failed check: outcome, shape, row count, values. Only pairs
-    that pass the first three expand into column orders, and a pair's orders become
-    order-free row hashes, so rows meet by hash in a shuffle, never as pairs. A sequence
+    that pass the first three are compared, under the column orders that their columns' signatures
+    allow: mostly one, where all values of two columns are alike some more. Those orders' rows become order-free
+    row hashes, so rows meet by hash in a shuffle, never as pairs. A sequence
     comparison puts the row number into the hash. A gold that can't be compared is an error,
     not a mismatch.
     """
@@ -107,22 +147,23 @@ def checks(
         .when(F.col("width") != F.col("gold_width"), "shape_mismatch")
         .when(F.col("rows") != F.col("gold_rows"), "row_count_mismatch"),
     )
-    left = pairs.where(F.col("early").isNull()).select(
-        "run_key", "qid", "variant", "ordered", "width", "rows"
+    fits = lambda order: F.forall(
+        F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.get("_own", F.get(order, j)) == F.get("_wanted", j)
+    )
+    left = (
+        pairs.where(F.col("early").isNull())
+        .select("run_key", "qid", "variant", "ordered", "width", "rows")
+        .join(column_signatures(run_rows, ["run_key"], "_own"), "run_key")
+        .join(column_signatures(gold_rows, ["qid", "variant"], "_wanted"), ["qid", "variant"])
+        .withColumn("_orders", F.filter(column_orders(F.col("width")), fits))
+        .where(F.size("_orders") > 0)
+        .drop("_own", "_wanted")
     )
     position = lambda: F.when(F.col("ordered"), F.col("row_no"))
     permuted = (
         left.join(run_rows.select("run_key", "row_no", "vals"), "run_key")
-        .withColumn("order_no", F.explode(F.sequence(F.lit(0), F.size(column_orders(F.col("width"))) - 1)))
-        .withColumn(
-            "h",
-            row_hash(
-                F.transform(
-                    F.get(column_orders(F.col("width")), F.col("order_no")),
-                    lambda i: F.get(F.col("vals"), i),
-                )
-            ),
-        )
+        .select("run_key", "qid", "variant", "rows", "ordered", "row_no", "vals", F.posexplode("_orders").alias("order_no", "_order"))
+        .withColumn("h", row_hash(F.transform("_order", lambda i: F.get(F.col("vals"), i))))
         .withColumn("h", F.concat_ws("#", position().cast("string"), "h"))
     )
     actual = _signatures(permuted, ["run_key", "qid", "variant", "rows", "order_no"])

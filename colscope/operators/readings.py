@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colscope.functions.ordering import global_row_number
 from colscope.operators.marts import MONEY
 
 
@@ -167,11 +168,35 @@ def with_measure(question: Question, renames: Mapping[str, str]) -> Question:
     return replace(question, measure=renames.get(question.measure, question.measure))
 
 
-def balance_problems(questions: DataFrame, limits: Mapping[str, int]) -> DataFrame:
+#: What a ruled-out swap settles, and how many of these a question must settle.
+FAMILIES = {"month": r"_month$", "region": r"^region_", "provider": r"^(customer|supplier|prescriber|executor)$"}
+SETTLED = 2
+
+
+def id_islands(questions: DataFrame) -> DataFrame:
+    """Runs of contiguous ids (letters and a number): (prefix, low, high, ids).
+
+    Distinct numbers are numbered over the whole table by range; a number less its place is the same all along a
+    run, so the runs are one grouping and no row sees its neighbours.
+    """
+    parts = questions.select(
+        F.regexp_extract("qid", r"^(\D*)", 1).alias("prefix"), F.regexp_extract("qid", r"(\d+)$", 1).try_cast("bigint").alias("number")
+    )
+    placed = global_row_number(parts.where("number is not null").distinct(), [("prefix", False), ("number", False)])
+    return (
+        placed.groupBy("prefix", (F.col("number") - F.col("row_no")).alias("_shift"))
+        .agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count(F.lit(1)).alias("ids"))
+        .drop("_shift")
+    )
+
+
+def balance_problems(questions: DataFrame, limits: Mapping[str, int], pilot: DataFrame | None = None) -> DataFrame:
     """Violations of a question set's balance: (rule, detail, found).
 
-    ``questions``: qid, category, measure, trap, half. ``limits``: per_half,
-    max_per_measure (filtered half), min_per_category, min_per_trap.
+    ``questions``: qid, category, measure, trap, half, and for the last three rules ruled_out (swap names)
+    and text. ``limits``: per_half, max_per_measure (filtered half), min_per_category, min_per_trap. Ids run
+    from 1 without a gap, a question rules out swaps of two families of three, and none repeats an id or a
+    text of ``pilot`` (qid, text), in whatever case.
     """
     def count_by(column: str) -> DataFrame:
         return questions.groupBy(F.col(column).alias("detail")).agg(
@@ -195,6 +220,22 @@ def balance_problems(questions: DataFrame, limits: Mapping[str, int]) -> DataFra
         "trap minimum": traps,
         "repeated id": repeated,
     }
+    if pilot is not None:
+        islands = id_islands(questions)
+        # an island that starts past 1 tells the gap before it
+        named["gap before id"] = islands.where("low > 1").select(
+            F.concat("prefix", F.col("low").cast("string")).alias("detail"), F.col("ids").alias("found")
+        )
+        family = lambda pattern: F.exists("ruled_out", lambda s: s.rlike(pattern)).cast("int")
+        settles = [family(pattern) for pattern in FAMILIES.values()]
+        named["settles fewer than two"] = questions.select(
+            F.col("qid").alias("detail"), reduce(Column.__add__, settles).cast("bigint").alias("found")
+        ).where(F.col("found") < SETTLED)
+        for rule, key in (("pilot id", F.col("qid")), ("pilot text", F.lower("text"))):
+            seen = pilot.select(key.alias("_seen")).distinct()
+            named[rule] = (
+                questions.join(seen, key.eqNullSafe(F.col("_seen")), "left_semi").groupBy(F.col("qid").alias("detail")).agg(F.count(F.lit(1)).alias("found"))
+            )
     return reduce(
         DataFrame.unionByName,
         [

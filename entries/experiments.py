@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope import contracts
@@ -568,19 +570,48 @@ def u4(spark, d):
     return grading.sequence_difference(o, changed, "o_orderkey")
 
 
+_R3 = """cnt AS (SELECT l_linenumber AS k, CAST(l_quantity AS INTEGER) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS p, lead(n) OVER (PARTITION BY k ORDER BY n DESC) AS following FROM cnt),
+tops AS (SELECT k, bool_or(k % 2 = 0 AND p < CASE WHEN k <= 4 THEN 7 ELSE 200 END AND n = following) AS tied, bool_or(k <= 4 AND p = 7 AND n = following) AS cut FROM placed GROUP BY k)"""
+
+
 @query(
     "r3_gold_rules",
-    "SELECT 'O' || CAST(o_orderpriority AS VARCHAR) AS qid, '' AS variant, 'too many rows' AS problem FROM orders GROUP BY o_orderpriority HAVING count(*) > 200"
-    " UNION ALL SELECT 'wide' || r_name, '', 'too many columns' FROM region",
+    with_sql(
+        _R3,
+        "SELECT 'O' || CAST(o_orderpriority AS VARCHAR) AS qid, '' AS variant, 'too many rows' AS problem FROM orders GROUP BY o_orderpriority HAVING count(*) > 200"
+        " UNION ALL SELECT 'wide' || r_name, '', 'too many columns' FROM region"
+        " UNION ALL SELECT 'list' || n_name, '', 'holds a list or a struct' FROM nation WHERE n_nationkey % 2 = 0"
+        " UNION ALL SELECT 'loose' || n_name, '', 'no order for an ordered or limited result' FROM nation WHERE n_nationkey % 5 = 1"
+        " UNION ALL SELECT 'T' || CAST(k AS VARCHAR), '', CASE WHEN tied THEN 'two rows tie on the order keys' ELSE 'the limit cuts through a tie' END FROM tops WHERE tied OR cut",
+    ),
 )
 def r3(spark, d):
-    o = t.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("rows"))
-    tall = o.select(F.concat(F.lit("O"), "o_orderpriority").alias("qid"), F.lit("").alias("variant"), F.lit(2).alias("width"), "rows")
-    wide = t.table(spark, d, "region").select(
-        F.concat(F.lit("wide"), "r_name").alias("qid"), F.lit("").alias("variant"), F.lit(6).alias("width"), F.lit(1).cast("bigint").alias("rows")
-    )
-    _, gold_rows = gold_tables(spark, d)
-    return grading.gold_problems(tall.unionByName(wide), gold_rows)
+    """Golds of each kind in one check: long, wide, with lists, without an order, and one a line number, the quantities by
+    how many lines have them: ordered if it is even, the first seven up to number four."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("qid")
+    head = lambda df, qid, width, rows, ordered=False, limit=None: df.select(
+        qid, F.lit("").alias("variant"), F.lit(width).alias("width"), (F.lit(rows) if isinstance(rows, int) else F.col(rows)).cast("bigint").alias("rows"),
+        F.lit(ordered).alias("ordered") if isinstance(ordered, bool) else ordered.alias("ordered"),
+        (F.lit(limit) if limit is None or isinstance(limit, int) else limit).cast("int").alias("limit_n"),
+    )
+    o = t.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    nation, region = t.table(spark, d, "nation"), t.table(spark, d, "region")
+    counts = t.table(spark, d, "lineitem").groupBy("l_linenumber", F.col("l_quantity").cast("int").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("l_linenumber")
+    golds = [
+        head(o, name("O", "o_orderpriority"), 2, "n"),
+        head(region, name("wide", "r_name"), 6, 1),
+        head(nation, name("list", "n_name"), 2, 1),
+        head(nation.where("n_nationkey % 5 = 1"), name("loose", "n_name"), 1, 3, limit=3),
+        head(tops, name("T", "l_linenumber"), 2, "n", k % 2 == 0, F.when(k <= 4, 7)),
+    ]
+    listed = nation.withColumn("v", F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name")))
+    vals = F.array(*[normalized_value(F.col(c), listed.schema[c].dataType) for c in ("n_name", "v")])
+    rows = listed.select(name("list", "n_name"), F.lit("").alias("variant"), vals.alias("vals"))
+    keyed = counts.select(name("T", "l_linenumber"), F.lit("").alias("variant"), F.struct((-F.col("n")).alias("k0")).alias("keys"))
+    return grading.gold_problems(reduce(DataFrame.unionByName, golds), rows, keyed)
 
 
 # Readings
@@ -754,7 +785,11 @@ def r4(spark, d):
     )
 
 
-_QS = "qs AS (SELECT 'Q' || CAST(s_suppkey % 37 AS VARCHAR) AS qid, 'c' || CAST(s_nationkey % 6 AS VARCHAR) AS category, 'm' || CAST(s_suppkey % 6 AS VARCHAR) AS measure, 't' || CAST(s_nationkey % 10 AS VARCHAR) AS trap, CASE WHEN s_suppkey % 2 = 0 THEN 'filtered' ELSE 'plain' END AS half FROM supplier)"
+_QS = (
+    "qs AS (SELECT s_suppkey AS k, 'Q' || CAST(s_suppkey % 37 + 2 * (s_suppkey % 37 // 20) AS VARCHAR) AS qid, 'c' || CAST(s_nationkey % 6 AS VARCHAR) AS category, 'm' || CAST(s_suppkey % 6 AS VARCHAR) AS measure, 't' || CAST(s_nationkey % 10 AS VARCHAR) AS trap, CASE WHEN s_suppkey % 2 = 0 THEN 'filtered' ELSE 'plain' END AS half,"
+    " (s_suppkey % 2 = 0)::INT + (s_suppkey % 3 = 0)::INT + (s_suppkey % 5 = 0)::INT AS settled FROM supplier),"
+    " nums AS (SELECT DISTINCT CAST(substr(qid, 2) AS BIGINT) AS n FROM qs), marked AS (SELECT n, n - row_number() OVER (ORDER BY n) AS shift FROM nums)"
+)
 
 
 @query(
@@ -765,21 +800,31 @@ _QS = "qs AS (SELECT 'Q' || CAST(s_suppkey % 37 AS VARCHAR) AS qid, 'c' || CAST(
         " UNION ALL SELECT 'measure cap', measure, count(*) FROM qs WHERE half = 'filtered' GROUP BY measure HAVING count(*) > 6"
         " UNION ALL SELECT 'category minimum', category, count(*) FROM qs GROUP BY category HAVING count(*) < 5"
         " UNION ALL SELECT 'trap minimum', trap, count(*) FROM qs GROUP BY trap HAVING count(*) < 4"
-        " UNION ALL SELECT 'repeated id', qid, count(*) FROM qs GROUP BY qid HAVING count(*) > 1",
+        " UNION ALL SELECT 'repeated id', qid, count(*) FROM qs GROUP BY qid HAVING count(*) > 1"
+        " UNION ALL SELECT 'gap before id', 'Q' || CAST(min(n) AS VARCHAR), count(*) FROM marked GROUP BY shift HAVING min(n) > 1"
+        " UNION ALL SELECT 'settles fewer than two', qid, settled FROM qs WHERE settled < 2"
+        " UNION ALL SELECT 'pilot id', qid, count(*) FROM qs WHERE qid IN (SELECT 'Q' || CAST(n_nationkey * 3 AS VARCHAR) FROM nation) GROUP BY qid"
+        " UNION ALL SELECT 'pilot text', qid, count(*) FROM qs WHERE k % 11 = 0 AND k IN (SELECT n_nationkey * 11 FROM nation) GROUP BY qid",
     ),
 )
 def r5(spark, d):
     s = t.table(spark, d, "supplier")
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k = F.col("s_suppkey")
+    number = k % 37 + 2 * F.floor(k % 37 / 20)
+    swap = lambda n, name: F.when(k % n == 0, name)
     qs = s.select(
-        text("Q", F.col("s_suppkey") % 37).alias("qid"),
+        text("Q", number).alias("qid"),
         text("c", F.col("s_nationkey") % 6).alias("category"),
-        text("m", F.col("s_suppkey") % 6).alias("measure"),
+        text("m", k % 6).alias("measure"),
         text("t", F.col("s_nationkey") % 10).alias("trap"),
-        F.when(F.col("s_suppkey") % 2 == 0, "filtered").otherwise("plain").alias("half"),
+        F.when(k % 2 == 0, "filtered").otherwise("plain").alias("half"),
+        F.array_compact(F.array(swap(2, "care_month"), swap(3, "region_cust"), swap(5, "supplier"), F.lit("price_total"))).alias("ruled_out"),
+        text("How much is ", k).alias("text"),
     )
+    pilot = t.table(spark, d, "nation").select(text("Q", F.col("n_nationkey") * 3).alias("qid"), text("HOW MUCH IS ", F.col("n_nationkey") * 11).alias("text"))
     limits = {"per_half": 20, "max_per_measure": 6, "min_per_category": 5, "min_per_trap": 4}
-    return readings.balance_problems(qs, limits)
+    return readings.balance_problems(qs, limits, pilot)
 
 
 @query(
