@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.contracts import conform, schema_differences
 from colscope.functions.hashing import row_digest
 from colscope.operators.quality import set_difference
+from colscope.plans.stages import hadoop_path
+
+
+#: What a commit says: its number, the folder it publishes, the tables in it and their total order's columns.
+COMMIT = "number bigint, folder string, tables array<string>, sort_key array<string>"
+
+
+def commit(spark: SparkSession, path: str, folder: str, tables: Sequence[str], sort_key: Sequence[str] = ()) -> None:
+    """Publishes a written folder below ``path`` as its current version, by one row: readers see all of it or nothing."""
+    number = (last["number"] if (last := committed(spark, path)) else 0) + 1
+    row = spark.createDataFrame([(number, folder, list(tables), list(sort_key))], COMMIT)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def committed(spark: SparkSession, path: str) -> Row | None:
+    """The current version of what lies at ``path``: its last commit. A folder that no commit names isn't seen."""
+    log, fs = hadoop_path(spark, f"{path}/commits")
+    if not fs.exists(log):
+        return None
+    return spark.read.schema(COMMIT).parquet(f"{path}/commits").orderBy(F.desc("number"), F.desc("folder")).head()
 
 
 def write_artifact(df: DataFrame, ddl: str, sort_key: Sequence[str], path: str) -> None:
-    """Write a table in its contract's types, ordered by a total key across the files."""
-    conform(df, ddl).orderBy(*sort_key).write.mode("overwrite").parquet(path)
+    """Write a table in its contract's types, ordered by a total key across the files: all of it or nothing.
+
+    It goes into a folder of its own, which a commit makes the current version; an earlier one stays as it was.
+    """
+    folder = f"version-{uuid.uuid4().hex}"
+    conform(df, ddl).orderBy(*sort_key).write.parquet(f"{path}/{folder}/rows")
+    commit(df.sparkSession, path, folder, ["rows"], sort_key)
 
 
 def read_artifact(spark: SparkSession, ddl: str, path: str) -> DataFrame:
-    """Read a table back; a stored schema that differs from the contract fails."""
-    df = spark.read.parquet(path)
+    """Read the current version back; a stored schema that differs from the contract fails, in whichever file."""
+    current = committed(spark, path)
+    if current is None:
+        raise ValueError(f"{path}: nothing is committed")
+    df = spark.read.option("mergeSchema", True).parquet(f"{path}/{current['folder']}/rows")
     differing = schema_differences(df.schema, ddl)
     if differing:
         raise ValueError(f"{path}: stored schema differs from its contract: {differing}")
     return df
 
 
+def order_breaks(spark: SparkSession, path: str) -> DataFrame:
+    """Where the current version's rows leave their total order: (file, row), repeats of a key included.
+
+    A file's rows are compared with their predecessors, one file to a window; files, in the order of their names,
+    by their first and last keys, one row a file.
+    """
+    current = committed(spark, path)
+    rows = spark.read.parquet(f"{path}/{current['folder']}/rows").select(
+        F.struct(*current["sort_key"]).alias("k"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    inside = rows.withColumn("before", F.lag("k").over(Window.partitionBy("file").orderBy("row"))).where("before >= k")
+    ends = rows.groupBy("file").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    across = ends.withColumn("before", F.lag("last").over(Window.orderBy("file"))).where("before >= first")
+    return inside.select("file", "row").unionByName(across.select("file", F.lit(0).cast("bigint").alias("row")))
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """One row: a sha256 of a table's rows, whatever their order or files.
 
@@ -82,10 +127,21 @@ def missing_tables(wanted: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def export_marts(spark: SparkSession, wanted: Sequence[str], out_dir: str) -> None:
-    """Copy exactly the wanted tables, failing before anything is written if one is missing."""
+    """Copy exactly the wanted tables, all or none: one that is missing fails before anything is written, and the copies
+    become the current version together, by one commit. Tables of earlier versions that aren't wanted any more go."""
     present = {t.name.upper() for t in spark.catalog.listTables()}
     lacking = sorted(set(wanted) - present)
     if lacking:
         raise ValueError(f"missing mart tables: {lacking}")
+    folder = f"version-{uuid.uuid4().hex}"
     for table in wanted:
-        spark.table(table).write.mode("overwrite").parquet(f"{out_dir}/{table.lower()}")
+        spark.table(table).write.parquet(f"{out_dir}/{folder}/{table.lower()}")
+    commit(spark, out_dir, folder, [table.lower() for table in wanted])
+
+
+def exported(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The tables of the current version of an export, by name."""
+    current = committed(spark, out_dir)
+    if current is None:
+        return {}
+    return {name: spark.read.parquet(f"{out_dir}/{current['folder']}/{name}") for name in current["tables"]}

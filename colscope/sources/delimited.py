@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from colscope.functions.guards import ContractViolation, require_empty
 from colscope.operators.quality import null_counts
-from colscope.plans.stages import staged
+from colscope.plans.stages import hadoop_path, staged
 from colscope.sources.file_facts import file_facts
 
 LEDGER = "file_name string, sha256 string, rows bigint, ddl_sha256 string, folder string"
@@ -55,12 +55,12 @@ def write_files(lines: DataFrame, header: DataFrame, order: Sequence[str], folde
     sorted_ = marked.repartition("file").sortWithinPartitions("file", "_part", *order)
     writing = f"{folder}/writing-{uuid.uuid4().hex}"
     sorted_.select("file", "value").write.partitionBy("file").option("compression", "gzip" if gzip else "none").text(writing)
-    top, fs = _hadoop(spark, writing)
+    top, fs = hadoop_path(spark, writing)
     paths = []
-    for entry in fs.globStatus(_hadoop(spark, f"{writing}/file=*/part-*")[0]):
+    for entry in fs.globStatus(hadoop_path(spark, f"{writing}/file=*/part-*")[0]):
         name = entry.getPath().getParent().getName().removeprefix("file=")
         target = f"{folder}/{name}"
-        if not fs.rename(entry.getPath(), _hadoop(spark, target)[0]):
+        if not fs.rename(entry.getPath(), hadoop_path(spark, target)[0]):
             raise OSError(f"{target} can't be written")
         paths.append(target)
     fs.delete(top, True)
@@ -225,7 +225,7 @@ def load(
         if rows != (lines := sum(n for _, n in todo.values())):
             raise ContractViolation(f"parsed {rows} rows of {lines} lines")
     except Exception:
-        folder, fs = _hadoop(spark, f"{raw_dir}/{part}")
+        folder, fs = hadoop_path(spark, f"{raw_dir}/{part}")
         fs.delete(folder, True)
         raise
     entries = new.select("file_name", "sha256", "rows", F.lit(ddl_sha).alias("ddl_sha256"), F.lit(part).alias("folder"))
@@ -248,14 +248,9 @@ def _ddl_sha(ddl: str) -> str:
     return hashlib.sha256(ddl.encode()).hexdigest()
 
 
-def _hadoop(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:
     """The ledger, empty before the first load."""
-    path, fs = _hadoop(spark, ledger_dir)
+    path, fs = hadoop_path(spark, ledger_dir)
     if not fs.exists(path):
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(ledger_dir)

@@ -16,52 +16,67 @@ UTC_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|\+00:00)$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The export's lines: (file, line, value), ``line`` counting from 1 within a file.
-
-    A task reads a block of a file in order, so a row's place in its block is its distance
-    from the block's first row id; the lines of the blocks before it come from one count
-    per block. No file's lines are gathered to number them.
-    """
-    rows = spark.read.text(path).select(
+    """The export's lines with their place: (file, block_start, place, value); ``numbered`` makes it a line number."""
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("place"),
         "value",
-        F.monotonically_increasing_id().alias("_id"),
     )
+
+
+def numbered(some: DataFrame, lines: DataFrame) -> DataFrame:
+    """``some`` of the export's lines, without their text, with ``line``, counting from 1 within a file.
+
+    A task reads a block of a file in order, so a row's place in its block is its distance
+    from the block's first row; the lines of the blocks before it come from one count
+    per block. Only the rows asked for meet the blocks.
+    """
     before = (
         Window.partitionBy("file")
         .orderBy("block_start")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     blocks = (
-        rows.groupBy("file", "block_start")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        lines.groupBy("file", "block_start")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("_first"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     )
-    return rows.join(blocks, ["file", "block_start"]).select(
-        "file", (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias("line"), "value"
+    return (
+        some.join(F.broadcast(blocks), ["file", "block_start"])
+        .withColumn("line", F.col("_offset") + F.col("place") - F.col("_first") + 1)
+        .drop("_n", "_first", "_offset", "block_start", "place")
     )
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Each line's fields, and the first field that breaks the contract (``bad_field``).
 
-    Values are read as text first, so a wrong type or an extra field shows instead of
-    turning null. The line's text leaves with the bad rows.
+    A line is parsed once, into a variant: inside brackets, so that anything after the object shows. Fields keep
+    their JSON types, so a number is no text, and an extra field shows instead of vanishing. A line that repeats a
+    field is no object. The line's text leaves with the bad rows.
     """
-    keys = F.json_object_keys("value")
-    cell = {f: F.get_json_object("value", f"$.{f}") for f in FIELDS}
-    with_cells = lines.withColumn("_keys", keys).withColumns(cell)
     c = F.col
+    whole = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).try_cast("array<map<string,variant>>")
+    # A generator, which the optimizer doesn't put in for each of the fields that read it.
+    rows = lines.select("*", F.explode_outer(F.array(whole)).alias("_all"))
+    rows = rows.withColumn("_row", F.when(F.size("_all") == 1, F.get("_all", F.lit(0)))).drop("_all")
+    field = lambda f: F.try_element_at("_row", F.lit(f))
+    text = {f: F.when(F.schema_of_variant(field(f)) == "STRING", F.try_variant_get(field(f), "$", "string")) for f in FIELDS}
+    with_cells = rows.withColumns(text)
 
     def unless(ok: Column, name: str) -> Column:
         return F.when(~F.coalesce(ok, F.lit(False)), name)
 
-    extra = F.filter("_keys", lambda k: ~k.isin(*FIELDS))
-    missing = F.filter(F.lit(FIELDS), lambda k: ~F.array_contains("_keys", k))
+    def empty(f: str) -> Column:
+        return F.coalesce(F.schema_of_variant(field(f)) == "VOID", F.lit(False))
+
+    keys = F.map_keys("_row")
+    extra = F.filter(keys, lambda k: ~k.isin(*FIELDS))
+    missing = F.filter(F.lit(FIELDS), lambda k: ~F.array_contains(keys, k))
     bad = F.coalesce(
-        F.when(c("_keys").isNull(), "(not an object)"),
-        F.get(extra, F.lit(0)),
+        F.when(c("_row").isNull(), "(not an object)"),
+        F.get(F.array_sort(extra), F.lit(0)),
         F.get(missing, F.lit(0)),
         *[
             unless(F.length(c(f)) > 0, f)
@@ -73,17 +88,18 @@ def parsed(lines: DataFrame) -> DataFrame:
             "START_TIME",
         ),
         unless(c("EXECUTION_STATUS").isin(*STATUSES), "EXECUTION_STATUS"),
+        unless(empty("QUERY_TAG") | c("QUERY_TAG").isNotNull(), "QUERY_TAG"),
         *[
-            unless(c(f).isNull() | c(f).rlike(IDENTIFIER), f)
+            unless(empty(f) | c(f).rlike(IDENTIFIER), f)
             for f in ("DATABASE_NAME", "SCHEMA_NAME")
         ],
     )
-    return with_cells.withColumn("bad_field", bad)
+    return with_cells.withColumn("bad_field", bad).drop("_row")
 
 
 def rejects(rows: DataFrame) -> DataFrame:
     """The bad lines by place and field, never their text."""
-    return rows.where(F.col("bad_field").isNotNull()).drop("value", "_keys", *FIELDS)
+    return rows.where(F.col("bad_field").isNotNull()).drop("value", *FIELDS)
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -101,6 +117,7 @@ def accepted(rows: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An export's history rows and its reject table."""
-    rows = parsed(read_lines(spark, path))
-    return accepted(rows), rejects(rows)
+    """An export's history rows and its reject table (file, line, bad_field)."""
+    lines = read_lines(spark, path)
+    rows = parsed(lines)
+    return accepted(rows), numbered(rejects(rows), lines.drop("value"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRANSCRIPT = (
-    "run_id string, qid string, repetition bigint, failed_calls bigint, "
-    "messages array<struct<role:string,content:string>>, tool_calls bigint, final_sql string, "
-    "outcome string, error_cause string, error_detail string, result_rows bigint"
-)
-BLOCKS = (
-    "array<struct<type:string,id:string,name:string,input:map<string,string>,"
-    "tool_use_id:string,content:string,is_error:boolean,text:string>>"
-)
+#: A transcript's fields; a message's content, a text or a list of blocks, stays a variant.
+TRANSCRIPT = {
+    "run_id": "string", "qid": "string", "repetition": "bigint", "failed_calls": "bigint",
+    "messages": "array<struct<role:string,content:variant>>", "tool_calls": "bigint", "final_sql": "string",
+    "outcome": "string", "error_cause": "string", "error_detail": "string", "result_rows": "bigint",
+}
 CALL_LOG = (
     "run_id string, stage string, item string, event string, duration_ms double, model string, "
     "cache string, input_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, "
@@ -24,14 +21,21 @@ CALL_LOG = (
 QUERY_TOOL = "run_sql"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per transcript. A message's content, text or blocks, is kept as JSON text."""
-    return spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path)
+def read_transcripts(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """One row per transcript: a file each, or, if not ``whole_files``, a line each."""
+    return parse_transcripts(spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "text"))
 
 
 def parse_transcripts(documents: DataFrame) -> DataFrame:
-    """Transcripts from a text column, as the files hold them."""
-    return documents.select(F.from_json("text", TRANSCRIPT).alias("t")).select("t.*")
+    """Transcripts from a text column. A document is parsed once, into a variant; one that is no JSON gives nulls."""
+    # A generator, which the optimizer doesn't put in for each of the fields that read it.
+    parsed = documents.select(F.explode_outer(F.array(F.try_parse_json("text"))).alias("_t"))
+    return parsed.select(*[F.try_variant_get("_t", f"$.{f}", kind).alias(f) for f, kind in TRANSCRIPT.items()])
+
+
+def _asked(content: Column) -> Column:
+    """A message's text; blocks as JSON."""
+    return F.coalesce(F.try_variant_get(content, "$", "string"), F.to_json(content))
 
 
 def runs(transcripts: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def runs(transcripts: DataFrame) -> DataFrame:
         "tool_calls",
         "final_sql",
         "result_rows",
-        F.get("messages", F.lit(0))["content"].alias("asked"),
+        _asked(F.get("messages", F.lit(0))["content"]).alias("asked"),
     )
 
 
@@ -60,20 +64,19 @@ def tool_uses(transcripts: DataFrame) -> DataFrame:
         "qid",
         "repetition",
         "message_no",
-        # Content that is a plain text parses to null blocks and drops out.
-        F.posexplode(F.from_json("message.content", BLOCKS)).alias("block_no", "b"),
-    ).where(F.col("b.type") == "tool_use")
+        # Content that is a plain text is no array and drops out.
+        F.posexplode(F.try_variant_get("message.content", "$", "array<variant>")).alias("block_no", "b"),
+    ).where(F.try_variant_get("b", "$.type", "string") == "tool_use")
+    tool = F.try_variant_get("b", "$.name", "string")
     return blocks.select(
         "run_id",
         "qid",
         "repetition",
         "message_no",
         "block_no",
-        F.col("b.id").alias("tool_use_id"),
-        F.col("b.name").alias("tool"),
-        F.when(
-            F.col("b.name") == QUERY_TOOL, F.try_element_at("b.input", F.lit("sql"))
-        ).alias("sql"),
+        F.try_variant_get("b", "$.id", "string").alias("tool_use_id"),
+        tool.alias("tool"),
+        F.when(tool == QUERY_TOOL, F.try_variant_get("b", "$.input.sql", "string")).alias("sql"),
     )
 
 

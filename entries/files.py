@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.contracts import COLUMN_USAGE, conform, schema_differences
+from colscope.contracts import COLUMN_USAGE
+from colscope.functions.guards import require_empty
 from colscope.operators import lineage, quality, snapshot, tokens
 from colscope.plans.stages import shared_folder, staged
 from colscope.sources import artifacts, catalog, delimited, dictionary, transcripts
@@ -403,10 +406,11 @@ def s11(spark, d):
         F.lit(1).alias("questions"),
         F.col("low").alias("runs"),
     )
-    typed = conform(usage, COLUMN_USAGE)
-    if schema_differences(typed.schema, COLUMN_USAGE):
-        raise ValueError("the artifact's schema differs from its contract")
-    return staged(typed.orderBy("fqn"), "column_usage")
+    path = f"{shared_folder(spark)}/column-usage-{uuid.uuid4().hex}"
+    artifacts.write_artifact(usage.where("executions_agent > 1"), COLUMN_USAGE, ["fqn"], path)
+    artifacts.write_artifact(usage, COLUMN_USAGE, ["fqn"], path)
+    require_empty(artifacts.order_breaks(spark, path), "the artifact isn't in its total order")
+    return artifacts.read_artifact(spark, COLUMN_USAGE, path)
 
 
 @query(
@@ -457,36 +461,56 @@ def s16(spark, d):
     return artifacts.missing_tables(c, present.select("table_name").unionByName(stale))
 
 
+@query(
+    "s16_exported_marts",
+    "SELECT 'mart_nation' AS table_name, count(*) AS rows, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation UNION ALL SELECT 'mart_customer', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 3 = 0",
+)
+def s16b(spark, d):
+    """Two exports of the same marts, the second with fewer tables: the current version holds those alone."""
+    path = f"{shared_folder(spark)}/marts-{uuid.uuid4().hex}"
+    customers = t.table(spark, d, "customer")
+    t.table(spark, d, "nation").createOrReplaceTempView("mart_nation")
+    t.table(spark, d, "region").createOrReplaceTempView("mart_region")
+    customers.createOrReplaceTempView("mart_customer")
+    artifacts.export_marts(spark, ["MART_NATION", "MART_REGION", "MART_CUSTOMER"], path)
+    customers.where("c_custkey % 3 = 0").createOrReplaceTempView("mart_customer")
+    artifacts.export_marts(spark, ["MART_NATION", "MART_CUSTOMER"], path)
+    counted = lambda name, df: df.agg(F.count(F.lit(1)).alias("rows"), F.sum(df.columns[0]).cast("bigint").alias("keys")).select(F.lit(name).alias("table_name"), "rows", "keys")
+    return reduce(DataFrame.unionByName, [counted(n, df) for n, df in artifacts.exported(spark, path).items()])
+
+
 # Transcripts: a document per event of the history, its query as a tool call.
 
 
 @t.memo
 def transcript_docs(spark, d):
+    """The documents, written a line each and read back."""
     h = t.history(spark, d).where("query_tag LIKE 'agent:run%'")
     parts = F.split("query_tag", ":")
-    call = F.to_json(
-        F.array(
-            F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,string>").alias("input")),
-            F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), "query_id").alias("id"), F.lit("run_sql").alias("name"), F.create_map(F.lit("sql"), F.col("query_text")).alias("input")),
-            F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("d"), "query_id").alias("id"), F.lit("describe").alias("name"), F.create_map(F.lit("table"), F.lit("T")).alias("input")),
-        )
+    nothing = lambda kind: F.lit(None).cast(kind)
+    block = lambda kind, id_, name, value: F.struct(F.lit(kind).alias("type"), id_.alias("id"), name.alias("name"), value.alias("input"))
+    call = F.array(
+        block("text", nothing("string"), nothing("string"), nothing("map<string,string>")),
+        block("tool_use", F.concat(F.lit("t"), "query_id"), F.lit("run_sql"), F.create_map(F.lit("sql"), F.col("query_text"))),
+        block("tool_use", F.concat(F.lit("d"), "query_id"), F.lit("describe"), F.create_map(F.lit("table"), F.lit("T"))),
     )
+    question = F.concat(F.lit('"question '), F.get(parts, F.lit(2)), F.lit('"'))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), F.parse_json(content).alias("content"))
     failed = F.col("execution_status") == "FAIL"
     doc = F.struct(
         F.get(parts, F.lit(1)).alias("run_id"),
         F.get(parts, F.lit(2)).alias("qid"),
         F.col("query_id").cast("bigint").alias("repetition"),
         (F.col("query_id").cast("bigint") % 3).alias("failed_calls"),
-        F.array(
-            F.struct(F.lit("user").alias("role"), F.concat(F.lit("question "), F.get(parts, F.lit(2))).alias("content")),
-            F.struct(F.lit("assistant").alias("role"), call.alias("content")),
-        ).alias("messages"),
+        F.array(message("user", question), message("assistant", F.to_json(call))).alias("messages"),
         F.lit(2).alias("tool_calls"),
         F.when(~failed, F.col("query_text")).alias("final_sql"),
         F.when(failed, "error").otherwise("result").alias("outcome"),
         F.when(failed, "sql").alias("error_cause"),
     )
-    return h.select(F.to_json(doc).alias("text"))
+    path = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    h.select(F.to_json(doc)).write.text(path)
+    return transcripts.read_transcripts(spark, path, whole_files=False)
 
 
 _TAGGED = "tagged AS (SELECT * FROM hist WHERE run_id IS NOT NULL)"
@@ -500,7 +524,7 @@ _TAGGED = "tagged AS (SELECT * FROM hist WHERE run_id IS NOT NULL)"
     ),
 )
 def s14(spark, d):
-    runs = transcripts.runs(transcripts.parse_transcripts(transcript_docs(spark, d)))
+    runs = transcripts.runs(transcript_docs(spark, d))
     return runs.select("run_id", "qid", "repetition", "outcome", "error_cause", "failed_calls", "asked")
 
 
@@ -513,7 +537,7 @@ def s14(spark, d):
     ),
 )
 def s14b(spark, d):
-    uses = transcripts.tool_uses(transcripts.parse_transcripts(transcript_docs(spark, d)))
+    uses = transcripts.tool_uses(transcript_docs(spark, d))
     return uses.withColumn("has_sql", F.col("sql").isNotNull()).drop("sql")
 
 
@@ -526,7 +550,7 @@ def s14b(spark, d):
     ),
 )
 def l11(spark, d):
-    docs_ = transcripts.parse_transcripts(transcript_docs(spark, d))
+    docs_ = transcript_docs(spark, d)
     h = transcripts.as_history(docs_, "2024-01-30 00:00:00", "AGENT_READER", t.DATABASE, t.SCHEMA)
     rows = snapshot.classified(h, t.actors(spark), t.AS_OF, t.WINDOW_DAYS)
     kept = snapshot.kept_records(rows)
@@ -561,7 +585,9 @@ def s15(spark, d):
             F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("input_tokens"),
         )
     )
-    log = transcripts.parse_call_log(e.select(line.alias("value")))
+    path = f"{shared_folder(spark)}/call-log-{uuid.uuid4().hex}"
+    e.select(line).write.text(path)
+    log = transcripts.read_call_log(spark, path)
     return log.groupBy("stage", "run_id").agg(
         F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens")
     )

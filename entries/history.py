@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colscope import contracts
@@ -9,7 +11,7 @@ from colscope.contracts import DROP_REASONS, REFERENCE_KINDS
 from colscope.functions.sqltext import normalize, normalize_once
 from colscope.operators import experiment, lineage, ranking, snapshot, tokens, usage
 from colscope.plans import gaps, report
-from colscope.plans.stages import staged
+from colscope.plans.stages import shared_folder, staged
 from colscope.sources import history as history_source
 from entries import tables as t
 from entries.tables import with_sql
@@ -103,9 +105,12 @@ def s5(spark, d):
         ),
         {"ignoreNullFields": "false"},
     )
-    rows = history_source.parsed(h.select(line.alias("value")))
-    return rows.groupBy("bad_field").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("QUERY_ID").alias("ids")
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    h.select(line).write.text(path)
+    good, bad = history_source.read_history(spark, path)
+    kept = good.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("ids")).select(F.lit(None).cast("string").alias("bad_field"), "n", "ids")
+    return kept.unionByName(
+        bad.groupBy("bad_field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file", "line").alias("ids"))
     )
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colscope.functions.guards import ContractViolation
-from colscope.sources import artifacts, delimited, file_facts, history
+from colscope.sources import artifacts, delimited, file_facts, history, transcripts
 
 DDL = "A int, B decimal(18,2), C int, FILLER string"
 ROW = {
@@ -31,6 +31,34 @@ def test_history_rejects_name_line_and_field(spark, tmp_path):
     assert "value" not in bad.columns
 
 
+def test_history_lines_are_strict(spark, tmp_path):
+    good = json.dumps(ROW)
+    lines = [good, good + " x", good + good, good + "," + good, "[]", "", json.dumps({**ROW, "QUERY_ID": 7}), json.dumps({**ROW, "QUERY_TAG": 1}), good[:-1] + ', "QUERY_ID": "2"}', json.dumps({**ROW, "QUERY_TAG": None}), json.dumps({**ROW, "ROLE_NAME": ""})]
+    (tmp_path / "h.jsonl").write_text("\n".join(lines) + "\n")
+    rows, bad = history.read_history(spark, str(tmp_path / "h.jsonl"))
+    assert rows.count() == 2
+    none = "(not an object)"
+    assert sorted((r["line"], r["bad_field"]) for r in bad.collect()) == [
+        (2, none), (3, none), (4, none), (5, none), (6, none), (7, "QUERY_ID"), (8, "QUERY_TAG"), (9, none), (11, "ROLE_NAME"),
+    ]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1
+
+
+def test_transcripts_of_whole_files(spark, tmp_path):
+    for i, content in enumerate(["plain", [{"type": "tool_use", "id": "a", "name": "run_sql", "input": {"sql": "select 1"}}, {"type": "text", "text": "x"}, {"type": "tool_use", "id": "b", "name": "other", "input": {"sql": "no"}}]]):
+        doc = {"run_id": "r", "qid": f"q{i}", "repetition": i, "messages": [{"role": "user", "content": "ask"}, {"role": "assistant", "content": content}], "outcome": "result"}
+        (tmp_path / f"{i}.json").write_text(json.dumps(doc, indent=2))
+    (tmp_path / "bad.json").write_text("{")
+    docs = transcripts.read_transcripts(spark, str(tmp_path))
+    assert docs._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert sorted((r["qid"] or "", r["asked"] or "") for r in transcripts.runs(docs).collect()) == [("", ""), ("q0", "ask"), ("q1", "ask")]
+    uses = transcripts.tool_uses(docs).collect()
+    assert [(r["qid"], r["message_no"], r["block_no"], r["tool_use_id"], r["tool"], r["sql"]) for r in uses] == [
+        ("q1", 1, 0, "a", "run_sql", "select 1"), ("q1", 1, 2, "b", "other", None),
+    ]
+
+
 def test_load_is_idempotent(spark, tmp_path):
     path = tmp_path / "m1.csv"
     path.write_text("A;B;C;\n1;.61;;\n2;1.50;3;\n")
@@ -151,3 +179,38 @@ def test_content_hash_ignores_order_and_sees_every_change(spark):
     hashed = lambda r, n: artifacts.content_hash(spark.createDataFrame(r, "a int, b string").repartition(n)).first()[0]
     assert hashed(rows, 3) == hashed(rows[::-1], 5)
     assert len({hashed(rows, 2), hashed(rows[:-1], 2), hashed([*rows[:50], (50, "x"), *rows[51:]], 2)}) == 3
+
+
+def test_an_artifact_is_its_last_commit(spark, tmp_path):
+    path, ddl = str(tmp_path / "a"), "k bigint, v string"
+    with pytest.raises(ValueError, match="nothing is committed"):
+        artifacts.read_artifact(spark, ddl, path)
+    rows = lambda n: spark.range(n).select(F.col("id").alias("k"), F.lit("x").alias("v"), F.lit(1).alias("more")).repartition(3)
+    artifacts.write_artifact(rows(50), ddl, ["k"], path)
+    # a write that broke off: rows without a commit
+    rows(9).write.parquet(f"{path}/version-broken/rows")
+    got = artifacts.read_artifact(spark, ddl, path)
+    assert got.columns == ["k", "v"] and got.count() == 50
+    assert artifacts.order_breaks(spark, path).count() == 0
+    artifacts.write_artifact(rows(7).unionAll(rows(3)), ddl, ["k"], path)
+    assert artifacts.read_artifact(spark, ddl, path).count() == 10
+    assert artifacts.order_breaks(spark, path).count() == 3  # keys that repeat are no total order
+    rows(5).select(F.col("k").cast("int"), "v").write.parquet(f"{path}/version-other/rows")
+    artifacts.commit(spark, path, "version-other", ["rows"], ["k"])
+    with pytest.raises(ValueError, match="differs from its contract"):
+        artifacts.read_artifact(spark, ddl, path)
+
+
+def test_an_export_is_whole_or_not_seen(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert artifacts.exported(spark, path) == {}
+    for name, n in (("one", 3), ("two", 4)):
+        spark.range(n).createOrReplaceTempView(name)
+    artifacts.export_marts(spark, ["ONE", "TWO"], path)
+    with pytest.raises(ValueError, match="THREE"):
+        artifacts.export_marts(spark, ["ONE", "THREE"], path)
+    spark.range(5).select(F.expr("if(id = 4, raise_error('broken'), id)").alias("id")).createOrReplaceTempView("two")
+    spark.range(9).createOrReplaceTempView("one")
+    with pytest.raises(Exception, match="broken"):
+        artifacts.export_marts(spark, ["ONE", "TWO"], path)
+    assert {n: df.count() for n, df in artifacts.exported(spark, path).items()} == {"one": 3, "two": 4}
