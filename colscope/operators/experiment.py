@@ -290,6 +290,14 @@ def arm_texts(
     return catalog.select("fqn").join(both, "fqn", "left")
 
 
+def ceiling_texts(catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """What the ceiling arm's readers see: every column with its dictionary's text, null where that has none.
+
+    ``dictionary`` (column_name, text), a row per name; columns of one name share it.
+    """
+    return catalog.select("fqn", "column_name").join(dictionary.select("column_name", "text"), "column_name", "left").select("fqn", "text")
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: the sizes of two sets and how many they share, by one grouping."""
     tagged = a.select(key, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(

@@ -47,3 +47,23 @@ def gap_lines(ranked: DataFrame) -> DataFrame:
         "executions",
         F.format_string("%.2f", "failure_rate").alias("failure_rate"),
     )
+
+
+def lines(counts: DataFrame, gates: DataFrame, coverage: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The whole report: (section, item, line), a line's cells parted by bars.
+
+    ``counts`` (stage, name, value) of all stages, ``gates`` (stage, gate, value, threshold, passed), the coverage row and
+    the ranked gaps, each shown as recorded, so nothing a stage counted is left out.
+    """
+    shown = lambda section, item, *cells: [F.lit(section).alias("section"), item.alias("item"), F.concat_ws(" | ", *cells).alias("line")]
+    text = lambda c: F.col(c).cast("string")
+    shares, gaps = coverage_shares(coverage), gap_lines(ranked)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            shares.select(*shown("coverage", F.col("unit"), text("documented"), text("total"), F.col("share"))),
+            gates.select(*shown("gates", F.concat_ws(".", "stage", "gate"), F.round("value", 6).cast("string"), text("threshold"), text("passed"))),
+            counts.select(*shown("counts", F.concat_ws(".", "stage", "name"), text("value"))),
+            gaps.select(*shown("gaps", text("rank"), F.col("fqn"), F.col("score"), text("executions"), F.col("failure_rate"))),
+        ],
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colscope.contracts import COLUMN_USAGE
 from colscope.functions.guards import require_empty
-from colscope.operators import lineage, quality, snapshot, tokens
+from colscope.operators import experiment, lineage, quality, snapshot, tokens
 from colscope.plans.stages import shared_folder, staged
 from colscope.sources import artifacts, catalog, delimited, dictionary, transcripts
 from colscope.sources.file_facts import file_facts
@@ -389,6 +389,11 @@ def d9(spark, d):
     return dictionary.undocumented(docs(spark, d))
 
 
+@query("u7_ceiling_texts", with_sql(f"{t.CATALOG_SQL}, {_DOCS}", "SELECT fqn, text FROM cat JOIN docs USING (column_name)"))
+def u7b(spark, d):
+    return experiment.ceiling_texts(t.catalog(spark, d), docs(spark, d))
+
+
 @query(
     "s11_typed_artifact",
     with_sql(

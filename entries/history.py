@@ -616,6 +616,27 @@ def s17(spark, d):
     return report.all_counts({"coverage": usage.coverage(executions(spark, d))})
 
 
+def _of(name):
+    return f"({SQL[name]})"
+
+
+@query(
+    "s17_report_lines",
+    "SELECT 'coverage' AS section, unit AS item, documented || ' | ' || total || ' | ' || share AS line FROM {shares}"
+    " UNION ALL SELECT 'gates', 'snapshot.' || gate, round(value, 6) || ' | ' || threshold || ' | ' || passed FROM {gates}"
+    " UNION ALL SELECT 'counts', 'snapshot.' || name, CAST(value AS VARCHAR) FROM (UNPIVOT {a6} ON COLUMNS(*) INTO NAME name VALUE value)"
+    " UNION ALL SELECT 'counts', 'resolve.' || name, CAST(value AS VARCHAR) FROM (UNPIVOT {a11} ON COLUMNS(*) INTO NAME name VALUE value)"
+    " UNION ALL SELECT 'counts', 'coverage.' || name, CAST(value AS VARCHAR) FROM (UNPIVOT {a10} ON COLUMNS(*) INTO NAME name VALUE value)"
+    " UNION ALL SELECT 'gaps', CAST(rank AS VARCHAR), fqn || ' | ' || printf('%.4f', score) || ' | ' || executions || ' | ' || printf('%.2f', failure_rate) FROM {w3}",
+)
+def s17c(spark, d):
+    counters = snapshot.counters(classified(spark, d))
+    coverage = usage.coverage(executions(spark, d))
+    counts = report.all_counts({"snapshot": counters, "resolve": QUERIES["a11_reference_counts"](spark, d), "coverage": coverage})
+    gates = snapshot.gates(counters, 0.9, 1).withColumn("stage", F.lit("snapshot"))
+    return report.lines(counts, gates, coverage, ranked(spark, d))
+
+
 @query(
     "s17_report_shares",
     with_sql(
@@ -734,3 +755,8 @@ def a22(spark, d):
     return ranking.soft_failure_rate(attributions, used(spark, d)).withColumns(
         {"soft_failures": F.round("soft_failures", 10), "failure_rate": F.round("failure_rate", 10)}
     )
+
+
+SQL["s17_report_lines"] = SQL["s17_report_lines"].format(
+    shares=_of("s17_report_shares"), gates=_of("a7_quality_gates"), a6=_of("a6_snapshot_counters"), a11=_of("a11_reference_counts"), a10=_of("a10_coverage"), w3=_of("w3_ranked_gaps")
+)

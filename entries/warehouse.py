@@ -781,6 +781,59 @@ def d11(spark, d):
     return contracts.violations(usage, contracts.column_usage_rules(), "fqn")
 
 
+_PARTS = "parts AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey % 7 AS m, p_size % 4 AS w FROM part)"
+_CASES = lambda **rules: " UNION ALL ".join(f"SELECT k AS row_key, '{name}' AS rule FROM parts WHERE {when}" for name, when in rules.items())
+
+
+@query(
+    "d11_attribution_violations",
+    with_sql(_PARTS, _CASES(maps_or_failure="m = 1 OR m = 2", cause_covers_labels="m = 3", cause_sums_to_one="m = 4", column_sums_to_one="m = 5 OR m = 6")),
+)
+def d11b(spark, d):
+    """Attributions: both maps and a failure (1), one map alone (2), a cause left out (3), sums other than one (4, 5), no column (6)."""
+    m = F.col("p_partkey") % 7
+    each = 1.0 / len(contracts.CAUSES)
+    whole = F.create_map(*[x for c in contracts.CAUSES for x in (F.lit(c), F.lit(each))])
+    short = F.create_map(*[x for c in contracts.CAUSES[1:] for x in (F.lit(c), F.lit(1.0 / (len(contracts.CAUSES) - 1)))])
+    high = F.create_map(*[x for c in contracts.CAUSES for x in (F.lit(c), F.lit(each + 0.1))])
+    column = F.create_map(F.col("p_name"), F.lit(0.25), F.concat("p_name", F.lit(" too")), F.lit(0.75))
+    rows = t.table(spark, d, "part").select(
+        "p_partkey",
+        F.when(m == 3, short).when(m == 4, high).otherwise(whole).alias("cause"),
+        F.when(m == 5, F.create_map(F.col("p_name"), F.lit(0.5))).when(m == 6, F.create_map().cast("map<string,double>")).when(m != 2, column).alias("column"),
+        F.when(m == 1, "judge failed").alias("failure"),
+    )
+    return contracts.violations(rows, contracts.attribution_rules(), "p_partkey")
+
+
+@query(
+    "d11_evidence_violations",
+    with_sql(
+        _PARTS,
+        _CASES(
+            restricted_has_no_values="w = 0", sensitivity_known="w = 3", top_values_at_least_k="m = 1", top_values_distinct="m = 2", top_values_ordered="m = 3",
+            min_not_above_max="m = 4", null_rate_is_share="m = 5",
+        ),
+    ),
+)
+def d11c(spark, d):
+    """Evidence with profiles: values shown though restricted, an unknown sensitivity, and each of the profile's rules broken."""
+    m = F.col("p_partkey") % 7
+    top = lambda value, rows: F.struct(F.lit(value).alias("value"), F.lit(rows).cast("bigint").alias("rows"))
+    tops = F.when(m == 1, F.array(top("a", 9), top("b", 2))).when(m == 2, F.array(top("a", 9), top("a", 9))).when(m == 3, F.array(top("b", 9), top("a", 9)))
+    profile = F.struct(
+        F.lit(5).alias("k"),
+        F.when(m == 5, 1.5).otherwise(0.25).alias("null_rate"),
+        F.when(m == 4, 3.0).otherwise(1.0).alias("min"),
+        F.when(m == 6, None).otherwise(2.0).alias("max"),
+        tops.otherwise(F.array(top("a", 9), top("b", 9))).alias("top_values"),
+    )
+    w = F.col("p_size") % 4
+    sensitivity = F.when(w == 0, "restricted").when(w == 1, "public").when(w == 2, "internal").otherwise("secret")
+    rows = t.table(spark, d, "part").select("p_partkey", sensitivity.alias("sensitivity"), profile.alias("profile"))
+    return contracts.violations(rows, contracts.evidence_rules(), "p_partkey")
+
+
 @query(
     "d13_identifier_uniqueness",
     with_sql(t.CATALOG_SQL, "SELECT column_name, count(*) AS occurrences FROM cat GROUP BY 1 HAVING count(*) > 1"),
