@@ -19,14 +19,16 @@ def field_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Per text field: empties, non-numbers, widest integer part and widest scale."""
     def measures(name: str) -> list[Column]:
         c = F.col(name)
-        unsigned = F.regexp_replace(c, "^-+", "")
+        unsigned = F.ltrim(c, F.lit("-"))
+        dot, own_dot = F.instr(unsigned, "."), F.instr(c, ".")
+        rest = F.substr(c, own_dot + 1)
+        more = F.instr(rest, ".")
         return [
             F.count_if(c.isNull()).alias(f"{name}|empty"),
             F.count_if(~c.rlike(PLAIN_NUMBER)).alias(f"{name}|non_numeric"),
-            F.coalesce(
-                F.max(F.length(F.split_part(unsigned, F.lit("."), F.lit(1)))), F.lit(0)
-            ).cast("bigint").alias(f"{name}|integer_digits"),
-            F.coalesce(F.max(F.length(F.split_part(c, F.lit("."), F.lit(2)))), F.lit(0))
+            F.coalesce(F.max(F.when(dot > 0, dot - 1).otherwise(F.length(unsigned))), F.lit(0)).cast("bigint").alias(f"{name}|integer_digits"),
+            # what stands between the first point and the next one, if there is one
+            F.coalesce(F.max(F.when(own_dot == 0, 0).when(more > 0, more - 1).otherwise(F.length(rest))), F.lit(0))
             .cast("bigint")
             .alias(f"{name}|scale"),
         ]

@@ -193,10 +193,12 @@ def j1(spark, d):
 )
 def j2(spark, d):
     nation = t.table(spark, d, "nation")
-    # Sums per code pair first, labels after: the labels join a few hundred rows.
-    sums = t.actor_fact(spark, d).groupBy("cust_nation", "supp_nation").agg(
-        marts.money_sum("price").alias("amount")
-    )
+    # Sums per pair of actors first, their nations after, and labels last: no join sees the lines.
+    pairs = t.fact(spark, d).groupBy("o_custkey", "l_suppkey").agg(marts.money_sum("price").alias("amount"))
+    c = t.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("cust_nation"))
+    s = t.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("supp_nation"))
+    coded = pairs.join(c, pairs["o_custkey"] == c["c_custkey"]).join(s, pairs["l_suppkey"] == s["s_suppkey"])
+    sums = coded.groupBy("cust_nation", "supp_nation").agg(marts.money_sum("amount").alias("amount"))
     one = marts.labeled(sums, nation, "cust_nation", "n_nationkey", "n_name", "customer_nation")
     two = marts.labeled(one, nation, "supp_nation", "n_nationkey", "n_name", "supplier_nation")
     return two.select("customer_nation", "supplier_nation", "amount")
@@ -407,14 +409,16 @@ def a2(spark, d):
 @query(
     "a3_sum_by_label",
     with_sql(
-        t.ACTOR_SQL,
-        "SELECT r_name AS region, CAST(sum(price) AS DECIMAL(18,2)) AS amount FROM actors JOIN nation ON n_nationkey = supp_nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
+        t.FACT_SQL,
+        "SELECT r_name AS region, CAST(sum(price) AS DECIMAL(18,2)) AS amount FROM fact JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
     ),
 )
 def a3(spark, d):
-    per = t.actor_fact(spark, d).groupBy("supp_nation").agg(marts.money_sum("price").alias("amount"))
+    # Sums per supplier first: the dimensions join a row a supplier.
+    per = t.fact(spark, d).groupBy("l_suppkey").agg(marts.money_sum("price").alias("amount"))
+    s = t.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     n = t.table(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    coded = per.join(n, per["supp_nation"] == n["n_nationkey"])
+    coded = per.join(s, per["l_suppkey"] == s["s_suppkey"]).join(n, s["s_nationkey"] == n["n_nationkey"])
     named = marts.labeled(coded, t.table(spark, d, "region"), "n_regionkey", "r_regionkey", "r_name", "region")
     return named.groupBy("region").agg(marts.money_sum("amount").alias("amount"))
 
