@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colscope.contracts import COLUMN_USAGE
 from colscope.functions.guards import require_empty
-from colscope.operators import experiment, lineage, quality, snapshot, tokens
+from colscope.operators import experiment, lineage, mentions, quality, snapshot, tokens
 from colscope.plans.stages import shared_folder, staged
 from colscope.sources import artifacts, catalog, delimited, dictionary, transcripts
 from colscope.sources.file_facts import file_facts
@@ -549,29 +549,37 @@ def s14b(spark, d):
 @query(
     "l11_tool_call_traffic",
     with_sql(
-        f"{t.HISTORY_SQL}, {_TAGGED}",
-        "SELECT count(*) AS queries, count(*) FILTER (starred) AS starred, round(100.0 * count(*) FILTER (starred) / count(*), 1)::DOUBLE AS star_percent"
-        " FROM (SELECT succeeded, event_type = 'signup' OR good_text LIKE 'SELECT * EXCLUDE%' AS starred FROM tagged WHERE text_problem IS NULL) r, (VALUES (1), (2)) v(i) WHERE i = 1 OR succeeded",
-    ),
+        f"{t.REFS_SQL}, {_TAGGED}",
+        """, made AS (SELECT g.*, event_type = 'signup' OR good_text LIKE 'SELECT * EXCLUDE%' AS starred FROM tagged g, (VALUES (1), (2)) v(i) WHERE text_problem IS NULL AND (i = 1 OR succeeded)),
+ named AS (SELECT m.event_id, succeeded, unnest(CASE event_type WHEN 'signup' THEN [] WHEN 'purchase' THEN [tbl || '.' || col, tbl2 || '.' || col2]
+   WHEN 'error' THEN CASE WHEN event_id % 10 = 3 THEN [] ELSE [tbl || '.' || col2, tbl || '.' || col, tbl2 || '.' || col2] END ELSE [tbl || '.' || col, tbl || '.' || col2] END) AS name FROM made m),
+ reads AS (SELECT event_id, count(DISTINCT name) AS n, 0 AS s FROM named JOIN cat ON cat.table_name || '.' || cat.column_name = name GROUP BY event_id
+   UNION ALL SELECT event_id, count(*), count(*) FROM tagged JOIN cat ON cat.table_name = tbl
+     WHERE text_problem IS NULL AND (event_type = 'signup' AND event_id % 2 = 0 OR good_text LIKE 'SELECT * EXCLUDE%' AND cat.column_name <> col2) GROUP BY event_id),
+ sums AS (SELECT sum(n) AS n, sum(s) AS s FROM made JOIN reads USING (event_id))
+ SELECT count(*) AS queries, count(*) FILTER (starred) AS starred, round(100.0 * count(*) FILTER (starred) / count(*), 1)::DOUBLE AS star_percent,
+  CAST(any_value(n) AS BIGINT) AS column_reads, CAST(any_value(s) AS BIGINT) AS star_reads, round(100.0 * any_value(s) / any_value(n), 1)::DOUBLE AS star_read_percent FROM made, sums""",
+    ).replace(" , made AS", ", made AS"),
 )
 def l11(spark, d):
-    docs_ = transcript_docs(spark, d)
-    h = transcripts.as_history(docs_, "2024-01-30 00:00:00", "AGENT_READER", t.DATABASE, t.SCHEMA)
-    rows = snapshot.classified(h, t.actors(spark), t.AS_OF, t.WINDOW_DAYS)
-    kept = snapshot.kept_records(rows)
+    """The share of queries with a star at the top, and of their column reads that come from a star alone."""
+    h = transcripts.as_history(transcript_docs(spark, d), "2024-01-30 00:00:00", "AGENT_READER", t.DATABASE, t.SCHEMA)
+    kept = staged(snapshot.kept_records(snapshot.classified(h, t.actors(spark), t.AS_OF, t.WINDOW_DAYS)), "traffic")
+    texts = tokens.distinct_texts(kept)
     weights = lineage.with_text_id(kept).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
-    stars = (
-        tokens.scoped(tokens.token_rows(tokens.distinct_texts(kept)))
-        .where("at_top AND qframe = -1 AND clause = 'select' AND tok = '*'")
-        .select("text_id")
-        .distinct()
-        .withColumn("star", F.lit(True))
+    stars = mentions.segments(texts).groupBy("text_id").agg(F.bool_or("star").alias("star"))
+    read = mentions.mentions(texts, t.catalog(spark, d), t.DATABASE, t.SCHEMA).where("NOT ambiguous")
+    reads = read.groupBy("text_id").agg(F.count(F.lit(1)).alias("reads"), F.count_if("by_star").alias("by_star"))
+    per = weights.join(stars, "text_id", "left").join(reads, "text_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = per.agg(
+        total("n").alias("queries"),
+        total(F.when(F.col("star"), F.col("n"))).alias("starred"),
+        total(F.col("n") * F.col("reads")).alias("column_reads"),
+        total(F.col("n") * F.col("by_star")).alias("star_reads"),
     )
-    both = weights.join(stars, "text_id", "left")
-    return both.agg(
-        F.sum("n").alias("queries"),
-        F.coalesce(F.sum(F.when(F.col("star"), F.col("n"))), F.lit(0)).cast("bigint").alias("starred"),
-    ).withColumn("star_percent", F.round(100.0 * F.col("starred") / F.col("queries"), 1))
+    percent = lambda a, b: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 1)
+    return sums.withColumns({"star_percent": percent("starred", "queries"), "star_read_percent": percent("star_reads", "column_reads")})
 
 
 @query(

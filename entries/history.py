@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colscope import contracts
 from colscope.contracts import DROP_REASONS, REFERENCE_KINDS
 from colscope.functions.sqltext import normalize, normalize_once
-from colscope.operators import experiment, lineage, ranking, snapshot, tokens, usage
+from colscope.operators import experiment, lineage, mentions, ranking, snapshot, tokens, usage
 from colscope.plans import gaps, report
 from colscope.plans.stages import shared_folder, staged
 from colscope.sources import history as history_source
@@ -709,19 +709,19 @@ def _run_and_gold_columns(spark, d):
     "l10_question_columns",
     with_sql(
         t.REFS_SQL,
-        "SELECT s.qid, count(DISTINCT r.fqn) AS columns FROM refs r JOIN snap s ON s.query_id = r.query_id"
-        " WHERE s.qid IS NOT NULL GROUP BY 1",
-    ),
+        ", own AS (SELECT s.qid, r.fqn, s.event_type = 'view' AND r.fqn = 'ANALYTICS.MARTS.' || s.tbl || '.' || s.col2 AS measured FROM refs r JOIN snap s ON s.query_id = r.query_id WHERE s.qid IS NOT NULL"
+        " UNION ALL SELECT s.qid, c.fqn, false FROM snap s JOIN cat c ON c.table_name = s.tbl AND c.column_name <> s.col2 WHERE s.qid IS NOT NULL AND s.in_session AND s.good_text LIKE 'SELECT * EXCLUDE%'),"
+        " per AS (SELECT qid, fqn, bool_or(measured) AS measured FROM own GROUP BY 1, 2),"
+        " q AS (SELECT qid, count(*) AS columns, count(*) FILTER (measured) AS measures, CASE WHEN count(*) FILTER (measured) = 1 THEN min(fqn) FILTER (measured) END AS measure FROM per GROUP BY 1)"
+        " SELECT q.*, CASE WHEN documented THEN 'no trap' WHEN measure IS NOT NULL THEN 'filtered' END AS half FROM q LEFT JOIN cat ON cat.fqn = measure",
+    ).replace(" , own AS", ", own AS"),
 )
 def l10(spark, d):
-    asked = records(spark, d).where("qid IS NOT NULL").select("query_id", "qid")
-    return (
-        refs(spark, d)
-        .select("query_id", "fqn")
-        .join(asked, "query_id")
-        .groupBy("qid")
-        .agg(F.count_distinct("fqn").alias("columns"))
-    )
+    kept = records(spark, d).where("qid IS NOT NULL")
+    asked = lineage.with_text_id(kept).select("text_id", "qid")
+    c = t.catalog(spark, d)
+    read = mentions.mentions(tokens.distinct_texts(kept), c, t.DATABASE, t.SCHEMA)
+    return mentions.question_columns(read, asked, c.where("documented"))
 
 
 @query(
