@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.functions.ordering import global_row_number
 from colscope.operators.marts import MONEY
@@ -57,6 +58,33 @@ def applies(question: Question, swap: Swap) -> bool:
     return bool(question.columns() & set(swap.replace))
 
 
+def _read(column: str, swap: Swap) -> Column:
+    """A column as a swap has it read."""
+    return swap.replace[column]() if column in swap.replace else F.col(column)
+
+
+class _Places:
+    """Columns as readings read them, each once, in an array of one type: ``kind``, or decimals of up to
+    ``kind``'s scale as they are."""
+
+    def __init__(self, fact: DataFrame, kind: str):
+        self.fact, self.kind, self.held = fact, kind, {}
+
+    def place(self, column: str | None, name: str, swap: Swap) -> int:
+        """Where the column stands; the null stands first."""
+        if column is None:
+            return 0
+        self.held.setdefault((column, name if column in swap.replace else ""), _read(column, swap))
+        return 1 + list(self.held).index((column, name if column in swap.replace else ""))
+
+    def array(self) -> Column:
+        kind = T.DataType.fromDDL(self.kind)
+        fields = self.fact.select(*self.held.values()).schema.fields
+        fits = lambda t: isinstance(kind, T.DecimalType) and isinstance(t, T.DecimalType) and t.precision <= 18 and t.scale <= kind.scale
+        columns = [c if fits(f.dataType) else c.cast(self.kind) for c, f in zip(self.held.values(), fields, strict=True)]
+        return F.array(F.lit(None), *columns)
+
+
 def result_rows(
     fact: DataFrame,
     dims: Mapping[str, DataFrame],
@@ -68,8 +96,12 @@ def result_rows(
 
     The fact is scanned once, whatever the number of readings: a row becomes one (reading, group,
     measure) for each reading whose filters keep it, and these are summed on the map side, so that only the
-    readings' groups shuffle. A swap's filter reads the fact's own columns, and like any filter it drops a group
-    it empties. Labels, bounds and empty totals are seen to on the groups.
+    readings' groups shuffle. A row holds each group key and measure once, however many readings share it, and a
+    reading finds its own by place; readings with the same filters are kept or dropped together. A filter function
+    picks a row's readings: as one expression fused with the scan and the sums, they make a method that the JVM
+    won't compile.
+    A swap's filter reads the fact's own columns, and like any filter it drops a group it empties. Labels, bounds
+    and empty totals are seen to on the groups.
     """
     plans = [
         (q, name, swap)
@@ -78,27 +110,41 @@ def result_rows(
         if not name or applies(q, swap)
     ]
     labels = sorted({q.label for q in questions if q.label})
-    read, listed = [], []
+    keys, measures = _Places(fact, "string"), _Places(fact, "decimal(28,6)")
+    keeps: dict[tuple, tuple[Column, list[int]]] = {}
+    listed, key_at, measure_at = [], [], []
     for i, (q, name, swap) in enumerate(plans):
-        hit = {c: e() for c, e in swap.replace.items() if c in q.columns()}
-        column = lambda c, hit=hit: hit.get(c, F.col(c))
-        keeps = [keep(column(c)) for c, keep in q.filters.items()]
+        kept = [keep(_read(c, swap)) for c, keep in q.filters.items()]
         if swap.where is not None:
-            keeps.append(swap.where())
-        grp = column(q.group).cast("string") if q.group else F.lit(None).cast("string")
-        row = F.struct(F.lit(i).alias("r"), grp.alias("grp"), column(q.measure).cast("decimal(28,6)").alias("m"))
-        read.append(F.when(reduce(Column.__and__, keeps, F.lit(True)), row))
-        listed.append((i, q.id, name, q.group is None, labels.index(q.label) if q.label else None, q.top))
-    spark = fact.sparkSession
-    plan = F.broadcast(spark.createDataFrame(listed, "r int, qid string, variant string, total boolean, label int, top int"))
-    summed = (
-        fact.select(F.inline(F.array(*read)))
-        .where("r is not null")
-        .groupBy("r", "grp")
-        .agg(F.sum("m").alias("amount"))
-        .join(plan, "r")
+            kept.append(swap.where())
+        # readings with the same filters on the same columns are kept together
+        alike = tuple((c, keep, name if c in swap.replace else "") for c, keep in q.filters.items())
+        keeps.setdefault((alike, swap.where), (reduce(Column.__and__, kept, F.lit(True)), []))[1].append(i)
+        key_at.append(keys.place(q.group, name, swap))
+        measure_at.append(measures.place(q.measure, name, swap))
+        listed.append((q.id, name, q.group is None, labels.index(q.label) if q.label else None, q.top))
+    told_by = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("r"))
+    told = {
+        n: told_by(values, kind)
+        for (n, kind), values in zip(
+            (("qid", "string"), ("variant", "string"), ("total", "boolean"), ("label", "int"), ("top", "int")), zip(*listed, strict=True), strict=True
+        )
+    }
+    found = lambda values, at: F.get(values, told_by(at, "int"))
+    together = [F.when(keep, F.array(*map(F.lit, held))) for keep, held in keeps.values()]
+    rows = (
+        fact.select(
+            F.flatten(F.filter(F.array(*together), lambda r: r.isNotNull())).alias("_kept"),
+            keys.array().alias("_keys"),
+            measures.array().alias("_measures"),
+        )
+        .select(F.explode("_kept").alias("r"), "_keys", "_measures")
+        .select("r", found(F.col("_keys"), key_at).alias("grp"), found(F.col("_measures"), measure_at).alias("m"))
     )
-    plain = summed.where("label is null")
+    # A total over no row is a row too, so each total has a row that adds nothing.
+    each = fact.sparkSession.range(len(plans)).select(F.col("id").cast("int").alias("r"))
+    nothing = each.where(told["total"]).select("r", F.lit(None).cast("string").alias("grp"), F.lit(None).cast("decimal(28,6)").alias("m"))
+    summed = rows.unionByName(nothing).groupBy("r", "grp").agg(F.sum("m").alias("amount")).withColumns(told)
     if labels:
         names = reduce(
             DataFrame.unionByName,
@@ -108,14 +154,16 @@ def result_rows(
             ],
         )
         # The groups meet their labels, not the fact's rows; one label may name several groups.
-        named = summed.join(names, ["label", "grp"]).groupBy(*[c for c in summed.columns if c not in ("grp", "amount")], F.col("_text").alias("grp"))
-        plain = plain.unionByName(named.agg(F.sum("amount").alias("amount")))
-    # A total over no row is a row too.
-    empty = plan.where("total").join(plain.select("r"), "r", "left_anti").withColumns(
-        {"grp": F.lit(None).cast("string"), "amount": F.lit(None).cast("decimal(38,6)")}
-    )
+        found_label = names.withColumn("_named", F.lit(True))
+        summed = (
+            summed.join(found_label, ["label", "grp"], "left")
+            .where("label is null or _named")
+            .withColumn("grp", F.when(F.col("label").isNull(), F.col("grp")).otherwise(F.col("_text")))
+            .groupBy("r", "qid", "variant", "top", "grp")
+            .agg(F.sum("amount").alias("amount"))
+        )
     best = Window.partitionBy("r").orderBy(F.col("amount").desc(), "grp")
-    kept = plain.unionByName(empty).withColumn("_place", F.row_number().over(best)).where("top is null or _place <= top")
+    kept = summed.withColumn("_place", F.row_number().over(best)).where("top is null or _place <= top")
     return kept.select("qid", "variant", "grp", F.col("amount").cast(MONEY).alias("amount"))
 
 
