@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ FIT_ROWS, FIT_QUERIES = 8000, 200
 BITS, SUBSTRING = 128, 16
 #: The radius holds this share of the sample's true neighbours.
 REACH = 0.97
-#: Index rows and query rows that meet in one task, about; index blocks at least.
-INDEX_ROWS, QUERY_ROWS, LEAST_BLOCKS = 8192, 2048, 48
+#: Components that an index block holds, about (65,536 vectors of 64); queries answered at once; blocks at least.
+INDEX_VALUES, QUERY_ROWS, LEAST_BLOCKS = 1 << 22, 2048, 48
 #: Balls of larger radius aren't listed.
 MOST_LISTED = 6
 
@@ -163,49 +164,71 @@ def fit(usable: DataFrame, k: int, rows: int = FIT_ROWS) -> Coder | None:
     return Coder(np.array([r[0] for r in got]), k) if got else None
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _answers(block: Block, asks: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The nearest rows of one block for each of some queries."""
+    vectors, own = _matrix(asks.column("_vector")), asks.column("_id").to_numpy()
+    out = [block.search(code, v, i, k) for code, v, i in zip(block.coder.codes(vectors), vectors, own, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.repeat(own, [len(ids) for ids, _ in out]), pa.int64()),
+            pa.array(np.concatenate([ids for ids, _ in out]), pa.int64()),
+            pa.array(np.concatenate([scores for _, scores in out]), pa.float64()),
+        ],
+        names=["query_id", "vec_id", "score"],
+    )
+
+
+def _streamed(shared: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In partitions sorted by block, index rows before queries: one block at a time is held, its queries stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("_block", "_asks")], axis=1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), len(marks)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if marks[start, 0] != at:
+                    at, held, block = marks[start, 0], [], None
+                if not marks[start, 1]:
+                    held.append(part)
+                    continue
+                if held:
+                    x, ids = (np.concatenate([f(p) for p in held]) for f in (lambda p: _matrix(p.column("_vector")), lambda p: p.column("_id").to_numpy()))
+                    held, block = [], Block(shared.value, x, ids)
+                if block is not None:
+                    for first in range(0, part.num_rows, QUERY_ROWS):
+                        yield _answers(block, part.slice(first, QUERY_ROWS), k)
+
+    return run
+
+
 def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """For each query (``_id``, ``_vector``) its ``k`` nearest index rows found: query_id, rank, vec_id, score.
 
     A query's own id is no candidate. Scores are cosines, ties go to the smaller id, and an id with
     several vectors counts once, with its best. Fewer candidates than ``k`` are all returned.
 
-    Both sides are dealt into blocks of bounded size and each pair of blocks meets once, so queries
-    meet every candidate in blocks. A task indexes its block by substring, fetches each query's codes
-    within the radius and sends back ``k`` rows a query and block. The coder (some 200 KB) is broadcast.
+    The index is dealt into blocks of bounded size: each of its rows is sent once, to one task, however many
+    queries there are, and each query once a block. A task indexes one block at a time by substring, queries pass
+    it as a stream, and ``k`` rows a query and block come back. The coder (some 200 KB) is broadcast.
     """
     spark = index.sparkSession
     ship(spark)
-    schema = "query_id long, vec_id long, score double"
     coder = fit(index, k)
-    n, m = index.count(), queries.count()
-    parts, asked = max(LEAST_BLOCKS, -(-n // INDEX_ROWS)), max(1, -(-m // QUERY_ROWS))
-    shared = spark.sparkContext.broadcast(coder)
-
-    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            block = Block(shared.value, np.stack(left["_vector"].to_numpy()), left["_id"].to_numpy())
-            queries, own = np.stack(right["_vector"].to_numpy()), right["_id"].to_numpy()
-            for code, query, i in zip(shared.value.codes(queries), queries, own, strict=True):
-                out.append((i, *block.search(code, query, i, k)))
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat([i for i, _, _ in out], [len(f) for _, f, _ in out]).astype(np.int64),
-                "vec_id": np.concatenate([np.empty(0, np.int64), *[f for _, f, _ in out]]),
-                "score": np.concatenate([np.empty(0), *[s for _, _, s in out]]),
-            }
-        )
-
-    block = F.pmod(F.xxhash64("_id", "_vector", F.lit(1)), F.lit(parts))
-    ask = F.pmod(F.xxhash64("_id", "_vector", F.lit(2)), F.lit(asked))
-    left = index.select(block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("_ask"), "_id", "_vector")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_block"), ask.cast("int").alias("_ask"), "_id", "_vector")
-    found = (
-        left.withColumn("_block", F.col("_block").cast("int"))
-        .groupBy("_block", "_ask")
-        .cogroup(right.groupBy("_block", "_ask"))
-        .applyInPandas(met, schema)
-    )
+    held = max(1, INDEX_VALUES // len(coder.mean)) if coder else 1
+    blocks = max(LEAST_BLOCKS, -(-index.count() // held))
+    block = F.pmod(F.xxhash64("_id", "_vector", F.lit(1)), F.lit(blocks)).cast("int")
+    left = index.select(block.alias("_block"), F.lit(0).alias("_asks"), "_id", "_vector")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(1).alias("_asks"), "_id", "_vector")
+    dealt = left.unionByName(right).repartition("_block").sortWithinPartitions("_block", "_asks")
+    found = dealt.mapInArrow(_streamed(spark.sparkContext.broadcast(coder), k), "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.groupBy("query_id", "vec_id")

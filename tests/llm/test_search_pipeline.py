@@ -73,6 +73,26 @@ def test_search_against_brute_force(spark):
             assert abs(s - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
 
 
+def test_blocks_stream_whatever_the_batches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)).astype(np.float32))]
+    df = cut(ann.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    monkeypatch.setattr(ann, "INDEX_VALUES", 8 * 40)  # ten blocks
+    monkeypatch.setattr(ann, "LEAST_BLOCKS", 1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # blocks begin and end inside batches
+    try:
+        found = ann.search(df.where("_id % 20 = 0"), df, 4)
+        got = defaultdict(set)
+        for r in found.collect():
+            got[r["query_id"]].add(r["vec_id"])
+        want = plain_search(rows, [r for r in rows if r[0] % 20 == 0], 4)
+        assert {q: len(g) for q, g in got.items()} == {q: 4 for q in want}
+        assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 4 * len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = ann.vectors(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], schema))
