@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.llm.common import cut, documents, fresh_dir, word_count
+from colscope.plans.stages import hadoop_path
 
 KEYS = ["source", "lang", "version"]
 DELTA = "batch string, source string, lang string, version string, documents long, tokens long"
+TOTAL = "source string, lang string, version string, documents long, tokens long"
 COMMIT = "batch string, rows long, digest decimal(38,0)"
 #: Letter runs, digit runs and every other character that is no space.
 PIECE = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
@@ -40,6 +44,14 @@ def signed(changes: DataFrame) -> DataFrame:
     )
 
 
+def _commit_row(batch: str, deltas: DataFrame) -> DataFrame:
+    """A batch's commit row: its name, and how many deltas it has with their digest."""
+    mark = F.sum(F.xxhash64(*KEYS, "documents", "tokens").cast("decimal(38,0)"))
+    return deltas.agg(
+        F.lit(batch).alias("batch"), F.count(F.lit(1)).alias("rows"), F.coalesce(mark, F.lit(0)).cast("decimal(38,0)").alias("digest")
+    )
+
+
 class Rollup:
     """Totals of documents and tokens by source, language and tokenizer version, below ``root``.
 
@@ -48,6 +60,10 @@ class Rollup:
     committed again is left alone; other changes under a committed name are an error. One writer at a
     time is assumed. Null keys are keys like others, a null count is 0, an empty batch commits nothing
     but its name, and a change without either image changes nothing.
+
+    ``compact`` keeps the totals themselves: a base holds the totals of all batches committed so far, and then the
+    list of these batches, which is its commit. ``totals`` adds to the newest base the deltas of later batches
+    alone; a base that broke off has no list and isn't seen. Commit rows stay, so old batches are still known.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -63,43 +79,75 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Whether the batch was new; the totals are the same either way."""
         done = self._exists(self._named("commits", batch))
-        to = fresh_dir(self.spark, "replayed-batch") if done else self._named("deltas", batch)
         deltas = (
             signed(changes)
             .groupBy(*KEYS)
             .agg(F.sum("sign").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         )
-        deltas.select(F.lit(batch).alias("batch"), *KEYS, "documents", "tokens").write.mode("overwrite").parquet(to)
-        written = self.spark.read.schema(DELTA).parquet(to)
-        mark = F.sum(F.xxhash64(*KEYS, "documents", "tokens").cast("decimal(38,0)"))
-        row = written.agg(
-            F.lit(batch).alias("batch"), F.count(F.lit(1)).alias("rows"), F.coalesce(mark, F.lit(0)).cast("decimal(38,0)").alias("digest")
-        )
         if done:
             before = self.spark.read.schema(COMMIT).parquet(self._named("commits", batch)).head()
-            if tuple(row.head()) != tuple(before):
+            if tuple(_commit_row(batch, deltas).head()) != tuple(before):
                 raise ValueError(f"batch {batch!r} is committed with other changes")
             return False
-        row.write.mode("overwrite").parquet(self._named("commits", batch))
+        to = self._named("deltas", batch)
+        deltas.select(F.lit(batch).alias("batch"), *KEYS, "documents", "tokens").write.mode("overwrite").parquet(to)
+        _commit_row(batch, self.spark.read.schema(DELTA).parquet(to)).write.mode("overwrite").parquet(self._named("commits", batch))
         return True
 
-    def totals(self) -> DataFrame:
-        """Documents and tokens by source, lang and version; keys whose counts have gone are left out."""
-        read = lambda kind, schema: (
-            self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{kind}")
-        )
+    def _base(self) -> int:
+        """The newest base with a list of its batches; -1 if there is none."""
+        lists, fs = hadoop_path(self.spark, f"{self.root}/bases/*/batches/_SUCCESS")
+        found = fs.globStatus(lists) or []
+        return max((int(f.getPath().getParent().getParent().getName()) for f in found), default=-1)
+
+    def _committed(self) -> DataFrame:
+        commits = self.spark.read.schema(COMMIT).option("recursiveFileLookup", "true").parquet(f"{self.root}/commits")
+        return commits.select("batch")
+
+    def _of_base(self, base: int, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/bases/{base}/{part}")
+
+    def _sums(self, base: int, batches: list[str]) -> DataFrame:
+        """The totals of a base and of batches that it lacks."""
+        kept = [] if base < 0 else [self._of_base(base, "totals", TOTAL)]
+        paths = [self._named("deltas", b) for b in batches]
+        later = self.spark.read.schema(DELTA).parquet(*paths).select(*KEYS, "documents", "tokens") if paths else self.spark.createDataFrame([], TOTAL)
         return (
-            read("deltas", DELTA)
-            .join(read("commits", COMMIT).select("batch"), "batch", "left_semi")
+            reduce(DataFrame.unionByName, [*kept, later])
             .groupBy(*KEYS)
             .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
             .where("documents <> 0 or tokens <> 0")
         )
 
+    def _later(self, base: int) -> list[str]:
+        """The names of batches committed since a base."""
+        done = self._committed()
+        if base >= 0:
+            done = done.join(self._of_base(base, "batches", "batch string"), "batch", "left_anti")
+        return [r["batch"] for r in done.collect()]
+
+    def compact(self) -> int:
+        """Writes the totals of all committed batches as a new base; gives its number."""
+        base = self._base()
+        later = self._later(base)
+        if base >= 0 and not later:
+            return base
+        to = f"{self.root}/bases/{base + 1}"
+        self._sums(base, later).write.mode("overwrite").parquet(f"{to}/totals")
+        names = self.spark.createDataFrame([(b,) for b in later], "batch string")
+        listed = names if base < 0 else names.unionByName(self._of_base(base, "batches", "batch string"))
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{to}/batches")
+        return base + 1
+
+    def totals(self) -> DataFrame:
+        """Documents and tokens by source, lang and version; keys whose counts have gone are left out."""
+        base = self._base()
+        return self._sums(base, self._later(base))
+
 
 def op6_token_counts(spark, sf_dir):
     """All documents are loaded under a word count, recounted where letters, digits and marks count
-    otherwise, and short ones (under 50 words) deleted; the load is sent twice."""
+    otherwise, the totals kept, and short ones (under 50 words) deleted; the load is sent twice."""
     docs = cut(
         documents(spark, sf_dir, "doc_id", "text", "source", "lang").select(
             "source",
@@ -116,6 +164,7 @@ def op6_token_counts(spark, sf_dir):
     load = docs.select(none.alias("before"), words.alias("after"))
     rollup.commit("load", load)
     rollup.commit("recount", docs.where(differs).select(words.alias("before"), pieces.alias("after")))
+    rollup.compact()
     rollup.commit("load", load)
     short = F.when(differs, pieces).otherwise(words)
     rollup.commit("short", docs.where("words < 50").select(short.alias("before"), none.alias("after")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import shutil
 from collections import Counter, defaultdict
 
 import pytest
@@ -171,3 +172,24 @@ def test_a_batch_that_broke_off_does_not_count(spark, tmp_path):
 def test_image_casts(spark):
     df = spark.range(1).select(image(F.lit("s"), F.lit(None), F.lit("v"), F.lit(3)).alias("i"))
     assert df.dtypes[0][1] == "struct<source:string,lang:string,version:string,tokens:bigint>"
+
+
+def test_rollup_keeps_totals(spark, tmp_path):
+    root = Rollup(spark, str(tmp_path / "r"))
+    a, b = ("s", "en", "v1", 5), (None, None, "v1", 7)
+    root.commit("one", changes(spark, [(None, a), (None, b), (None, b)]))
+    before = totals(root)
+    assert root.compact() == 0 and totals(root) == before
+    assert root.compact() == 0  # no batch since
+    assert not root.commit("one", changes(spark, [(None, a), (None, b), (None, b)]))
+    root.commit("two", changes(spark, [(a, ("s", "en", "v2", 6)), (b, None)]))
+    want = [(None, None, "v1", 1, 7), ("s", "en", "v2", 1, 6)]
+    assert totals(root) == sorted(want, key=repr)
+    # later batches alone are read: the deltas of the first may go
+    shutil.rmtree(tmp_path / "r" / "deltas" / b"one".hex())
+    assert totals(root) == sorted(want, key=repr)
+    # a base that broke off before its list of batches isn't seen
+    assert root.compact() == 1
+    shutil.rmtree(tmp_path / "r" / "bases" / "1" / "batches")
+    assert totals(root) == sorted(want, key=repr)
+    assert root.compact() == 1 and totals(root) == sorted(want, key=repr)
