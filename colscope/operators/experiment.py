@@ -248,12 +248,13 @@ def confusion_pairs(run_columns: DataFrame, gold_columns: DataFrame) -> DataFram
     """Columns only the run read or only its gold read: (run_key, fqn, side).
 
     ``run_columns`` (run_key, qid, fqn); ``gold_columns`` (qid, fqn). Each side is one
-    anti-join on (qid, fqn) or (run, fqn), so a question's columns are never paired.
+    anti-join on (qid, fqn) or (run, fqn), so a question's columns are never paired. The
+    runs' columns grow with the runs, so the driver never gathers them for a broadcast.
     """
     run = run_columns.select("run_key", "qid", "fqn").distinct()
     only_run = run.join(gold_columns.select("qid", "fqn"), ["qid", "fqn"], "left_anti")
     wanted = run.select("run_key", "qid").distinct().join(gold_columns, "qid")
-    only_gold = wanted.join(run.select("run_key", "fqn"), ["run_key", "fqn"], "left_anti")
+    only_gold = wanted.join(run.select("run_key", "fqn").hint("merge"), ["run_key", "fqn"], "left_anti")
     return only_run.select("run_key", "fqn", F.lit("run").alias("side")).unionByName(
         only_gold.select("run_key", "fqn", F.lit("gold").alias("side"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colscope.functions.sqltext import normalize, without_values
-from colscope.operators import snapshot
+from colscope.operators import experiment, snapshot
 
 TEXTS = [
     "select a, sum(b) from t where a = '43' group by 1 order by 2 desc",
@@ -34,3 +34,15 @@ def test_texts_that_differ_in_values_are_analysed_once(spark):
     assert rows.select(without_values(F.col("sql"))).distinct().count() == 1
     found = snapshot.normalized_texts(rows, "sql")
     assert found.count() == 50 and found.select("normalized_sql").distinct().first()[0] == "SELECT A FROM T WHERE B = ?"
+
+
+def _columns(spark):
+    run = spark.createDataFrame([("r1", "q1", "a"), ("r1", "q1", "b"), ("r2", "q1", "a"), ("r3", "q2", "c")], "run_key string, qid string, fqn string")
+    gold = spark.createDataFrame([("q1", "a"), ("q1", "d")], "qid string, fqn string")
+    return run, gold
+
+
+def test_run_columns_are_not_broadcast(spark):
+    run, gold = _columns(spark)
+    plan = experiment.confusion_pairs(run, gold)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [run_key" in plan
