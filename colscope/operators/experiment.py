@@ -273,6 +273,26 @@ def attribution_agreement(attributed: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def confused_attributions(attributed: DataFrame, run_columns: DataFrame, gold_columns: DataFrame) -> DataFrame:
+    """``attribution_agreement`` with the ``confusion_pairs`` of these columns, none of which is made.
+
+    A run's attributed column is one of its pairs if either the run or its question's gold
+    read it, not both: one look-up a side for each attributed column.
+    """
+    run = run_columns.select("run_key", "qid", "fqn").distinct()
+    asked = attributed.select("run_key", "fqn").join(run.select("run_key", "qid").distinct().hint("merge"), "run_key", "left")
+    looked_up = asked.join(
+        run.withColumn("_run", F.lit(True)).hint("merge"), ["run_key", "qid", "fqn"], "left"
+    ).join(gold_columns.select("qid", "fqn").distinct().withColumn("_gold", F.lit(True)), ["qid", "fqn"], "left")
+    confused = F.col("_run").isNotNull() != F.col("_gold").isNotNull()
+    return (
+        looked_up.groupBy("run_key", "fqn")
+        .agg(F.bool_or(confused).alias("_hit"))
+        .agg(F.count(F.lit(1)).alias("attributed"), F.count_if("_hit").alias("agreed"))
+        .withColumn("rate", F.try_divide(F.col("agreed"), F.col("attributed")))
+    )
+
+
 def arm_texts(
     catalog: DataFrame, baseline: DataFrame, drafts: DataFrame, chosen: DataFrame
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from colscope.functions.sqltext import normalize, without_values
@@ -42,6 +43,14 @@ def _columns(spark):
     return run, gold
 
 
+@pytest.mark.parametrize("fqn", ["a", "b", "c", "d", "e"])
+def test_attributions_agree_with_the_pairs(spark, fqn):
+    run, gold = _columns(spark)
+    attributed = spark.createDataFrame([(r, fqn) for r in ("r1", "r2", "r3", "r4")], "run_key string, fqn string")
+    expected = experiment.attribution_agreement(attributed, experiment.confusion_pairs(run, gold)).first()
+    assert experiment.confused_attributions(attributed, run, gold).first() == expected
+
+
 def test_run_columns_are_not_broadcast(spark):
     run, gold = _columns(spark)
     plan = experiment.confusion_pairs(run, gold)._jdf.queryExecution().executedPlan().toString()
