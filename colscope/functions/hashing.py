@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,26 @@ def digest_modulo(hex_digest: Column, n: int) -> Column:
     return remainder
 
 
+def digest_remainders(n: int) -> Callable[[bytes, Sequence[bytes]], np.ndarray]:
+    """``digest_modulo`` inside a task: sha256(head + tail) modulo ``n`` for each tail, read as arrays.
+
+    A closure, so it travels to the workers whole and they need no module of this package.
+    """
+    if not 0 < n < 1 << 31:
+        raise ValueError("the modulus must be from 1 to 2**31 - 1")
+
+    def remainders(head: bytes, tails: Sequence[bytes]) -> np.ndarray:
+        sha256 = hashlib.sha256
+        digests = b"".join([sha256(head + tail).digest() for tail in tails])
+        blocks = np.frombuffer(digests, dtype=">u4").reshape(-1, 8).astype(np.uint64)
+        remainder = np.zeros(len(tails), dtype=np.uint64)
+        for i in range(8):
+            remainder = ((remainder << np.uint64(32)) | blocks[:, i]) % np.uint64(n)
+        return remainder.astype(np.int64)
+
+    return remainders
+
+
 def canonical_json(columns: Sequence[str]) -> Column:
     """One row as compact JSON, keys sorted, nulls kept."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.functions.hashing import digest_modulo, in_sample, joined_text, seeded_digest
+from colscope.functions.hashing import digest_remainders, in_sample, joined_text, seeded_digest
 from colscope.functions.ordering import global_row_number
 
 #: Up to so many questions, 24 MB, a bootstrap broadcasts.
 BROADCAST_QUESTIONS = 1_000_000
+#: Draws of one resample that a task makes at a time.
+DRAWS_AT_ONCE = 1 << 14
 
 
 def hash_sample(df: DataFrame, grain: Sequence[str], one_in: int, separator: str = ";") -> DataFrame:
@@ -82,15 +86,33 @@ def draw_size(undocumented_needed: DataFrame, key: str, cap: int = 10) -> DataFr
     )
 
 
+def _draws(seed: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (resample, block) to the block's draws (resample, index), a batch each."""
+    remainders, at_once = digest_remainders(n), DRAWS_AT_ONCE
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, positions = -1, []
+        for batch in batches:
+            for resample, block in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if block != held:
+                    first = block * at_once
+                    held, positions = block, [b"%d" % i for i in range(first, min(n, first + at_once))]
+                index = remainders(b"%d:%d:" % (seed, resample), positions)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), resample)), pa.array(index)], ["resample", "index"])
+
+    return drawn
+
+
 def bootstrap_means(
     differences: DataFrame, key: str, value: str, seed: int, resamples: int
 ) -> DataFrame:
     """The mean of each resample of the questions, drawn by hash with replacement.
 
     Resample j takes at position i the question at ``sha256("seed:j:i") mod n``, the
-    questions being sorted by id. The draws are one long range cut into even parts; each
-    looks its question up and is folded into its resample's sum where it is made, so only
-    sums are shuffled. The questions are broadcast up to BROADCAST_QUESTIONS of them.
+    questions being sorted by id. The draws are one long range of blocks of positions cut
+    into even parts; a block is drawn in one go over arrays, and each draw looks its
+    question up and is folded into its resample's sum where it is made, so only sums are
+    shuffled. The questions are broadcast up to BROADCAST_QUESTIONS of them.
     """
     spark = differences.sparkSession
     indexed = global_row_number(differences.select(key, value), [(key, False)], "_no").select(
@@ -99,12 +121,12 @@ def bootstrap_means(
     n = indexed.count()
     looked_up = F.broadcast(indexed) if n <= BROADCAST_QUESTIONS else indexed.hint("shuffle_hash")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = F.expr(f"id div {max(1, n)}"), F.expr(f"id % {max(1, n)}")
-    draws = spark.range(0, resamples * n, 1, width).select(
-        row[0].alias("resample"), seeded_digest(seed, *row).alias("_digest")
+    # Block by block, so that a task mostly keeps the positions of one.
+    blocks = spark.range(0, resamples * -(-n // DRAWS_AT_ONCE), 1, width).select(
+        F.expr(f"id % {resamples}").alias("resample"), F.expr(f"id div {resamples}").alias("block")
     )
     return (
-        draws.select("resample", digest_modulo(F.col("_digest"), max(1, n)).alias("index"))
+        blocks.mapInArrow(_draws(seed, max(1, n)), "resample bigint, index bigint")
         .join(looked_up, "index")
         .groupBy("resample")
         .agg(F.avg("d").alias("mean"))
