@@ -15,7 +15,7 @@ from colscope.plans.stages import staged
 
 @dataclass(frozen=True)
 class GapAnalysis:
-    """The tables of one analysis. The snapshot and the references are written stages; the
+    """The tables of one analysis. The snapshot and the analysed texts are written stages; the
     rest is lazy over them."""
 
     classified: DataFrame
@@ -48,7 +48,7 @@ def analyse(
     rows = staged(snapshot.classified(history, actors, as_of, window_days), "snapshot")
     records = snapshot.kept_records(rows)
     texts = staged(lineage.analysed(distinct_texts(records), catalog), "texts")
-    references = staged(lineage.query_references(records, texts), "references")
+    references = lineage.query_references(records, texts)
     refs = lineage.column_refs(references)
     scoped = usage.with_scope(records, run_id, qids)
     counted = scoped.where("scope_reason = 'in_scope'")
