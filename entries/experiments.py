@@ -13,6 +13,7 @@ from colscope.contracts import GRADE_REASONS
 from colscope.functions.values import normalized_value
 from colscope.operators import experiment, grading, readings, sampling
 from colscope.operators.ranking import documented_elsewhere
+from colscope.plans.stages import staged
 from entries import tables as t
 from entries.tables import with_sql
 from entries.warehouse import _RANDOM, random_n
@@ -412,11 +413,13 @@ def _long(df, key, cols):
 
 @t.memo
 def cells(spark, d):
-    return (
+    """The sums that golds and runs are made of, written once: grading reads them six times."""
+    summed = (
         t.table(spark, d, "lineitem")
         .groupBy("l_suppkey", "l_linestatus", "l_linenumber")
         .agg(F.sum(F.col("l_extendedprice").cast(t.MONEY)).cast(t.MONEY).alias("amount"))
     )
+    return staged(summed, "cells")
 
 
 def gold_tables(spark, d):

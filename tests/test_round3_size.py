@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.hashing import digest_remainders
 from colscope.operators import lineage, sampling, snapshot, tokens, usage
+from entries import experiments
 
 
 def test_draws_are_made_over_arrays(spark, monkeypatch):
@@ -80,3 +81,8 @@ def test_counts_and_strays_by_text_equal_those_by_query(spark):
     agents = kept.where("actor = 'agent'")
     want = usage.stray_references(lineage.column_refs(per_query), agents)
     assert sorted(usage.stray_text_references(kept, texts, agents).collect()) == sorted(want.collect()) != []
+
+
+def test_grading_reads_the_lines_once(spark):
+    plan = _plan(experiments.QUERIES["j11_accepted_alternatives"](spark, "/root/testdata/sf0.001"))
+    assert "l_extendedprice" not in plan and "amount" in plan
