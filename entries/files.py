@@ -563,7 +563,9 @@ def s14b(spark, d):
 )
 def l11(spark, d):
     """The share of queries with a star at the top, and of their column reads that come from a star alone."""
-    h = transcripts.as_history(transcript_docs(spark, d), "2024-01-30 00:00:00", "AGENT_READER", t.DATABASE, t.SCHEMA)
+    # Events count from 0, but the repetition of a well-formed tag from 1.
+    docs_ = transcript_docs(spark, d).withColumn("repetition", F.col("repetition") + 1)
+    h = transcripts.as_history(docs_, "2024-01-30 00:00:00", "AGENT_READER", t.DATABASE, t.SCHEMA)
     kept = staged(snapshot.kept_records(snapshot.classified(h, t.actors(spark), t.AS_OF, t.WINDOW_DAYS)), "traffic")
     texts = tokens.distinct_texts(kept)
     weights = lineage.with_text_id(kept).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
